@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -12,9 +11,6 @@ from pyspark.sql import functions as F
 from tableprep.functions.missing import present
 from tableprep.operators.schema import numeric_columns, select_fields
 
-# Pairs computed by one aggregate; wider tables take several narrow passes.
-PAIRS_PER_PASS = 200
-
 SCHEMA = "col_x string, col_y string, corr double"
 
 
@@ -29,41 +25,38 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         return df.sparkSession.createDataFrame([], SCHEMA)
     fields = select_fields(df, columns)
     values = df.select(*[present(f).alias(f"x{i}") for i, f in enumerate(fields)])
-    indexes = range(len(columns))
-    pairs = [(i, i) for i in indexes] + list(combinations(indexes, 2))
-    frames = [
-        _pairs(values, columns, pairs[start : start + PAIRS_PER_PASS])
-        for start in range(0, len(pairs), PAIRS_PER_PASS)
-    ]
-    return reduce(DataFrame.unionByName, frames)
-
+    # The pair of a column with itself gives the diagonal.
+    pairs = [(i, i) for i in range(len(columns))] + list(combinations(range(len(columns)), 2))
+    found = _by_pair(values, pairs)
+
+    name_of = F.lit(columns)
+    x, y, value = name_of[F.col("i")], name_of[F.col("j")], F.col("corr")
+    entry = F.struct(x.alias("col_x"), y.alias("col_y"), value.alias("corr"))
+    mirror = F.struct(y.alias("col_x"), x.alias("col_y"), value.alias("corr"))
+    return found.select(
+        F.inline(F.when(F.col("i") == F.col("j"), F.array(entry)).otherwise(F.array(entry, mirror)))
+    )
 
-def _pairs(values: DataFrame, columns: Sequence[str], pairs: list[tuple[int, int]]) -> DataFrame:
-    sums, entries = [], []
-    for i, j in pairs:
-        x, y = F.col(f"x{i}"), F.col(f"x{j}")
-        if i == j:
-            sums.append(F.stddev_pop(x).alias(f"d{i}"))
-            one = F.when(F.col(f"d{i}") > 0, F.lit(1.0))
-            entries.append(_entry(columns[i], columns[i], one))
-            continue
-        name = f"{i}_{j}"
-        # Both masked to the rows the pair shares. ``corr`` itself would divide
-        # by zero on a constant column.
-        sums += [
-            F.covar_pop(x, y).alias(f"c{name}"),
-            F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"a{name}"),
-            F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"b{name}"),
-        ]
-        value = F.try_divide(F.col(f"c{name}"), F.col(f"a{name}") * F.col(f"b{name}"))
-        entries += [
-            _entry(columns[i], columns[j], value),
-            _entry(columns[j], columns[i], value),
-        ]
-    return values.agg(*sums).select(F.inline(F.array(*entries)))
 
+def _by_pair(values: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """``(i, j, corr)``, from one scan.
 
-def _entry(first, second, value):
-    return F.struct(
-        F.lit(first).alias("col_x"), F.lit(second).alias("col_y"), value.alias("corr")
+    Tasks reduce to one row per pair before the shuffle. One aggregate with a
+    term per pair would be too wide for Spark to generate code for.
+    """
+    pair = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
+    row = F.col("row")
+    spread = values.select(F.array(*values.columns).alias("row"), F.explode(pair).alias("pair"))
+    both = spread.select(
+        "pair.i", "pair.j", row[F.col("pair.i")].alias("x"), row[F.col("pair.j")].alias("y")
+    ).select(
+        "i",
+        "j",
+        # A pair without common rows stays, as NULL.
+        F.when(F.col("y").isNotNull(), F.col("x")).alias("x"),
+        F.when(F.col("x").isNotNull(), F.col("y")).alias("y"),
     )
+    # ``corr`` itself would divide by zero where a column is constant.
+    value = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    bounded = F.when(F.abs("corr") > 1, F.signum("corr")).otherwise(F.col("corr"))
+    return both.groupBy("i", "j").agg(value.alias("corr")).withColumn("corr", bounded)

@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.missing import finite
@@ -21,11 +21,10 @@ from tableprep.operators.quantiles import quantiles
 from tableprep.operators.schema import numeric_columns, select_fields
 
 DEFAULT_GRID = 200
-# Density sums evaluated by one aggregate.
-GRID_BATCH = 200
-# With this few distinct values, counting them first pays for its shuffle.
-DISTINCT_LIMIT = 100_000
+# Distinct values are counted before their kernels are summed where they are
+# few, and on small tables, where the shuffle also spreads the work.
 ROWS_PER_DISTINCT = 20
+SMALL_ROWS = 10_000_000
 
 HISTOGRAM_SCHEMA = "column string, bin bigint, lower double, upper double, n bigint"
 DENSITY_SCHEMA = "column string, x double, density double"
@@ -43,6 +42,13 @@ def _numbers(df: DataFrame, columns: Sequence[str] | None) -> tuple[DataFrame, d
     return values, dict(zip(values.columns, columns))
 
 
+def _long(values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(i, x)``: the values of all columns under their position."""
+    return values.select(F.posexplode(F.array(*names)).alias("i", "x")).where(
+        F.col("x").isNotNull()
+    )
+
+
 def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -80,7 +86,7 @@ def histogram(
         most = max(stats[x][0] for x in present)
         quartiles = quantiles(values, present, (0.25, 0.75), method, rows=most)
 
-    numbered, edges = [], []
+    lows, highs, widths, numbers = [], [], [], []
     for x in present:
         count, low, high = stats[x]
         spread = high - low
@@ -91,49 +97,32 @@ def histogram(
             wanted = _auto_bins(count, spread, q3 - q1)
         else:
             wanted = int(bins)
-        width = spread / wanted
-        if width == 0:
-            number = F.lit(1)
-        else:
-            number = F.least(F.floor((F.col(x) - low) / F.lit(width)), F.lit(wanted - 1)) + 1
-        numbered.append(
-            F.when(
-                F.col(x).isNotNull(),
-                F.struct(F.lit(names[x]).alias("column"), number.cast("bigint").alias("bin")),
-            )
-        )
-        edges.append((names[x], low, high, width, wanted))
-    if not numbered:
+        lows.append(low)
+        highs.append(high)
+        widths.append(spread / wanted)
+        numbers.append(wanted)
+    if not present:
         return df.sparkSession.createDataFrame([], HISTOGRAM_SCHEMA)
 
-    counted = (
-        values.select(F.explode(F.array_compact(F.array(*numbered))).alias("cell"))
-        .groupBy("cell.column", "cell.bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+    low, high, width, last = (
+        F.lit(of_column)[F.col("i")] for of_column in (lows, highs, widths, numbers)
     )
-    edge_of = F.create_map(
-        *[
-            part
-            for column, low, high, width, wanted in edges
-            for part in (
-                F.lit(column),
-                F.struct(
-                    F.lit(low).alias("low"),
-                    F.lit(high).alias("high"),
-                    F.lit(width).alias("width"),
-                    F.lit(wanted).cast("bigint").alias("bins"),
-                ),
-            )
-        ]
-    )[F.col("column")]
-    return counted.withColumn("edge", edge_of).select(
-        "column",
-        "bin",
-        (F.col("edge.low") + (F.col("bin") - 1) * F.col("edge.width")).alias("lower"),
-        F.when(F.col("bin") == F.col("edge.bins"), F.col("edge.high"))
-        .otherwise(F.col("edge.low") + F.col("bin") * F.col("edge.width"))
-        .alias("upper"),
-        "n",
+    position = F.floor((F.col("x") - low) / width)
+    number = F.when(width == 0, F.lit(1)).otherwise(F.least(position, last - 1) + 1)
+    return (
+        _long(values, present)
+        .select("i", number.cast("bigint").alias("bin"))
+        .groupBy("i", "bin")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            F.lit([names[x] for x in present])[F.col("i")].alias("column"),
+            "bin",
+            (low + (F.col("bin") - 1) * width).alias("lower"),
+            F.when(F.col("bin") == last, high)
+            .otherwise(low + F.col("bin") * width)
+            .alias("upper"),
+            "n",
+        )
     )
 
 
@@ -148,8 +137,8 @@ def kde(
     The grid runs from the least to the greatest value. ``bandwidth`` is the
     kernel's standard deviation, or ``"scott"`` for the sample deviation times
     ``n ** (-1/5)``. A column with fewer than two distinct values has no
-    density. Every row counts at every grid point; the sums are plain
-    aggregates, so no row is paired with the grid in a shuffle.
+    density. Every value counts at every grid point. Each task sums over its
+    own values first, so a shuffle sees one partial sum per task and point.
     """
     values, names = _numbers(df, columns)
     if not names:
@@ -171,46 +160,36 @@ def kde(
         step = (high - low) / max(1, points - 1)
         grid = [low + i * step for i in range(points)]
         column = values.select(F.col(x).alias("x")).where(F.col("x").isNotNull())
-        if distinct <= DISTINCT_LIMIT and distinct * ROWS_PER_DISTINCT <= count:
+        if count <= SMALL_ROWS or distinct * ROWS_PER_DISTINCT <= count:
             column = column.groupBy("x").agg(F.count(F.lit(1)).alias("weight"))
-            weight: Column | None = F.col("weight")
         else:
-            weight = None
+            column = column.withColumn("weight", F.lit(1))
+        z = (F.col("x") - F.col("point")) / F.lit(h)
         scale = 1 / (count * h * math.sqrt(2 * math.pi))
-        for start in range(0, points, GRID_BATCH):
-            frames.append(
-                _density(column, names[x], grid[start : start + GRID_BATCH], h, scale, weight)
+        frames.append(
+            column.select("x", "weight", F.explode(F.lit(grid)).alias("point"))
+            .groupBy("point")
+            .agg(F.sum(F.exp(-0.5 * z * z) * F.col("weight")).alias("kernels"))
+            .select(
+                F.lit(names[x]).alias("column"),
+                F.col("point").alias("x"),
+                (F.col("kernels") * F.lit(scale)).alias("density"),
             )
+        )
     if not frames:
         return df.sparkSession.createDataFrame([], DENSITY_SCHEMA)
     return _stack(frames)
 
 
-def _density(column, name, grid, h, scale, weight):
-    sums = []
-    for i, point in enumerate(grid):
-        z = (F.col("x") - F.lit(point)) / F.lit(h)
-        kernel = F.exp(-0.5 * z * z)
-        sums.append(F.sum(kernel if weight is None else kernel * weight).alias(f"s{i}"))
-    entries = [
-        F.struct(
-            F.lit(name).alias("column"),
-            F.lit(point).alias("x"),
-            (F.col(f"s{i}") * F.lit(scale)).alias("density"),
-        )
-        for i, point in enumerate(grid)
-    ]
-    return column.agg(*sums).select(F.inline(F.array(*entries)))
-
-
-def _box_fences(values, names, method, factor):
+def _boxes(values, names, method, factor):
+    """Columns with values, and their quarters and fences."""
     found = quantiles(values, list(names), (0.25, 0.5, 0.75), method)
-    fences = {}
+    boxes = {}
     for x, quarters in found.items():
         if quarters is not None:
             spread = factor * (quarters[2] - quarters[0])
-            fences[x] = (quarters, quarters[0] - spread, quarters[2] + spread)
-    return fences
+            boxes[x] = (*quarters, quarters[0] - spread, quarters[2] + spread)
+    return boxes
 
 
 def boxplot_stats(
@@ -225,37 +204,39 @@ def boxplot_stats(
     ranges of the box. Columns without any value are left out.
     """
     values, names = _numbers(df, columns)
-    fences = _box_fences(values, names, method, factor) if names else {}
-    if not fences:
+    boxes = _boxes(values, names, method, factor) if names else {}
+    if not boxes:
         return df.sparkSession.createDataFrame([], BOXPLOT_SCHEMA)
-    sums, entries = [], []
-    for x, ((q1, median, q3), low, high) in fences.items():
-        value = F.col(x)
-        inside = value.between(F.lit(low), F.lit(high))
-        sums += [
-            F.count(value).alias(f"n_{x}"),
-            F.min(value).alias(f"min_{x}"),
-            F.max(value).alias(f"max_{x}"),
-            F.min(F.when(inside, value)).alias(f"low_{x}"),
-            F.max(F.when(inside, value)).alias(f"high_{x}"),
-            F.count_if(~inside).alias(f"out_{x}"),
-        ]
-        entries.append(
-            F.struct(
-                F.lit(names[x]).alias("column"),
-                F.col(f"n_{x}").alias("n"),
-                F.col(f"min_{x}").alias("min"),
-                # Without a value between box and fence the whisker ends at the box.
-                F.least(F.col(f"low_{x}"), F.lit(q1)).alias("whisker_low"),
-                F.lit(q1).alias("q1"),
-                F.lit(median).alias("median"),
-                F.lit(q3).alias("q3"),
-                F.greatest(F.col(f"high_{x}"), F.lit(q3)).alias("whisker_high"),
-                F.col(f"max_{x}").alias("max"),
-                F.col(f"out_{x}").alias("outliers"),
-            )
+    q1, median, q3, low, high = (
+        F.lit(list(of_column))[F.col("i")] for of_column in zip(*boxes.values())
+    )
+    x = F.col("x")
+    inside = x.between(low, high)
+    return (
+        _long(values, list(boxes))
+        .groupBy("i")
+        .agg(
+            F.count(x).alias("n"),
+            F.min(x).alias("min"),
+            F.max(x).alias("max"),
+            F.min(F.when(inside, x)).alias("low"),
+            F.max(F.when(inside, x)).alias("high"),
+            F.count_if(~inside).alias("outliers"),
+        )
+        .select(
+            F.lit([names[x] for x in boxes])[F.col("i")].alias("column"),
+            "n",
+            "min",
+            # Without a value between box and fence the whisker ends at the box.
+            F.least(F.col("low"), q1).alias("whisker_low"),
+            q1.alias("q1"),
+            median.alias("median"),
+            q3.alias("q3"),
+            F.greatest(F.col("high"), q3).alias("whisker_high"),
+            "max",
+            "outliers",
         )
-    return values.agg(*sums).select(F.inline(F.array(*entries)))
+    )
 
 
 def boxplot_outliers(
@@ -266,14 +247,16 @@ def boxplot_outliers(
 ) -> DataFrame:
     """``(column, value)``: every point beyond the fences."""
     values, names = _numbers(df, columns)
-    fences = _box_fences(values, names, method, factor) if names else {}
-    if not fences:
+    boxes = _boxes(values, names, method, factor) if names else {}
+    if not boxes:
         return df.sparkSession.createDataFrame([], "column string, value double")
-    points = [
-        F.when(
-            ~F.col(x).between(F.lit(low), F.lit(high)),
-            F.struct(F.lit(names[x]).alias("column"), F.col(x).alias("value")),
+    low, high = (
+        F.lit(list(of_column))[F.col("i")] for of_column in list(zip(*boxes.values()))[3:]
+    )
+    return (
+        _long(values, list(boxes))
+        .where(~F.col("x").between(low, high))
+        .select(
+            F.lit([names[x] for x in boxes])[F.col("i")].alias("column"), F.col("x").alias("value")
         )
-        for x, (_, low, high) in fences.items()
-    ]
-    return values.select(F.inline(F.array_compact(F.array(*points))))
+    )

@@ -1,14 +1,20 @@
 """Quantiles of many columns at once.
 
 ``exact`` interpolates linearly between neighbouring values. Spark's own
-``percentile`` does that too, but gathers every distinct value of a column in
-one task, so it is used only where that set is known to be small. Other
-columns are narrowed down instead: approximate pivots bracket the wanted rank,
-one pass counts the rows around the pivots, and the bracket shrinks by a
-factor in the thousands each time until it is small enough to fetch. Those
-passes shuffle one row per task whatever the data looks like.
-
-``approx`` is the nearest-rank sketch, one pass, bounded memory.
+``percentile`` does that too, but gathers the values of a column in one task,
+so it serves small tables only. On larger ones the wanted ranks are narrowed
+down: pivots from a sample cut each column into segments, a pass over all rows
+counts each segment, and only a segment that holds a wanted rank is cut again
+or, once small enough, fetched. The sample only steers; the counts decide, so
+the result is exact whatever was drawn.
+
+A cut shrinks a segment about 250 times: three passes do up to 50 million
+rows, seven up to 10 ** 12. A pass shuffles a few rows per task whatever the
+data looks like, and the sample's size is fixed. A pivot is a segment of its
+own, so a value that fills a third of the column is settled by the first count.
+
+``approx`` is Spark's nearest-rank sketch in one pass. Its tasks each send a
+sketch per column to one task, so with very many tasks ``exact`` scales better.
 """
 
 from __future__ import annotations
@@ -25,8 +31,9 @@ from tableprep.operators.schema import select_fields
 
 # Most values of one column that may meet in one task.
 GATHER_LIMIT = 200_000
-# Accuracy of the pivots; a bracket keeps about 6 / PIVOT_ACCURACY of its rows.
-PIVOT_ACCURACY = 10_000
+# Rows sampled for pivots: a tenth of the table within these bounds.
+SAMPLE_ROWS = (100_000, 1_000_000)
+SAMPLE_SEED = 17
 DEFAULT_ACCURACY = 10_000
 
 
@@ -57,7 +64,7 @@ def quantiles(
         if rows <= gather_limit:
             found = _gathered(values, names, probabilities)
         else:
-            found = _selected(values, names, probabilities, gather_limit)
+            found = _selected(values, names, probabilities, rows, gather_limit)
     else:
         raise ValueError(f"method must be 'exact' or 'approx', not {method!r}")
     return {column: found[name] for column, name in zip(columns, names)}
@@ -75,128 +82,203 @@ def _gathered(values, names, probabilities):
     return {x: None if row[x] is None else list(row[x]) for x in names}
 
 
-@dataclass
-class _Search:
-    """The open interval that holds the value of a 0-based rank."""
+@dataclass(frozen=True)
+class _Interval:
+    """An open interval of one column; a bound of None is no bound."""
 
     column: str
-    rank: int
-    inside: int
-    below: int = 0
-    low: float | None = None
-    high: float | None = None
-    value: float | None = None
-
-    def values_inside(self) -> Column:
-        x = F.col(self.column)
+    low: float | None
+    high: float | None
+
+    def holds(self, x: Column) -> Column:
         condition = x.isNotNull()
         if self.low is not None:
             condition = condition & (x > F.lit(self.low))
         if self.high is not None:
             condition = condition & (x < F.lit(self.high))
-        return F.when(condition, x)
-
-    def pivots(self) -> Column:
-        share = (self.rank - self.below + 0.5) / self.inside
-        margin = 2 / PIVOT_ACCURACY
-        bounds = [max(0.0, share - margin), min(1.0, share + margin)]
-        return F.percentile_approx(self.values_inside(), bounds, PIVOT_ACCURACY)
-
-    def counts_around(self, pivots: list[float]) -> Column:
-        x = self.values_inside()
-        left, right = (F.lit(p) for p in pivots)
-        tests = [x < left, x <= left, x < right, x <= right]
-        return F.array(*[F.count_if(t) for t in tests])
-
-    def narrow(self, pivots: list[float], counts: list[int]) -> None:
-        left, right = pivots
-        below_left, to_left, below_right, to_right = counts
-        rank = self.rank - self.below
-        if rank < below_left:
-            self.high, self.inside = left, below_left
-        elif rank < to_left:
-            self.value = left
-        elif rank < below_right:
-            self.low, self.high = left, right
-            self.below += to_left
-            self.inside = below_right - to_left
-        elif rank < to_right:
-            self.value = right
-        else:
-            self.low = right
-            self.below += to_right
-            self.inside -= to_right
-
-
-def _values_at_ranks(values: DataFrame, searches: list[_Search], gather_limit: int) -> None:
-    while True:
-        pending = [s for s in searches if s.value is None]
-        if not pending:
-            return
-        # Small brackets are fetched, large ones get pivots, in the same pass.
-        row = values.agg(
+        return condition
+
+
+@dataclass
+class _Segments:
+    """A column cut at its pivots, with the number of values in each part.
+
+    Part ``2 * k`` lies below pivot ``k`` and part ``2 * k + 1`` equals it.
+    """
+
+    column: str
+    pivots: list[float]
+    counts: dict[int, int]
+
+    def locate(self, rank: int) -> tuple[float | None, _Interval, int, int]:
+        """The value of a rank, or the interval it lies in, the number of
+        values below that and the number in it."""
+        below = 0
+        for part in range(2 * len(self.pivots) + 1):
+            count = self.counts.get(part, 0)
+            if rank < below + count:
+                break
+            below += count
+        k = part // 2
+        low = self.pivots[k - 1] if k > 0 else None
+        high = self.pivots[k] if k < len(self.pivots) else None
+        value = high if part % 2 else None
+        return value, _Interval(self.column, low, high), below, count
+
+
+def _part_of(x: Column, pivots: Sequence[float], first: int) -> Column:
+    """The number of the part ``x`` lies in, counted from ``first``."""
+    if not pivots:
+        return F.when(x.isNotNull(), F.lit(first))
+    part = F.when(x.isNull(), F.lit(None))
+    for k, pivot in enumerate(pivots):
+        part = part.when(x < F.lit(pivot), F.lit(first + 2 * k))
+        part = part.when(x == F.lit(pivot), F.lit(first + 2 * k + 1))
+    return part.otherwise(F.lit(first + 2 * len(pivots)))
+
+
+def _count_segments(values: DataFrame, pivots: dict[str, list[float]]) -> dict[str, _Segments]:
+    # Parts are numbered across all columns, so that the group key is one integer.
+    parts, owner = [], {}
+    for x, points in pivots.items():
+        first = len(owner)
+        parts.append(_part_of(F.col(x), points, first))
+        owner.update({first + k: (x, k) for k in range(2 * len(points) + 1)})
+    rows = (
+        values.select(F.explode(F.array(*parts)).alias("part"))
+        .where(F.col("part").isNotNull())
+        .groupBy("part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
+    )
+    segments = {x: _Segments(x, points, {}) for x, points in pivots.items()}
+    for part, n in rows:
+        x, k = owner[part]
+        segments[x].counts[k] = n
+    return segments
+
+
+def _inside(values: DataFrame, intervals: Sequence[_Interval]) -> DataFrame:
+    """``(id, x)``: the values inside each interval, under its position."""
+    cells = [
+        F.when(
+            interval.holds(F.col(interval.column)),
+            F.struct(F.lit(i).alias("id"), F.col(interval.column).alias("x")),
+        )
+        for i, interval in enumerate(intervals)
+    ]
+    return (
+        values.select(F.explode(F.array(*cells)).alias("cell"))
+        .where(F.col("cell").isNotNull())
+        .select("cell.id", "cell.x")
+    )
+
+
+def _sample_share(rows: int) -> tuple[float, float]:
+    """The share of rows to sample, and a safe margin for a rank in it."""
+    least, most = SAMPLE_ROWS
+    size = min(max(least, rows // 10), most, rows)
+    # More than four standard deviations of a sampled rank.
+    return size / rows, 2 / math.sqrt(size)
+
+
+def _around(shares: Sequence[float], margin: float) -> list[float]:
+    return [b for s in shares for b in (max(0.0, s - margin), min(1.0, s + margin))]
+
+
+def _first_cut(values, names, probabilities, rows):
+    share, margin = _sample_share(rows)
+    row = (
+        values.sample(share, SAMPLE_SEED)
+        .agg(*[F.percentile_approx(x, _around(probabilities, margin)).alias(x) for x in names])
+        .first()
+    )
+    return {x: sorted(set(row[x] or ())) for x in names}
+
+
+def _selected(values, names, probabilities, rows, gather_limit):
+    pivots = _first_cut(values, names, probabilities, rows)
+    segments = _count_segments(values, pivots)
+    counts = {x: sum(segments[x].counts.values()) for x in names}
+    wanted = set()
+    for x in names:
+        if counts[x]:
+            for p in probabilities:
+                position = (counts[x] - 1) * p
+                wanted |= {(x, math.floor(position)), (x, math.ceil(position))}
+
+    found: dict[tuple[str, int], float] = {}
+    seed = SAMPLE_SEED
+    while wanted:
+        small: dict[_Interval, list[tuple[int, int]]] = {}
+        large: dict[_Interval, tuple[int, list[float]]] = {}
+        for x, rank in sorted(wanted):
+            value, interval, below, inside = segments[x].locate(rank)
+            if value is not None:
+                found[x, rank] = value
+            elif inside <= gather_limit:
+                small.setdefault(interval, []).append((rank, rank - below))
+            else:
+                share = (rank - below + 0.5) / inside
+                large.setdefault(interval, (inside, []))[1].append(share)
+        if small:
+            for interval, positions, fetched in _fetch(values, small):
+                for (rank, _), value in zip(positions, fetched):
+                    found[interval.column, rank] = value
+        wanted -= found.keys()
+        if wanted:
+            pivots = {x: pivots[x] for x, _ in wanted}
+            seed += 1
+            for interval, points in _cut(values, large, seed):
+                x = interval.column
+                pivots[x] = sorted({*pivots[x], *points})
+            segments = _count_segments(values, pivots)
+
+    return {
+        x: [_interpolated(found, x, (counts[x] - 1) * p) for p in probabilities]
+        if counts[x]
+        else None
+        for x in names
+    }
+
+
+def _fetch(values, small):
+    """Single values out of small intervals, by their position inside."""
+    intervals = list(small)
+    picked = F.lit([[place for _, place in small[i]] for i in intervals])[F.col("id")]
+    rows = (
+        _inside(values, intervals)
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list("x")).alias("xs"))
+        .select("id", F.transform(picked, lambda place: F.get("xs", place)).alias("picked"))
+        .collect()
+    )
+    return [(intervals[r["id"]], small[intervals[r["id"]]], r["picked"]) for r in rows]
+
+
+def _cut(values, large, seed):
+    """New pivots around the wanted ranks of large intervals."""
+    sizes = [inside for inside, _ in large.values()]
+    share, margin = _sample_share(min(sizes))
+    # The sample takes the same share of every interval, so bound the largest.
+    share = min(share, SAMPLE_ROWS[1] / max(sizes))
+    row = (
+        values.sample(share, seed)
+        .agg(
             *[
-                F.sort_array(F.collect_list(s.values_inside())).getItem(s.rank - s.below)
-                if s.inside <= gather_limit
-                else s.pivots()
-                for s in pending
+                F.percentile_approx(
+                    F.when(i.holds(F.col(i.column)), F.col(i.column)), _around(shares, margin)
+                )
+                for i, (_, shares) in large.items()
             ]
-        ).first()
-        narrowed = []
-        for search, found in zip(pending, row):
-            if search.inside <= gather_limit:
-                search.value = found
-            else:
-                narrowed.append((search, found))
-        if narrowed:
-            row = values.agg(*[s.counts_around(pivots) for s, pivots in narrowed]).first()
-            for (search, pivots), counts in zip(narrowed, row):
-                search.narrow(pivots, counts)
+        )
+        .first()
+    )
+    return [(interval, points or ()) for interval, points in zip(large, row)]
 
 
-def _selected(values, names, probabilities, gather_limit):
-    stats = values.agg(
-        *[F.count(x).alias(f"n_{x}") for x in names],
-        *[F.approx_count_distinct(x).alias(f"d_{x}") for x in names],
-    ).first()
-    # Few distinct values: ``percentile`` keeps one counter for each of them.
-    narrow = [x for x in names if stats[f"d_{x}"] <= gather_limit // 2]
-    found = _gathered(values, narrow, probabilities) if narrow else {}
-
-    searches: dict[tuple[str, int], _Search] = {}
-    wide = [x for x in names if x not in found]
-    for x in wide:
-        count = stats[f"n_{x}"]
-        for p in probabilities:
-            rank = math.floor((count - 1) * p)
-            searches.setdefault((x, rank), _Search(x, rank, inside=count))
-    if not searches:
-        return found
-    _values_at_ranks(values, list(searches.values()), gather_limit)
-
-    # The next value up, for interpolation: the same one again if repeated.
-    after = values.agg(
-        *[
-            F.struct(
-                F.count_if(F.col(s.column) <= F.lit(s.value)),
-                F.min(F.when(F.col(s.column) > F.lit(s.value), F.col(s.column))),
-            )
-            for s in searches.values()
-        ]
-    ).first()
-    successor = {}
-    for (key, search), (up_to, next_value) in zip(searches.items(), after):
-        successor[key] = search.value if up_to > search.rank + 1 else next_value
-    for x in wide:
-        count = stats[f"n_{x}"]
-        result = []
-        for p in probabilities:
-            position = (count - 1) * p
-            rank = math.floor(position)
-            low = searches[x, rank].value
-            if position == rank:
-                result.append(low)
-            else:
-                result.append((rank + 1 - position) * low + (position - rank) * successor[x, rank])
-        found[x] = result
-    return found
+def _interpolated(found, x: str, position: float) -> float:
+    low, high = math.floor(position), math.ceil(position)
+    if low == high:
+        return found[x, low]
+    return (high - position) * found[x, low] + (position - low) * found[x, high]
