@@ -1,7 +1,7 @@
 """Table sources and sinks.
 
 CSV text is written so that it reads back the same: quotes are doubled, outer
-blanks kept. Tables are directories of part files; nothing passes through the
+blanks kept. Only the empty text comes back as missing. Tables are directories of part files; nothing passes through the
 driver.
 """
 
