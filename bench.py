@@ -1,6 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
-Tables come from $BENCH_SF_DIR, cores from $BENCH_CPUS. ``per_column`` holds the
+Each query runs twice and the faster run counts, so that the numbers tell of
+the query and not of the JVM warming up. Tables come from $BENCH_SF_DIR, cores from $BENCH_CPUS. ``per_column`` holds the
 same work done the plain way, with one job per column, for comparison.
 """
 
@@ -79,10 +80,13 @@ def per_column(spark: SparkSession):
     return {"nonconforming_cells": count_missing, "outliers_sequential_lineitem": drop_outliers}
 
 
-def timed(run) -> float:
-    start = time.perf_counter()
-    run()
-    return round(time.perf_counter() - start, 3)
+def timed(run, times: int = 2) -> float:
+    seconds = []
+    for _ in range(times):
+        start = time.perf_counter()
+        run()
+        seconds.append(time.perf_counter() - start)
+    return round(min(seconds), 3)
 
 
 def main() -> None:

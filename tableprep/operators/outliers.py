@@ -23,6 +23,9 @@ from tableprep.operators.schema import numeric_columns
 # Fixed value: fence distance in interquartile ranges.
 IQR_FACTOR = 1.5
 
+# Columns whose fences a sequential run first looks for at once.
+LOOK_AHEAD = 8
+
 
 @dataclass(frozen=True)
 class Fence:
@@ -125,14 +128,34 @@ def find_fences(
     if method == "exact" and columns and quantile_options.get("rows") is None:
         # Filtering only ever lowers the count, so one count bounds every step.
         quantile_options["rows"] = df.count()
+
+    # Columns that drop no row leave the later fences as they are. So fences
+    # are found for several columns at once, and hold up to and including the
+    # first column that drops rows.
     found: list[Fence] = []
-    for column in columns:
-        step = fences(df, [column], method, factor, **quantile_options)
-        df = _filter(df, step, skip_zero_iqr)
-        found += step
+    ahead = LOOK_AHEAD
+    while len(found) < len(columns):
+        window = columns[len(found) : len(found) + ahead]
+        step = fences(df, window, method, factor, **quantile_options)
+        valid = 1 if len(window) == 1 else _holding(df, step, skip_zero_iqr)
+        ahead = 2 * ahead if valid == len(window) else max(1, valid)
+        found += step[:valid]
+        df = _filter(df, step[:valid], skip_zero_iqr)
     return found
 
 
+def _holding(df: DataFrame, step: Sequence[Fence], skip_zero_iqr: bool) -> int:
+    """How many fences hold one after the other, given all from one table."""
+    dropped = []
+    for fence in step:
+        condition, _ = inside_fences(df, [fence], skip_zero_iqr)
+        # A missing value is not inside, so it drops its row as well.
+        outside = F.lit(False) if condition is None else ~F.coalesce(condition, F.lit(False))
+        dropped.append(F.count_if(outside))
+    counts = df.agg(*dropped).first()
+    return next((i + 1 for i, n in enumerate(counts) if n), len(step))
+
+
 def drop_outliers(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -146,7 +169,8 @@ def drop_outliers(
 
     ``joint`` takes every column's fences from the given table. ``sequential``
     takes them from the table already filtered on the columns before, so it
-    depends on the column order and needs a pass per column. Rows with a
+    depends on the column order and needs passes for every column that drops
+    rows. Rows with a
     missing value in a tested column are dropped; a column without any value
     is skipped.
     """

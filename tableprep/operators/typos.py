@@ -5,6 +5,9 @@ shuffle for all columns. Each distinct value is then compared with the top
 values of its column. Short values get the top values as one small array with
 a proven byte bound and need no join. Values too long for that bound are joined
 on their length, so nothing of unknown size is ever broadcast by force.
+
+Most pairs are ruled out by comparing lengths and a few character counts, before
+an edit distance is computed.
 """
 
 from __future__ import annotations
@@ -21,6 +24,11 @@ from tableprep.operators.schema import string_columns
 ARRAY_BYTES = 32 * 1024 * 1024
 # A character takes at most this many bytes in UTF-8.
 CHARACTER_BYTES = 4
+# Groups of characters that are counted in each value. An edit changes the count
+# of at most two groups, each by one.
+CHARACTER_GROUPS = ("aeiouAEIOU", "nrstNRST", "dhlcmDHLCM", "0", "12", "34", "56", "789")
+# Counting characters of longer values costs more than it saves.
+COUNTED_LENGTH = 256
 # Rows of one repeated value that one task writes out.
 REPEAT_CHUNK = 1_000_000
 # Spark limits a ranked group before the shuffle up to this rank by default.
@@ -71,11 +79,29 @@ def _rank(counts: DataFrame, top_n: int) -> DataFrame:
     return ranked.where(F.col("rank") <= top_n)
 
 
-def _close(value: Column, other: Column, threshold: int) -> Column:
-    """Different, and within the edit distance; lengths are compared first."""
+def _traits(value: Column) -> Column:
+    """What is compared before the edit distance."""
+    length = F.length(value)
+    counted = [length - F.length(F.translate(value, group, "")) for group in CHARACTER_GROUPS]
+    groups = F.when(length <= COUNTED_LENGTH, F.array(*counted))
+    return F.struct(length.alias("length"), groups.alias("groups"))
+
+
+def _close(
+    value: Column, traits: Column, other: Column, other_traits: Column, threshold: int
+) -> Column:
+    """Different, and within the edit distance."""
+    moved = sum(
+        (
+            F.abs(traits["groups"][i] - other_traits["groups"][i])
+            for i in range(len(CHARACTER_GROUPS))
+        ),
+        F.lit(0),
+    )
     return (
-        (value != other)
-        & (F.abs(F.length(value) - F.length(other)) <= threshold)
+        (F.abs(traits["length"] - other_traits["length"]) <= threshold)
+        & F.coalesce(moved <= 2 * threshold, F.lit(True))
+        & (value != other)
         & (F.levenshtein(value, other, threshold) >= 0)
     )
 
@@ -101,54 +127,63 @@ def typo_values(
     counts = value_counts(df, columns)
     top = _rank(counts, top_n)
     longest = array_bytes // (CHARACTER_BYTES * top_n * len(columns))
-
-    # ``n`` is at least 1, so this factor changes nothing; it keeps tests on the
-    # value above the aggregate, where they run once per distinct value and
-    # leave both uses of the aggregate equal, so that Spark computes it once.
-    one = F.least(F.col("n"), F.lit(1))
-    length = F.length("value")
     # A value this short can only be close to a top value inside the bound.
-    short_enough = length * one <= longest - threshold
+    # ``n`` is at least 1, so it changes nothing here; it keeps the test above
+    # the aggregate, whose uses stay equal, so that Spark computes it once.
+    one = F.least(F.col("n"), F.lit(1))
+    short = F.length("value") * one <= longest - threshold
 
+    # Traits are computed before values are paired, once for each value.
+    traits = _traits(F.col("value")).alias("traits")
+    values = counts.select("column", "value", "n", traits)
+    candidate = F.struct("rank", "value", traits).alias("t")
     listed = (
         top.where(F.length("value") <= longest)
+        .select("column", candidate)
         .groupBy("column")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("top"))
+        .agg(F.sort_array(F.collect_list("t")).alias("top"))
         .agg(F.map_from_entries(F.collect_list(F.struct("column", "top"))))
     )
-    with_top = counts.where(short_enough).select(
-        "column",
-        "value",
-        "n",
-        F.try_element_at(listed.scalar(), F.col("column")).alias("top"),
+    by_array = (
+        values.where(short)
+        .select("*", F.try_element_at(listed.scalar(), F.col("column")).alias("top"))
+        # The inner form would add a test on the array below the aggregate.
+        .select("column", "value", "n", "traits", F.explode_outer("top").alias("t"))
     )
-    close = F.filter("top", lambda t: _close(F.col("value"), t["value"], threshold))
-    short = with_top.select(
-        "column", "value", F.transform(close, lambda t: t["value"]).alias("possible_typos"), "n"
-    ).where(F.size("possible_typos") >= one)
-
     lengths = F.sequence(F.length("value") - threshold, F.length("value") + threshold)
-    candidates = top.where(F.length("value") > longest - 2 * threshold).select(
-        "column",
-        F.col("value").alias("top_value"),
-        "rank",
-        F.explode(lengths).alias("length"),
+    long_top = top.where(F.length("value") > longest - 2 * threshold).select(
+        "column", candidate, F.explode(lengths).alias("length")
+    )
+    by_length = (
+        values.where(~short)
+        .withColumn("length", F.length("value"))
+        .join(long_top, ["column", "length"])
+        .select("column", "value", "n", "traits", "t")
     )
-    long = (
-        counts.where(~short_enough)
-        .withColumn("length", length)
-        .join(candidates, ["column", "length"])
-        .where(_close(F.col("value"), F.col("top_value"), threshold))
+    return _collected(by_array, threshold).unionByName(_collected(by_length, threshold))
+
+
+def _collected(pairs: DataFrame, threshold: int) -> DataFrame:
+    """The close top values of each value, in one row.
+
+    Pairs made by the array still lie where their value was counted, so
+    bringing them together again takes no shuffle.
+    """
+    close = _close(
+        F.col("value"), F.col("traits"), F.col("t.value"), F.col("t.traits"), threshold
+    )
+    return (
+        pairs.where(close)
+        .select("column", "value", "n", F.struct("t.rank", "t.value").alias("top"))
         .groupBy("column", "value", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "top_value"))).alias("found"))
+        .agg(F.sort_array(F.collect_list("top")).alias("found"))
         .select(
             "column",
             "value",
-            F.transform("found", lambda t: t["top_value"]).alias("possible_typos"),
+            F.transform("found", lambda t: t["value"]).alias("possible_typos"),
             "n",
         )
     )
-    return short.unionByName(long)
 
 
 def find_typos(
