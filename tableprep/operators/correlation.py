@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.missing import present
 from tableprep.operators.schema import numeric_columns, select_fields
 
+# Up to this many columns every pair is summed on its own. Of more columns,
+# those without missing values go through one matrix product.
+MOST_PAIRED = 10
+
 SCHEMA = "col_x string, col_y string, corr double"
 
 
@@ -25,9 +33,20 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
         return df.sparkSession.createDataFrame([], SCHEMA)
     fields = select_fields(df, columns)
     values = df.select(*[present(f).alias(f"x{i}") for i, f in enumerate(fields)])
+    indexes = range(len(columns))
+    complete: set[int] = set()
+    if len(columns) > MOST_PAIRED:
+        row = values.agg(
+            F.count(F.lit(1)), *[F.count(x) for x in values.columns]
+        ).first()
+        complete = {i for i in indexes if row[i + 1] == row[0]}
     # The pair of a column with itself gives the diagonal.
-    pairs = [(i, i) for i in range(len(columns))] + list(combinations(range(len(columns)), 2))
-    found = _by_pair(values, pairs)
+    pairs = [(i, i) for i in indexes]
+    pairs += [p for p in combinations(indexes, 2) if not complete.issuperset(p)]
+    frames = [_by_pair(values, pairs)]
+    if len(complete) > 1:
+        frames.append(_by_matrix(values, sorted(complete)))
+    found = reduce(DataFrame.unionByName, frames)
 
     name_of = F.lit(columns)
     x, y, value = name_of[F.col("i")], name_of[F.col("j")], F.col("corr")
@@ -38,6 +57,21 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
+def _by_matrix(values: DataFrame, indexes: list[int]) -> DataFrame:
+    """``(i, j, corr)`` of columns without missing values, from one scan.
+
+    The driver holds one number per pair of columns.
+    """
+    features = VectorAssembler(inputCols=[f"x{i}" for i in indexes], outputCol="features")
+    vectors = features.transform(values).select("features")
+    matrix = Correlation.corr(vectors, "features").first()[0].toArray()
+    entries = []
+    for (a, i), (b, j) in combinations(enumerate(indexes), 2):
+        value = float(matrix[a, b])
+        entries.append((i, j, None if math.isnan(value) else value))
+    return values.sparkSession.createDataFrame(entries, "i int, j int, corr double")
+
+
 def _by_pair(values: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     """``(i, j, corr)``, from one scan.
 

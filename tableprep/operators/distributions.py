@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tableprep.functions.missing import finite
 from tableprep.operators.outliers import IQR_FACTOR
-from tableprep.operators.quantiles import quantiles
+from tableprep.operators.quantiles import long_form, quantiles
 from tableprep.operators.schema import numeric_columns, select_fields
 
 DEFAULT_GRID = 200
@@ -42,13 +42,6 @@ def _numbers(df: DataFrame, columns: Sequence[str] | None) -> tuple[DataFrame, d
     return values, dict(zip(values.columns, columns))
 
 
-def _long(values: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``(i, x)``: the values of all columns under their position."""
-    return values.select(F.posexplode(F.array(*names)).alias("i", "x")).where(
-        F.col("x").isNotNull()
-    )
-
-
 def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -110,7 +103,7 @@ def histogram(
     position = F.floor((F.col("x") - low) / width)
     number = F.when(width == 0, F.lit(1)).otherwise(F.least(position, last - 1) + 1)
     return (
-        _long(values, present)
+        long_form(values, present)
         .select("i", number.cast("bigint").alias("bin"))
         .groupBy("i", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -213,7 +206,7 @@ def boxplot_stats(
     x = F.col("x")
     inside = x.between(low, high)
     return (
-        _long(values, list(boxes))
+        long_form(values, list(boxes))
         .groupBy("i")
         .agg(
             F.count(x).alias("n"),
@@ -254,7 +247,7 @@ def boxplot_outliers(
         F.lit(list(of_column))[F.col("i")] for of_column in list(zip(*boxes.values()))[3:]
     )
     return (
-        _long(values, list(boxes))
+        long_form(values, list(boxes))
         .where(~F.col("x").between(low, high))
         .select(
             F.lit([names[x] for x in boxes])[F.col("i")].alias("column"), F.col("x").alias("value")

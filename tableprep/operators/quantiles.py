@@ -21,9 +21,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.missing import present
@@ -82,96 +81,38 @@ def _gathered(values, names, probabilities):
     return {x: None if row[x] is None else list(row[x]) for x in names}
 
 
-@dataclass(frozen=True)
-class _Interval:
-    """An open interval of one column; a bound of None is no bound."""
-
-    column: str
-    low: float | None
-    high: float | None
-
-    def holds(self, x: Column) -> Column:
-        condition = x.isNotNull()
-        if self.low is not None:
-            condition = condition & (x > F.lit(self.low))
-        if self.high is not None:
-            condition = condition & (x < F.lit(self.high))
-        return condition
+def long_form(values: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(i, x)``: the values of all columns under their position."""
+    return values.select(F.posexplode(F.array(*names)).alias("i", "x")).where(
+        F.col("x").isNotNull()
+    )
 
 
-@dataclass
-class _Segments:
-    """A column cut at its pivots, with the number of values in each part.
+def _parts(values: DataFrame, pivots: dict[str, list[float]]) -> tuple[DataFrame, int]:
+    """``(code, x)``, and how many codes a column has.
 
-    Part ``2 * k`` lies below pivot ``k`` and part ``2 * k + 1`` equals it.
+    A column's part ``2 * k`` lies below its pivot ``k``, part ``2 * k + 1``
+    equals it. The code is the part plus the position of the column times the
+    number of codes, so that groups have one integer for a key.
     """
-
-    column: str
-    pivots: list[float]
-    counts: dict[int, int]
-
-    def locate(self, rank: int) -> tuple[float | None, _Interval, int, int]:
-        """The value of a rank, or the interval it lies in, the number of
-        values below that and the number in it."""
-        below = 0
-        for part in range(2 * len(self.pivots) + 1):
-            count = self.counts.get(part, 0)
-            if rank < below + count:
-                break
-            below += count
-        k = part // 2
-        low = self.pivots[k - 1] if k > 0 else None
-        high = self.pivots[k] if k < len(self.pivots) else None
-        value = high if part % 2 else None
-        return value, _Interval(self.column, low, high), below, count
-
-
-def _part_of(x: Column, pivots: Sequence[float], first: int) -> Column:
-    """The number of the part ``x`` lies in, counted from ``first``."""
-    if not pivots:
-        return F.when(x.isNotNull(), F.lit(first))
-    part = F.when(x.isNull(), F.lit(None))
-    for k, pivot in enumerate(pivots):
-        part = part.when(x < F.lit(pivot), F.lit(first + 2 * k))
-        part = part.when(x == F.lit(pivot), F.lit(first + 2 * k + 1))
-    return part.otherwise(F.lit(first + 2 * len(pivots)))
-
-
-def _count_segments(values: DataFrame, pivots: dict[str, list[float]]) -> dict[str, _Segments]:
-    # Parts are numbered across all columns, so that the group key is one integer.
-    parts, owner = [], {}
-    for x, points in pivots.items():
-        first = len(owner)
-        parts.append(_part_of(F.col(x), points, first))
-        owner.update({first + k: (x, k) for k in range(2 * len(points) + 1)})
-    rows = (
-        values.select(F.explode(F.array(*parts)).alias("part"))
-        .where(F.col("part").isNotNull())
-        .groupBy("part")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
-    segments = {x: _Segments(x, points, {}) for x, points in pivots.items()}
-    for part, n in rows:
-        x, k = owner[part]
-        segments[x].counts[k] = n
-    return segments
-
-
-def _inside(values: DataFrame, intervals: Sequence[_Interval]) -> DataFrame:
-    """``(id, x)``: the values inside each interval, under its position."""
-    cells = [
-        F.when(
-            interval.holds(F.col(interval.column)),
-            F.struct(F.lit(i).alias("id"), F.col(interval.column).alias("x")),
-        )
-        for i, interval in enumerate(intervals)
-    ]
-    return (
-        values.select(F.explode(F.array(*cells)).alias("cell"))
-        .where(F.col("cell").isNotNull())
-        .select("cell.id", "cell.x")
-    )
+    depth = max(len(points) for points in pivots.values())
+    codes = 2 * depth + 1
+    part = F.lit(0)
+    for k in range(depth):
+        # No value compares as greater than or equal to NaN here.
+        points = [p[k] if k < len(p) else math.nan for p in pivots.values()]
+        pivot = F.lit(points)[F.col("i")]
+        part = part + (F.col("x") >= pivot).cast("int") + (F.col("x") > pivot).cast("int")
+    return long_form(values, list(pivots)).select((F.col("i") * codes + part).alias("code"), "x"), codes
+
+
+def _locate(sizes: Sequence[int], rank: int) -> tuple[int, int]:
+    """The part a rank lies in, and its rank within that part."""
+    for part, size in enumerate(sizes):
+        if rank < size:
+            return part, rank
+        rank -= size
+    raise ValueError("the table gave fewer values than it did before")
 
 
 def _sample_share(rows: int) -> tuple[float, float]:
@@ -186,53 +127,56 @@ def _around(shares: Sequence[float], margin: float) -> list[float]:
     return [b for s in shares for b in (max(0.0, s - margin), min(1.0, s + margin))]
 
 
-def _first_cut(values, names, probabilities, rows):
+def _first_cut(values, names, probabilities, rows) -> dict[str, list[float]]:
     share, margin = _sample_share(rows)
-    row = (
-        values.sample(share, SAMPLE_SEED)
-        .agg(*[F.percentile_approx(x, _around(probabilities, margin)).alias(x) for x in names])
-        .first()
+    sampled = (
+        long_form(values.sample(share, SAMPLE_SEED), names)
+        .groupBy("i")
+        .agg(F.percentile_approx("x", _around(probabilities, margin)))
+        .collect()
     )
-    return {x: sorted(set(row[x] or ())) for x in names}
+    points = dict(map(tuple, sampled))
+    return {x: sorted(set(points.get(i, ()))) for i, x in enumerate(names)}
 
 
 def _selected(values, names, probabilities, rows, gather_limit):
     pivots = _first_cut(values, names, probabilities, rows)
-    segments = _count_segments(values, pivots)
-    counts = {x: sum(segments[x].counts.values()) for x in names}
-    wanted = set()
-    for x in names:
-        if counts[x]:
-            for p in probabilities:
-                position = (counts[x] - 1) * p
-                wanted |= {(x, math.floor(position)), (x, math.ceil(position))}
-
+    parts, codes = _parts(values, pivots)
+    sizes = _sizes(parts, codes, pivots)
+    counts = {x: sum(sizes[x]) for x in names}
+    wanted = {
+        (x, nearest((counts[x] - 1) * p))
+        for x in names
+        if counts[x]
+        for p in probabilities
+        for nearest in (math.floor, math.ceil)
+    }
     found: dict[tuple[str, int], float] = {}
     seed = SAMPLE_SEED
-    while wanted:
-        small: dict[_Interval, list[tuple[int, int]]] = {}
-        large: dict[_Interval, tuple[int, list[float]]] = {}
+    while True:
+        small: dict[int, list[tuple[str, int, int]]] = {}
+        large: dict[int, tuple[str, int, list[float]]] = {}
+        position = {x: i for i, x in enumerate(pivots)}
         for x, rank in sorted(wanted):
-            value, interval, below, inside = segments[x].locate(rank)
-            if value is not None:
-                found[x, rank] = value
+            part, place = _locate(sizes[x], rank)
+            code, inside = position[x] * codes + part, sizes[x][part]
+            if part % 2:
+                found[x, rank] = pivots[x][part // 2]
             elif inside <= gather_limit:
-                small.setdefault(interval, []).append((rank, rank - below))
+                small.setdefault(code, []).append((x, rank, place))
             else:
-                share = (rank - below + 0.5) / inside
-                large.setdefault(interval, (inside, []))[1].append(share)
+                share = (place + 0.5) / inside
+                large.setdefault(code, (x, inside, []))[2].append(share)
         if small:
-            for interval, positions, fetched in _fetch(values, small):
-                for (rank, _), value in zip(positions, fetched):
-                    found[interval.column, rank] = value
+            found.update(_fetched(parts, small))
+        if not large:
+            break
+        seed += 1
         wanted -= found.keys()
-        if wanted:
-            pivots = {x: pivots[x] for x, _ in wanted}
-            seed += 1
-            for interval, points in _cut(values, large, seed):
-                x = interval.column
-                pivots[x] = sorted({*pivots[x], *points})
-            segments = _count_segments(values, pivots)
+        cuts = _cut(values, pivots, large, seed)
+        pivots = {x: sorted({*pivots[x], *cuts[x]}) for x in names if x in cuts}
+        parts, codes = _parts(values, pivots)
+        sizes = _sizes(parts, codes, pivots)
 
     return {
         x: [_interpolated(found, x, (counts[x] - 1) * p) for p in probabilities]
@@ -242,39 +186,55 @@ def _selected(values, names, probabilities, rows, gather_limit):
     }
 
 
-def _fetch(values, small):
-    """Single values out of small intervals, by their position inside."""
-    intervals = list(small)
-    picked = F.lit([[place for _, place in small[i]] for i in intervals])[F.col("id")]
+def _sizes(parts: DataFrame, codes: int, pivots: dict[str, list[float]]) -> dict[str, list[int]]:
+    counted = dict(map(tuple, parts.groupBy("code").agg(F.count(F.lit(1))).collect()))
+    return {
+        x: [counted.get(i * codes + k, 0) for k in range(2 * len(points) + 1)]
+        for i, (x, points) in enumerate(pivots.items())
+    }
+
+
+def _fetched(parts, small):
+    """Single values out of small parts, by their rank inside."""
+    code_list = list(small)
+    places = F.create_map(
+        *[F.lit(v) for code in code_list for v in (code, [p for _, _, p in small[code]])]
+    )[F.col("code")]
     rows = (
-        _inside(values, intervals)
-        .groupBy("id")
+        parts.where(F.col("code").isin(code_list))
+        .groupBy("code")
         .agg(F.sort_array(F.collect_list("x")).alias("xs"))
-        .select("id", F.transform(picked, lambda place: F.get("xs", place)).alias("picked"))
+        .select("code", F.transform(places, lambda place: F.get("xs", place)))
         .collect()
     )
-    return [(intervals[r["id"]], small[intervals[r["id"]]], r["picked"]) for r in rows]
+    return {
+        (x, rank): value
+        for code, picked in rows
+        for (x, rank, _), value in zip(small[code], picked)
+    }
 
 
-def _cut(values, large, seed):
-    """New pivots around the wanted ranks of large intervals."""
-    sizes = [inside for inside, _ in large.values()]
+def _cut(values, pivots, large, seed) -> dict[str, set[float]]:
+    """New pivots around the wanted ranks of large parts."""
+    sizes = [inside for _, inside, _ in large.values()]
     share, margin = _sample_share(min(sizes))
-    # The sample takes the same share of every interval, so bound the largest.
+    # The sample takes the same share of every part, so bound the largest.
     share = min(share, SAMPLE_ROWS[1] / max(sizes))
-    row = (
-        values.sample(share, seed)
-        .agg(
-            *[
-                F.percentile_approx(
-                    F.when(i.holds(F.col(i.column)), F.col(i.column)), _around(shares, margin)
-                )
-                for i, (_, shares) in large.items()
-            ]
-        )
-        .first()
+    # Every group answers for the shares of all; each takes its own answers.
+    asked = sorted({b for _, _, shares in large.values() for b in _around(shares, margin)})
+    parts, _ = _parts(values.sample(share, seed), pivots)
+    rows = (
+        parts.where(F.col("code").isin(list(large)))
+        .groupBy("code")
+        .agg(F.percentile_approx("x", asked))
+        .collect()
     )
-    return [(interval, points or ()) for interval, points in zip(large, row)]
+    cuts: dict[str, set[float]] = {x: set() for x, _, _ in large.values()}
+    for code, points in rows:
+        x, _, shares = large[code]
+        answer = dict(zip(asked, points))
+        cuts[x] |= {answer[b] for b in _around(shares, margin)}
+    return cuts
 
 
 def _interpolated(found, x: str, position: float) -> float:

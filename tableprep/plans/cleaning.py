@@ -15,9 +15,10 @@ projection, one filter, and the shuffle of the deduplication.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,19 +72,29 @@ class CleanResult:
     """A cleaned table with what was decided and seen on the way.
 
     ``cleaned``, ``typos``, ``step_counts`` and ``removed`` are lazy: they
-    cost nothing unless read.
+    cost nothing unless read. The last three are not even planned before.
     """
 
     cleaned: DataFrame
     keys: list[str]
     nonconforming: DataFrame
-    typos: DataFrame
-    step_counts: DataFrame
     fences: DataFrame
     timings: DataFrame
     dropped_columns: list[str]
     skipped_outlier_columns: list[str]
-    metrics: dict = field(default_factory=dict)
+    metrics: dict
+    plan_typos: Callable[[], DataFrame] = field(repr=False)
+    plan_step_counts: Callable[[], DataFrame] = field(repr=False)
+
+    @cached_property
+    def typos(self) -> DataFrame:
+        """``(column, value, possible_typos, n)``, of the values before they are normalised."""
+        return self.plan_typos()
+
+    @cached_property
+    def step_counts(self) -> DataFrame:
+        """``(step_no, step, rows, columns, cells)``."""
+        return self.plan_step_counts()
 
     @property
     def removed(self) -> DataFrame:
@@ -166,10 +177,6 @@ def clean(
             na_test = na_condition(filled, left, config.na_threshold, nan_missing)
         solid = _where(filled, na_test)
 
-    typos = typo_operators.typo_values(
-        solid, None, config.typo_threshold, config.typo_top_n
-    )
-
     texts = {}
     for name in string_columns(solid):
         with clock.step(f"clean column {name}", "column"):
@@ -203,15 +210,17 @@ def clean(
         cleaned=cleaned,
         keys=keys,
         nonconforming=nonconforming,
-        typos=typos,
-        step_counts=_step_counts(
-            table, len(raw_names), rows_test, na_test, fence_test, fenced, keys
-        ),
         fences=fence_table(df, fences),
         timings=timing_table(df.sparkSession, clock.timings),
         dropped_columns=dropped,
         skipped_outlier_columns=skipped,
         metrics={"rows": counts.rows, "rows_after_sparse_rows": left.rows},
+        plan_typos=lambda: typo_operators.typo_values(
+            solid, None, config.typo_threshold, config.typo_top_n
+        ),
+        plan_step_counts=lambda: _step_counts(
+            table, len(raw_names), rows_test, na_test, fence_test, fenced, keys
+        ),
     )
 
 
@@ -282,14 +291,14 @@ def _nothing_left(df, keys, nonconforming, clock, dropped, counts) -> CleanResul
         cleaned=df,
         keys=keys,
         nonconforming=nonconforming,
-        typos=typo_operators.typo_values(df, []),
-        step_counts=spark.createDataFrame(
-            [(0, "initial", rows, columns, rows * columns)],
-            "step_no bigint, step string, rows bigint, columns bigint, cells bigint",
-        ),
         fences=fence_table(df, []),
         timings=timing_table(spark, clock.timings),
         dropped_columns=[],
         skipped_outlier_columns=[],
         metrics={"rows": rows, "all_columns_sparse": dropped},
+        plan_typos=lambda: typo_operators.typo_values(df, []),
+        plan_step_counts=lambda: spark.createDataFrame(
+            [(0, "initial", rows, columns, rows * columns)],
+            "step_no bigint, step string, rows bigint, columns bigint, cells bigint",
+        ),
     )

@@ -29,6 +29,19 @@ def test_correlation_of_columns_that_never_meet(spark):
     assert correlation(df.select(), []).collect() == []
 
 
+def test_correlation_by_matrix_equals_correlation_by_pair(spark, monkeypatch):
+    df = spark.range(200).selectExpr(
+        "rand(1) a", "rand(2) + id b", "id c", "if(id % 5 = 0, null, sqrt(id)) d", "1.5D e"
+    )
+    by_pair = {(x, y): v for x, y, v in correlation(df).collect()}
+    monkeypatch.setattr("tableprep.operators.correlation.MOST_PAIRED", 0)
+    mixed = {(x, y): v for x, y, v in correlation(df).collect()}
+    assert mixed.keys() == by_pair.keys() and len(mixed) == 25
+    for pair, value in by_pair.items():
+        assert mixed[pair] == (None if value is None else pytest.approx(value)), pair
+    assert [mixed["e", x] for x in "abcde"] == [None] * 5
+
+
 def test_histogram_bins(spark):
     df = spark.createDataFrame([(0,), (1,), (2,)], "x int")
     assert rows(distributions.histogram(df, bins=4)) == [
