@@ -13,8 +13,9 @@ rows, seven up to 10 ** 12. A pass shuffles a few rows per task whatever the
 data looks like, and the sample's size is fixed. A pivot is a segment of its
 own, so a value that fills a third of the column is settled by the first count.
 
-``approx`` is Spark's nearest-rank sketch in one pass. Its tasks each send a
-sketch per column to one task, so with very many tasks ``exact`` scales better.
+``approx`` is Spark's nearest-rank sketch in one pass. Every task sends a sketch
+of each column, and one task merges those of a column; with very many tasks
+``exact`` moves less data.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.missing import present
@@ -30,6 +31,8 @@ from tableprep.operators.schema import select_fields
 
 # Most values of one column that may meet in one task.
 GATHER_LIMIT = 200_000
+# Most columns of that size that may meet in one task.
+MOST_GATHERED = 10
 # Rows sampled for pivots: a tenth of the table within these bounds.
 SAMPLE_ROWS = (100_000, 1_000_000)
 SAMPLE_SEED = 17
@@ -56,29 +59,23 @@ def quantiles(
     values = df.select(*[present(f).alias(f"x{i}") for i, f in enumerate(fields)])
     names = values.columns
     if method == "approx":
-        found = _approximate(values, names, probabilities, accuracy)
+        found = _by_column(values, F.percentile_approx("x", list(probabilities), accuracy))
     elif method == "exact":
         if rows is None:
             rows = values.count()
-        if rows <= gather_limit:
-            found = _gathered(values, names, probabilities)
+        if rows <= gather_limit and rows * len(names) <= MOST_GATHERED * gather_limit:
+            found = _by_column(values, F.percentile("x", list(probabilities)))
         else:
             found = _selected(values, names, probabilities, rows, gather_limit)
     else:
         raise ValueError(f"method must be 'exact' or 'approx', not {method!r}")
-    return {column: found[name] for column, name in zip(columns, names)}
+    return {column: found.get(name) for column, name in zip(columns, names)}
 
 
-def _approximate(values, names, probabilities, accuracy):
-    row = values.agg(
-        *[F.percentile_approx(x, list(probabilities), accuracy).alias(x) for x in names]
-    ).first()
-    return {x: None if row[x] is None else list(row[x]) for x in names}
-
-
-def _gathered(values, names, probabilities):
-    row = values.agg(*[F.percentile(x, list(probabilities)).alias(x) for x in names]).first()
-    return {x: None if row[x] is None else list(row[x]) for x in names}
+def _by_column(values: DataFrame, aggregate: Column) -> dict[str, list[float]]:
+    """One group per column, so that columns are merged in different tasks."""
+    rows = long_form(values, values.columns).groupBy("i").agg(aggregate).collect()
+    return {values.columns[i]: list(found) for i, found in rows}
 
 
 def long_form(values: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -183,7 +183,11 @@ def clean(
             texts[name] = normalize_text(
                 quoted(name), config.unicode_ws, config.squeeze_after
             )
-    texted = replace_columns(solid, texts)
+    # Keys are compared as normalised. Other text is normalised last, when the
+    # outliers and duplicates are gone, with the same result.
+    early = {c: text for c, text in texts.items() if c in keys or c in (order or ())}
+    late = {c: text for c, text in texts.items() if c not in early}
+    keyed = replace_columns(solid, early)
 
     with clock.step("drop outliers"):
         # Text does not matter here; without it the passes read fewer columns.
@@ -200,11 +204,11 @@ def clean(
             config.skip_zero_iqr,
             **options,
         )
-        fence_test, skipped = inside_fences(texted, fences, config.skip_zero_iqr)
-        fenced = _where(texted, fence_test)
+        fence_test, skipped = inside_fences(keyed, fences, config.skip_zero_iqr)
+        fenced = _where(keyed, fence_test)
 
     with clock.step("drop duplicates"):
-        cleaned = dedup_by_key(fenced, keys, order)
+        cleaned = replace_columns(dedup_by_key(fenced, keys, order), late)
 
     return CleanResult(
         cleaned=cleaned,

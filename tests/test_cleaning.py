@@ -155,6 +155,15 @@ def test_hot_keys_and_values_survive_whole(spark):
     ]
 
 
+def test_a_text_key_is_compared_as_normalized(spark):
+    df = spark.createDataFrame(
+        [(" Rome!", 1, "A b"), ("rome", 2, "C"), ("Oslo", 3, "D ")], "City string, v int, t string"
+    )
+    result = clean(df, "City", order_by=["v"])
+    assert rows(result.cleaned) == [("oslo", 3, "d"), ("rome", 1, "a b")]
+    assert result.step_counts.where("step = 'drop duplicates'").first()["rows"] == 2
+
+
 def test_report_holds_every_artefact(raw):
     artefacts = report(raw, clean(raw, "ID"), grid=5)
     assert sorted(artefacts) == [
