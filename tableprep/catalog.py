@@ -98,7 +98,8 @@ VALID_CELLS = " + ".join(f"CAST({_valid(c)} AS INT)" for c in HOLEY_COLUMNS)
 # -- shape and completeness ---------------------------------------------------
 
 
-@query("""SELECT count(*) AS rows, 11 AS columns, count(*) * 11 AS cells FROM lineitem""")
+@query("""SELECT count(*) AS rows, CAST(11 AS BIGINT) AS columns, count(*) * 11 AS cells
+          FROM lineitem""")
 def table_shape(spark, sf_dir):
     return profile.shape(_table(spark, sf_dir, "lineitem"))
 
@@ -231,7 +232,7 @@ def key_candidates(spark, sf_dir):
 
 
 @query(
-    """SELECT type, columns, columns * n AS cells FROM
+    """SELECT type, CAST(columns AS BIGINT) AS columns, columns * n AS cells FROM
          (VALUES ('Long', 3), ('Integer', 1), ('Double', 4), ('String', 2), ('Timestamp_ntz', 1))
            AS t(type, columns),
          (SELECT count(*) AS n FROM lineitem)"""
@@ -315,7 +316,8 @@ def _top_sql(table: str, column: str, top_n: int = 100) -> str:
         UNION ALL SELECT 'p_brand', * FROM ({_top_sql("part", "p_brand", 20)})"""
 )
 def top_values(spark, sf_dir):
-    return typos.top_values(_table(spark, sf_dir, "part"), ["p_name", "p_brand"], top_n=20)
+    top = typos.top_values(_table(spark, sf_dir, "part"), ["p_name", "p_brand"], top_n=20)
+    return top.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def _typo_values_sql(table: str, column: str) -> str:
@@ -712,7 +714,8 @@ STEP_SOURCES = (
 @query(
     f"{_clean_events_sql()} "
     + " UNION ALL ".join(
-        f"SELECT {i} AS step_no, '{step}' AS step, count(*) AS rows, {width} AS columns,"
+        f"SELECT CAST({i} AS BIGINT) AS step_no, '{step}' AS step, count(*) AS rows,"
+        f" CAST({width} AS BIGINT) AS columns,"
         f" count(*) * {width} AS cells FROM {source}"
         for i, (step, source, width) in enumerate(STEP_SOURCES)
     )
@@ -723,7 +726,7 @@ def clean_step_counts(spark, sf_dir):
 
 @query(
     f"""{_clean_events_sql()} SELECT (SELECT count(*) FROM raw) - (SELECT count(*) FROM deduped)
-        AS removed_rows, 1 AS removed_columns"""
+        AS removed_rows, CAST(1 AS BIGINT) AS removed_columns"""
 )
 def clean_removed(spark, sf_dir):
     return _clean_events(spark, sf_dir).removed
@@ -787,7 +790,10 @@ def report_correlation(spark, sf_dir):
 # -- sources and sinks --------------------------------------------------------
 
 
-@query("SELECT * EXCLUDE (o_orderdate) FROM orders")
+@query(
+    """SELECT * EXCLUDE (o_orderdate) REPLACE (CAST(o_orderkey AS INT) AS o_orderkey,
+              CAST(o_custkey AS INT) AS o_custkey) FROM orders"""
+)
 def csv_roundtrip(spark, sf_dir):
     """Written as CSV, read back with inferred types."""
     orders = _table(spark, sf_dir, "orders").drop("o_orderdate")

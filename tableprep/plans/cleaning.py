@@ -108,7 +108,7 @@ class CleanResult:
         )
 
 
-class _Clock:
+class StepClock:
     def __init__(self) -> None:
         self.timings: list[tuple[str, str, float]] = []
 
@@ -135,7 +135,7 @@ def clean(
     the same rows each time; stage it first if it is not (see ``stage_table``).
     """
     raw_keys = [keys] if isinstance(keys, str) else list(keys)
-    clock = _Clock()
+    clock = StepClock()
     nan_missing = config.nan_is_missing
     raw_names = df.columns
 

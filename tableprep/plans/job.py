@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.types import StructType
 
 from tableprep.operators.profile import timing_table
-from tableprep.plans.cleaning import CleanConfig, CleanResult, _Clock, clean
+from tableprep.plans.cleaning import CleanConfig, CleanResult, StepClock, clean
 from tableprep.plans.report import report
 from tableprep.sources.tables import read_table, stage_table, write_table
 
@@ -36,7 +36,7 @@ def run(
     its table several times. For the same reason the report reads the cleaned
     table as written: staged as parquet, from which a text output is made.
     """
-    clock = _Clock()
+    clock = StepClock()
     with clock.step("read"):
         original = read_table(spark, in_path, in_format, schema, **read_options)
         if in_format not in COLUMNAR:

@@ -120,6 +120,24 @@ def test_sequential_takes_fences_from_the_filtered_table(spark):
         outliers.drop_outliers(df, mode="other")
 
 
+@pytest.mark.parametrize("ahead", [1, 2, 8])
+def test_looking_ahead_changes_nothing(spark, monkeypatch, ahead):
+    monkeypatch.setattr(outliers, "LOOK_AHEAD", ahead)
+    rng = np.random.default_rng(7)
+    table = rng.normal(size=(300, 7))
+    table[:, [0, 2, 3]] = rng.uniform(size=(300, 3))  # these columns drop no row
+    table[5, 2] = NAN  # but for a missing value
+    kept = table
+    for c in range(7):
+        q1, q3 = np.nanquantile(kept[:, c], (0.25, 0.75))
+        spread = 1.5 * (q3 - q1)
+        kept = kept[(kept[:, c] >= q1 - spread) & (kept[:, c] <= q3 + spread)]
+    df = spark.createDataFrame(table.tolist(), [f"x{c}" for c in range(7)])
+    result = outliers.drop_outliers(df, mode="sequential")
+    assert sorted(map(tuple, result.collect())) == sorted(map(tuple, kept.tolist()))
+    assert 0 < len(kept) < 300
+
+
 def test_fences_reach_the_scan(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(100).selectExpr("cast(id as double) x", "id").write.parquet(path)
