@@ -13,6 +13,9 @@ before the others are cut, as else it would leave the later shards empty.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +46,26 @@ def _walk(ends: DataFrame, capacities: list[int], shards: int, start: int, wides
     cuts = [[start] for _ in capacities]
     for _ in range(shards):
         reach = [c[-1] + size for c, size in zip(cuts, capacities, strict=True)]
-        # The end looked for lies less than one group below the reach, so most of the table is skipped.
-        near = F.lit(False)
-        for r in sorted(set(reach)):
-            near |= F.col("end").between(r - widest, r)
-        found = ends.where(near).agg(
-            *(F.max(F.when(F.col("end") <= r, F.col("end"))).alias(f"c{i}") for i, r in enumerate(reach))
-        ).first()
-        for c, x in zip(cuts, found, strict=True):
-            c.append(c[-1] if x is None else max(x, c[-1]))
+        points = sorted(set(reach))
+        # An end looked for lies less than one group below its point, so most of the table is skipped.
+        stretches = [[points[0] - widest, points[0]]]
+        for r in points[1:]:
+            if r - widest <= stretches[-1][1]:
+                stretches[-1][1] = r
+            else:
+                stretches.append([r - widest, r])
+        near = reduce(or_, (F.col("end").between(x, y) for x, y in stretches))
+        below = F.size(F.filter(F.lit(points), lambda r: r < F.col("end")))
+        rows = ends.where(near).groupBy(below.alias("i")).agg(F.max("end").alias("end")).collect()
+        last = {row.i: row.end for row in rows}
+        found, latest = {}, start
+        for i, r in enumerate(points):
+            latest = max(latest, last.get(i, start))
+            found[r] = latest
+        for c, r in zip(cuts, reach, strict=True):
+            c.append(max(found[r], c[-1]))
+        if all(c[-1] == c[-2] for c in cuts):
+            break
     return cuts
 
 
@@ -66,7 +80,7 @@ def _cuts(ends: DataFrame, total: int, shards: int, start: int, widest: int) ->
         walks = _walk(ends, tried, shards, start, widest)
         best = next(i for i, w in enumerate(walks) if w[-1] == start + total)
         if best == 0 or tried[best] - tried[best - 1] == 1:
-            return walks[best]
+            return walks[best] + [start + total] * (shards + 1 - len(walks[best]))
         low, span = tried[best - 1] + 1, tried[best] - tried[best - 1] - 1
         tried = sorted({low + span * i // (TRIED - 1) for i in range(TRIED)})
 
