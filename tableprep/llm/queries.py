@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import mixing, ngram_join, pii, secret_scan, sharding, toxicity
+from tableprep.llm import decontaminate, mixing, ngram_join, pii, secret_scan, sharding, toxicity
 from tableprep.llm.common import plain_spans, read, span_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +73,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run

@@ -16,6 +16,7 @@ that is bounded by ``sample`` per class. Every document is scored whole.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -235,6 +236,25 @@ def _calibrated(labelled: DataFrame, model: ToxicityModel) -> ToxicityModel:
     return ToxicityModel(model.toxic, model.ordinary, mean, scale, w)
 
 
+def probabilities(texts: pa.Array, model: ToxicityModel) -> np.ndarray:
+    """The score of each text; a null is the empty text."""
+    savings = _savings(model)
+    x = np.array([features((t.as_py() or "").encode(), savings) for t in texts])
+    z = (x.reshape(-1, FEATURES) - model.mean) / model.scale @ model.weights[:-1]
+    return 1 / (1 + np.exp(-np.clip(z + model.weights[-1], -30, 30)))
+
+
+def drop(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, all columns kept."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = probabilities(batch.column(batch.schema.get_field_index("text")), model)
+            yield batch.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 SCHEMA = "doc_id bigint, score double"
 
 
@@ -247,12 +267,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     out = arrow_schema(SCHEMA)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        savings = _savings(model)
-        texts = batch.column("text")
-        x = np.array([features(texts[i].as_py().encode(), savings) for i in range(len(texts))])
-        x = x.reshape(len(texts), FEATURES)
-        z = (x - model.mean) / model.scale @ model.weights[:-1] + model.weights[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        p = probabilities(batch.column("text"), model)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], schema=out)
 
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
