@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import decontaminate, mixing, ngram_join, pii, secret_scan, sharding, toxicity
+from tableprep.llm import ann, decontaminate, line_dedup, mixing, ngram_join, pii, secret_scan, sharding, toxicity
 from tableprep.llm.common import plain_spans, read, span_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,4 +80,14 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring(read(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
