@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import ann, decontaminate, line_dedup, mixing, ngram_join, pii, secret_scan, sharding, toxicity
+from tableprep.llm import ann, decontaminate, line_dedup, mixing, ngram_join, pii, secret_scan, sharding, suffix_dedup, toxicity
 from tableprep.llm.common import plain_spans, read, span_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,4 +90,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
