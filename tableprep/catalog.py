@@ -16,6 +16,7 @@ from tableprep.operators import completeness, dedup, outliers, profile, schema,
 from tableprep.operators.correlation import correlation
 from tableprep.operators.distributions import boxplot_outliers, boxplot_stats, histogram, kde
 from tableprep.plans.cleaning import CleanConfig, CleanResult, clean
+from tableprep.plans.job import run
 from tableprep.plans.report import report
 from tableprep.sources import read_table, write_table
 from tableprep.sources.tables import stage_path
@@ -95,6 +96,16 @@ def _stacked(select: str) -> str:
 VALID_CELLS = " + ".join(f"CAST({_valid(c)} AS INT)" for c in HOLEY_COLUMNS)
 
 
+# A NULL and a NaN are told apart by what stands for them.
+PRICE_SQL = """REPLACE (CASE WHEN o_totalprice IS NULL THEN -1.0 WHEN isnan(o_totalprice)
+  THEN -2.0 ELSE o_totalprice END AS o_totalprice)"""
+
+
+def _price(df: DataFrame) -> DataFrame:
+    price = F.coalesce(F.nanvl("o_totalprice", F.lit(-2.0)), F.lit(-1.0))
+    return df.withColumn("o_totalprice", price)
+
+
 # -- shape and completeness ---------------------------------------------------
 
 
@@ -157,24 +168,22 @@ def drop_sparse_columns(spark, sf_dir):
 
 @query(
     f"""WITH {HOLEY_ORDERS}
-    SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority
-    FROM holey WHERE {VALID_CELLS} >= 0.6 * 6"""
+    SELECT * {PRICE_SQL} FROM holey WHERE {VALID_CELLS} >= 0.6 * 6"""
 )
 def drop_sparse_rows(spark, sf_dir):
-    return completeness.drop_sparse_rows(_holey_orders(spark, sf_dir), threshold=0.6).drop(
-        "o_totalprice"
-    )
+    return _price(completeness.drop_sparse_rows(_holey_orders(spark, sf_dir), threshold=0.6))
 
 
 @query(
     f"""WITH {HOLEY_ORDERS}
-    SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority
-    FROM holey WHERE {VALID_CELLS} >= CAST(floor(0.6 * 6) AS INT)"""
+    SELECT * {PRICE_SQL} FROM holey WHERE {VALID_CELLS} >= CAST(floor(0.6 * 6) AS INT)"""
 )
 def drop_sparse_rows_floor(spark, sf_dir):
-    return completeness.drop_sparse_rows(
-        _holey_orders(spark, sf_dir), threshold=0.6, rounding="floor"
-    ).drop("o_totalprice")
+    return _price(
+        completeness.drop_sparse_rows(
+            _holey_orders(spark, sf_dir), threshold=0.6, rounding="floor"
+        )
+    )
 
 
 @query(
@@ -272,6 +281,15 @@ def coerce_numeric(spark, sf_dir):
     return schema.coerce_numeric(events, ["amount"])
 
 
+@query(
+    """SELECT o_orderkey, o_custkey, CAST(NULL AS DOUBLE) AS o_orderstatus, o_totalprice,
+              o_orderdate, TRY_CAST(o_orderpriority AS DOUBLE) AS o_orderpriority FROM orders"""
+)
+def coerce_numeric_all(spark, sf_dir):
+    """Every column of a table with a timestamp, which keeps its type."""
+    return schema.coerce_numeric(_table(spark, sf_dir, "orders"))
+
+
 # -- text and typos -----------------------------------------------------------
 
 
@@ -530,6 +548,44 @@ def correlation_matrix(spark, sf_dir):
     return _rounded(correlation(lineitem), "corr")
 
 
+WIDE = {
+    "quantity": "CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END",
+    "price": "l_extendedprice",
+    "tax": "CASE WHEN l_linenumber % 4 <> 1 THEN l_tax END",
+    "discount": "l_discount",
+    "tiny": "l_quantity * CAST(1e-9 AS DOUBLE)",
+    "tinier": "CASE WHEN l_linenumber % 5 <> 2 THEN l_extendedprice * CAST(1e-12 AS DOUBLE) END",
+    "large": "l_extendedprice * CAST(1e9 AS DOUBLE)",
+    "line": "CAST(l_linenumber AS DOUBLE)",
+    "part": "CAST(l_partkey AS DOUBLE)",
+    "supplier": "CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_suppkey AS DOUBLE) END",
+    "order": "CAST(l_orderkey AS DOUBLE)",
+    "constant": "CASE WHEN l_linenumber % 6 <> 0 THEN CAST(0.1 AS DOUBLE) END",
+    "empty": "CAST(NULL AS DOUBLE)",
+}
+
+
+def _wide_sql() -> str:
+    def value(x, y):
+        a, b = (f"({WIDE[c]})" for c in (x, y))
+        if {"constant", "empty"} & {x, y}:
+            return "max(CAST(NULL AS DOUBLE))"
+        return f"corr(CASE WHEN {b} IS NOT NULL THEN {a} END, CASE WHEN {a} IS NOT NULL THEN {b} END)"
+
+    return " UNION ALL ".join(
+        f"SELECT '{x}' AS col_x, '{y}' AS col_y, round({value(x, y)}, 6) AS corr FROM lineitem"
+        for x in WIDE
+        for y in WIDE
+    )
+
+
+@query(_wide_sql())
+def correlation_wide(spark, sf_dir):
+    """Thirteen columns with holes, a constant one, one without values, and very small scales."""
+    expressions = [f"{sql} AS `{name}`" for name, sql in WIDE.items()]
+    return _rounded(correlation(_table(spark, sf_dir, "lineitem").selectExpr(*expressions)), "corr")
+
+
 def _boxplot_sql(table: str, column: str) -> str:
     return f"""SELECT '{column}' AS "column", count(x) AS n, min(x) AS min,
         least(min(x) FILTER (WHERE x >= lo), any_value(q1)) AS whisker_low, any_value(q1) AS q1,
@@ -747,10 +803,17 @@ def clean_nonconforming(spark, sf_dir):
     return _clean_events(spark, sf_dir).nonconforming
 
 
-@query()
+@query(
+    """SELECT * FROM (VALUES ('main', true, true), ('column', true, true), ('total', true, true))
+       t(kind, measured, in_minutes)"""
+)
 def clean_timings(spark, sf_dir):
-    """Seconds per step; they differ from run to run."""
-    return profile.timing_summary(_clean_events(spark, sf_dir).timings)
+    """What holds of the timings in every run."""
+    return profile.timing_summary(_clean_events(spark, sf_dir).timings).select(
+        "kind",
+        (F.col("seconds") >= 0).alias("measured"),
+        (F.abs(F.col("minutes") * 60 - F.col("seconds")) < 1e-9).alias("in_minutes"),
+    )
 
 
 def _clean_lineitem_sql() -> str:
@@ -787,19 +850,60 @@ def report_correlation(spark, sf_dir):
     return _rounded(report(raw, result)["correlation_heatmap"], "corr")
 
 
+@query(
+    """SELECT 'Value' AS "column", count(*) AS n, min(value) AS min, max(value) AS max FROM events
+       UNION ALL SELECT 'value', count(*), min(-value), max(-value) FROM events
+       UNION ALL SELECT 'a.b', count(*), min(2 * value), max(2 * value) FROM events"""
+)
+def report_raw_headers(spark, sf_dir):
+    """Boxplots of the original, whose headers differ in case only or hold a dot."""
+    value = F.col("value")
+    raw = _table(spark, sf_dir, "events").select("event_id", value.alias("Value"))
+    raw = raw.select("event_id", "Value", (-value).alias("v"), (2 * value).alias("w"))
+    raw = raw.toDF("event_id", "Value", "value", "a.b")
+    artefacts = report(raw, clean(raw, "event_id"))
+    return artefacts["boxplots_before_cleaning"].select("column", "n", "min", "max")
+
+
+@query(
+    f"""{_clean_events_sql()}
+    SELECT 'value_' AS "column", sum(1)::BIGINT AS n FROM deduped
+    UNION ALL SELECT 'value_sq', sum(1)::BIGINT FROM deduped
+    UNION ALL SELECT 'event_id', sum(1)::BIGINT FROM deduped"""
+)
+def report_distributions(spark, sf_dir):
+    """Every cleaned value is in one bin of the report's histograms."""
+    raw = _raw_events(spark, sf_dir)
+    bins = report(raw, clean(raw, "User ID", order_by=["Event ID"]))["distributions_after_cleaning"]
+    return bins.groupBy("column").agg(F.sum("n").alias("n"))
+
+
 # -- sources and sinks --------------------------------------------------------
 
 
 @query(
-    """SELECT * EXCLUDE (o_orderdate) REPLACE (CAST(o_orderkey AS INT) AS o_orderkey,
+    """SELECT * REPLACE (CAST(o_orderkey AS INT) AS o_orderkey,
               CAST(o_custkey AS INT) AS o_custkey) FROM orders"""
 )
 def csv_roundtrip(spark, sf_dir):
     """Written as CSV, read back with inferred types."""
-    orders = _table(spark, sf_dir, "orders").drop("o_orderdate")
     path = stage_path(spark)
-    write_table(orders, path)
-    return read_table(spark, path)
+    write_table(_table(spark, sf_dir, "orders"), path)
+    back = read_table(spark, path)
+    return back.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+@query(
+    f"""WITH {HOLEY_ORDERS} SELECT CAST(o_orderkey AS INT) AS o_orderkey,
+        CAST(o_custkey AS INT) AS o_custkey, lower(o_orderstatus) AS o_orderstatus
+        FROM holey WHERE o_custkey IS NOT NULL AND o_orderstatus IS NOT NULL"""
+)
+def run_job(spark, sf_dir):
+    """The batch job from CSV to CSV, its cleaned table read back."""
+    source, target = stage_path(spark), stage_path(spark)
+    write_table(_holey_orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus"), source)
+    run(spark, source, target, "o_orderkey", with_report=False)
+    return read_table(spark, f"{target}/cleaned")
 
 
 @query(

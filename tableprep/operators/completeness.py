@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tableprep.functions.missing import can_be_nan, is_valid
-from tableprep.functions.names import quoted
+from tableprep.functions.names import any_headers, quoted
 from tableprep.operators.schema import replace_columns
 
 # The tokens a CSV reader with default settings of the pandas
@@ -124,6 +124,7 @@ def well_filled(
     ]
 
 
+@any_headers
 def drop_sparse_columns(
     df: DataFrame,
     threshold: float = 0.5,
@@ -163,7 +164,7 @@ def row_fill_condition(
     """
     _check_rounding(rounding)
     total = len(df.columns)
-    needed = int(threshold * total) if rounding == "floor" else math.ceil(threshold * total)
+    needed = next((n for n in range(total) if _enough(n, total, threshold, rounding)), total)
     open_fields = [f for f in df.schema if f.name not in complete]
     needed -= total - len(open_fields)
     if needed <= 0 or total == 0:
@@ -174,6 +175,7 @@ def row_fill_condition(
     return valid_cells >= needed
 
 
+@any_headers
 def drop_sparse_rows(
     df: DataFrame,
     threshold: float = 0.5,
@@ -204,6 +206,7 @@ def na_condition(
     return condition
 
 
+@any_headers
 def drop_na_rows(
     df: DataFrame,
     threshold: float = 0.5,
@@ -216,6 +219,7 @@ def drop_na_rows(
     return df if condition is None else df.where(condition)
 
 
+@any_headers
 def null_tokens(
     df: DataFrame,
     tokens: Sequence[str] = MISSING_TOKENS,

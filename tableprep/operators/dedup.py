@@ -11,11 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableprep.functions.names import quoted
+from tableprep.functions.names import any_headers, quoted
 
 _RANK = "__rank_in_key"
 
 
+@any_headers
 def dedup_by_key(
     df: DataFrame,
     keys: Sequence[str],

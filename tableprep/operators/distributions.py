@@ -10,21 +10,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.functions.missing import finite
+from tableprep.functions.names import any_headers
 from tableprep.operators.outliers import IQR_FACTOR
 from tableprep.operators.quantiles import long_form, quantiles
 from tableprep.operators.schema import numeric_columns, select_fields
 
 DEFAULT_GRID = 200
-# Distinct values are counted before their kernels are summed where they are
-# few, and on small tables, where the shuffle also spreads the work.
-ROWS_PER_DISTINCT = 20
-SMALL_ROWS = 10_000_000
+# Beyond this a double does not tell one bin from the next.
+MOST_BINS = 2**53
 
 HISTOGRAM_SCHEMA = "column string, bin bigint, lower double, upper double, n bigint"
 DENSITY_SCHEMA = "column string, x double, density double"
@@ -42,19 +40,17 @@ def _numbers(df: DataFrame, columns: Sequence[str] | None) -> tuple[DataFrame, d
     return values, dict(zip(values.columns, columns))
 
 
-def _stack(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-def _auto_bins(count: int, spread: float, iqr: float) -> int:
-    """The narrower of the Sturges and the Freedman-Diaconis bin width."""
+def _auto_bins(count: int, spread: float, iqr: float) -> int | None:
+    """The narrower of the Sturges and the Freedman-Diaconis bin width; None if bins can't be numbered."""
     width = spread / (math.log2(count) + 1)
     by_iqr = 2 * iqr / count ** (1 / 3)
     if by_iqr > 0:
         width = min(width, by_iqr)
-    return max(1, math.ceil(spread / width))
+    number = spread / width if width > 0 else math.inf
+    return max(1, math.ceil(number)) if number <= MOST_BINS else None
 
 
+@any_headers
 def histogram(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -65,7 +61,9 @@ def histogram(
 
     Bins are numbered from 1, have equal width and exclude their upper edge,
     except that the last one holds the maximum. ``method`` is the quantile
-    method behind ``bins="auto"``.
+    method behind ``bins="auto"``. Where a column's range is beyond a double,
+    or so wide for its middle half that its bins can't be numbered exactly, it
+    gets one row for all of its values, with a NULL bin.
     """
     values, names = _numbers(df, columns)
     if not names:
@@ -79,30 +77,37 @@ def histogram(
         most = max(stats[x][0] for x in present)
         quartiles = quantiles(values, present, (0.25, 0.75), method, rows=most)
 
-    lows, highs, widths, numbers = [], [], [], []
-    for x in present:
+    lows, highs, widths, numbers, unbinned = [], [], [], [], []
+    for x in list(present):
         count, low, high = stats[x]
         spread = high - low
-        if spread == 0:
+        if math.isinf(spread):
+            wanted = None
+        elif spread == 0:
             wanted = 1
         elif bins == "auto":
             q1, q3 = quartiles[x]
             wanted = _auto_bins(count, spread, q3 - q1)
         else:
             wanted = int(bins)
+        if wanted is None:
+            present.remove(x)
+            unbinned.append((names[x], None, low, high, count))
+            continue
         lows.append(low)
         highs.append(high)
         widths.append(spread / wanted)
         numbers.append(wanted)
+    whole = df.sparkSession.createDataFrame(unbinned, HISTOGRAM_SCHEMA)
     if not present:
-        return df.sparkSession.createDataFrame([], HISTOGRAM_SCHEMA)
+        return whole
 
     low, high, width, last = (
         F.lit(of_column)[F.col("i")] for of_column in (lows, highs, widths, numbers)
     )
     position = F.floor((F.col("x") - low) / width)
     number = F.when(width == 0, F.lit(1)).otherwise(F.least(position, last - 1) + 1)
-    return (
+    binned = (
         long_form(values, present)
         .select("i", number.cast("bigint").alias("bin"))
         .groupBy("i", "bin")
@@ -117,8 +122,10 @@ def histogram(
             "n",
         )
     )
+    return binned.unionByName(whole) if unbinned else binned
 
 
+@any_headers
 def kde(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -130,48 +137,60 @@ def kde(
     The grid runs from the least to the greatest value. ``bandwidth`` is the
     kernel's standard deviation, or ``"scott"`` for the sample deviation times
     ``n ** (-1/5)``. A column with fewer than two distinct values has no
-    density. Every value counts at every grid point. Each task sums over its
-    own values first, so a shuffle sees one partial sum per task and point.
+    density. Equal values are counted first, then every value counts at every
+    grid point: one scan for all columns, and tasks add up their own values
+    before a shuffle sees one partial sum per task and point.
     """
     values, names = _numbers(df, columns)
     if not names:
         return df.sparkSession.createDataFrame([], DENSITY_SCHEMA)
-    stats = values.agg(
+    extremes = values.agg(
+        *[F.struct(F.count(x), F.min(x), F.max(x)).alias(x) for x in names]
+    ).first()
+    present = [
+        x
+        for x in names
+        if extremes[x][0] > 1 and 0 < extremes[x][2] - extremes[x][1] < math.inf
+    ]
+    if not present:
+        return df.sparkSession.createDataFrame([], DENSITY_SCHEMA)
+    # As shares of the range, squares neither vanish nor overflow.
+    shares = values.agg(
         *[
-            F.struct(
-                F.count(x), F.min(x), F.max(x), F.stddev_samp(x), F.approx_count_distinct(x)
-            ).alias(x)
-            for x in names
+            F.stddev_samp((F.col(x) - extremes[x][1]) / (extremes[x][2] - extremes[x][1])).alias(x)
+            for x in present
         ]
     ).first()
-    frames = []
-    for x in names:
-        count, low, high, deviation, distinct = stats[x]
-        if count < 2 or low == high:
-            continue
-        h = deviation * count ** (-1 / 5) if bandwidth == "scott" else float(bandwidth)
-        step = (high - low) / max(1, points - 1)
-        grid = [low + i * step for i in range(points)]
-        column = values.select(F.col(x).alias("x")).where(F.col("x").isNotNull())
-        if count <= SMALL_ROWS or distinct * ROWS_PER_DISTINCT <= count:
-            column = column.groupBy("x").agg(F.count(F.lit(1)).alias("weight"))
-        else:
-            column = column.withColumn("weight", F.lit(1))
-        z = (F.col("x") - F.col("point")) / F.lit(h)
-        scale = 1 / (count * h * math.sqrt(2 * math.pi))
-        frames.append(
-            column.select("x", "weight", F.explode(F.lit(grid)).alias("point"))
-            .groupBy("point")
-            .agg(F.sum(F.exp(-0.5 * z * z) * F.col("weight")).alias("kernels"))
-            .select(
-                F.lit(names[x]).alias("column"),
-                F.col("point").alias("x"),
-                (F.col("kernels") * F.lit(scale)).alias("density"),
-            )
+    grids, lows, ranges, widths, scales = [], [], [], [], []
+    for x in present:
+        count, low, high = extremes[x]
+        spread = high - low
+        width = (
+            shares[x] * count ** (-1 / 5) if bandwidth == "scott" else float(bandwidth) / spread
         )
-    if not frames:
-        return df.sparkSession.createDataFrame([], DENSITY_SCHEMA)
-    return _stack(frames)
+        step = spread / max(1, points - 1)
+        grids.append([low + i * step for i in range(points)])
+        lows.append(low)
+        ranges.append(spread)
+        widths.append(width)
+        scales.append(1 / (count * width * math.sqrt(2 * math.pi)) / spread)
+    i, x = F.col("i"), F.col("x")
+    point = F.lit([i / max(1, points - 1) for i in range(points)])
+    low, spread, width = (F.lit(v)[i] for v in (lows, ranges, widths))
+    z = ((x - low) / spread - F.col("share")) / width
+    return (
+        long_form(values, present)
+        .groupBy("i", "x")
+        .agg(F.count(F.lit(1)).alias("weight"))
+        .select("i", "x", "weight", F.posexplode(point).alias("at", "share"))
+        .groupBy("i", "at")
+        .agg(F.sum(F.exp(-0.5 * z * z) * F.col("weight")).alias("kernels"))
+        .select(
+            F.lit([names[x] for x in present])[i].alias("column"),
+            F.lit(grids)[i][F.col("at")].alias("x"),
+            (F.col("kernels") * F.lit(scales)[i]).alias("density"),
+        )
+    )
 
 
 def _boxes(values, names, method, factor):
@@ -185,6 +204,7 @@ def _boxes(values, names, method, factor):
     return boxes
 
 
+@any_headers
 def boxplot_stats(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -232,6 +252,7 @@ def boxplot_stats(
     )
 
 
+@any_headers
 def boxplot_outliers(
     df: DataFrame,
     columns: Sequence[str] | None = None,

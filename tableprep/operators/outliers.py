@@ -10,19 +10,33 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, localcontext
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField
+from pyspark.sql.types import (
+    ByteType,
+    DataType,
+    DecimalType,
+    IntegerType,
+    IntegralType,
+    LongType,
+    ShortType,
+    StructField,
+)
 
 from tableprep.functions.missing import can_be_nan
-from tableprep.functions.names import quoted
+from tableprep.functions.names import any_headers, quoted
 from tableprep.operators.quantiles import quantiles
 from tableprep.operators.schema import numeric_columns
 
 # Fixed value: fence distance in interquartile ranges.
 IQR_FACTOR = 1.5
 
+BITS = {ByteType: 8, ShortType: 16, IntegerType: 32, LongType: 64}
+
 # Columns whose fences a sequential run first looks for at once.
 LOOK_AHEAD = 8
 
@@ -44,12 +58,45 @@ class Fence:
     def holds(self, field: StructField) -> Column:
         """True inside the fences; missing values are not inside."""
         column = quoted(field.name)
+        if isinstance(field.dataType, (IntegralType, DecimalType)):
+            return _in_own_type(column, field.dataType, self.lower, self.upper)
         inside = column.between(F.lit(self.lower), F.lit(self.upper))
         if can_be_nan(field.dataType) and math.isinf(self.upper):
             inside = inside & ~F.isnan(column)
         return inside
 
 
+def _in_own_type(column: Column, kind: DataType, lower: float, upper: float) -> Column:
+    """The range test with bounds of the column's type, which a scan can check by its statistics.
+
+    A cast of the column to double would keep the test above the scan. The
+    bounds are the outermost values of the type inside the fences; a fence
+    beyond all values of the type needs no test.
+    """
+    if isinstance(kind, DecimalType):
+        scale, last = kind.scale, 10**kind.precision - 1
+    else:
+        scale, last = 0, 2 ** (BITS[type(kind)] - 1) - 1
+    unit = Decimal(1).scaleb(-scale)
+    first = -last if isinstance(kind, DecimalType) else -last - 1
+    tests = [column.isNotNull()]
+    with localcontext() as context:
+        context.prec = 400
+        if not math.isinf(lower):
+            low = int((Decimal(lower) / unit).to_integral_value(ROUND_CEILING))
+            if low > last:
+                return column.isNotNull() & F.lit(False)
+            if low > first:
+                tests.append(column >= F.lit(low * unit if scale else low).cast(kind))
+        if not math.isinf(upper):
+            high = int((Decimal(upper) / unit).to_integral_value(ROUND_FLOOR))
+            if high < first:
+                return column.isNotNull() & F.lit(False)
+            if high < last:
+                tests.append(column <= F.lit(high * unit if scale else high).cast(kind))
+    return reduce(and_, tests)
+
+
 def fences(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -77,6 +124,7 @@ def fence_table(df: DataFrame, found: Sequence[Fence]) -> DataFrame:
     )
 
 
+@any_headers
 def quartiles(
     df: DataFrame, columns: Sequence[str] | None = None, method: str = "exact", **options
 ) -> DataFrame:
@@ -84,6 +132,7 @@ def quartiles(
     return fence_table(df, fences(df, columns, method, **options)).select("column", "q1", "q3")
 
 
+@any_headers
 def bounds(
     df: DataFrame, columns: Sequence[str] | None = None, method: str = "exact", **options
 ) -> DataFrame:
@@ -156,6 +205,7 @@ def _holding(df: DataFrame, step: Sequence[Fence], skip_zero_iqr: bool) -> int:
     return next((i + 1 for i, n in enumerate(counts) if n), len(step))
 
 
+@any_headers
 def drop_outliers(
     df: DataFrame,
     columns: Sequence[str] | None = None,

@@ -236,6 +236,6 @@ def _cut(values, pivots, large, seed) -> dict[str, set[float]]:
 
 def _interpolated(found, x: str, position: float) -> float:
     low, high = math.floor(position), math.ceil(position)
-    if low == high:
+    if low == high or found[x, low] == found[x, high]:
         return found[x, low]
     return (high - position) * found[x, low] + (position - low) * found[x, high]

@@ -7,9 +7,9 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType, StructField
+from pyspark.sql.types import BooleanType, NumericType, StringType, StructField
 
-from tableprep.functions.names import quoted
+from tableprep.functions.names import any_headers, quoted
 
 # Fixed value: what a normalised header may not hold.
 HEADER_UNWANTED = r"[^0-9a-zA-Z_]"
@@ -97,21 +97,23 @@ def text_to_double(column: Column) -> Column:
     return F.when(column.rlike(NUMBER_TEXT), F.trim(column).try_cast("double"))
 
 
+@any_headers
 def coerce_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Turn columns into numbers; text that is no number becomes NULL.
+    """Turn text and boolean columns into numbers; text that is no number becomes NULL.
 
-    Columns that are numbers already keep their type.
+    Columns of other types keep their type, among them numbers, dates and
+    nested values.
     """
     wanted = set(df.columns if columns is None else columns)
     replacements = {}
     for field in df.schema:
-        if field.name not in wanted or isinstance(field.dataType, NumericType):
+        if field.name not in wanted:
             continue
         column = quoted(field.name)
         if isinstance(field.dataType, StringType):
             replacements[field.name] = text_to_double(column)
-        else:
-            replacements[field.name] = column.try_cast("double")
+        elif isinstance(field.dataType, BooleanType):
+            replacements[field.name] = column.cast("double")
     return replace_columns(df, replacements)
 
 

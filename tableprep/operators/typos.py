@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableprep.functions.names import quoted
+from tableprep.functions.names import any_headers, quoted
 from tableprep.operators.schema import string_columns
 
 # Most bytes of top values that are handed to every task.
@@ -36,6 +36,7 @@ PARTIAL_LIMIT = 1000
 RANK_SALTS = 256
 
 
+@any_headers
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, value, n)`` for text columns, NULL left out."""
     columns = _text_columns(df, columns)
@@ -51,6 +52,7 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
+@any_headers
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 100) -> DataFrame:
     """``(column, value, n, rank)``: the most frequent values, ties by value."""
     return _rank(value_counts(df, columns), top_n)
@@ -106,6 +108,7 @@ def _close(
     )
 
 
+@any_headers
 def typo_values(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -186,6 +189,7 @@ def _collected(pairs: DataFrame, threshold: int) -> DataFrame:
     )
 
 
+@any_headers
 def find_typos(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -220,6 +224,7 @@ def find_typos(
     return rows if limit is None else rows.limit(limit)
 
 
+@any_headers
 def typo_summary(
     df: DataFrame,
     columns: Sequence[str] | None = None,

@@ -1,4 +1,5 @@
 import sys
+import uuid
 from pathlib import Path
 
 import pytest
@@ -29,7 +30,7 @@ def jobs(spark):
 
     class Jobs:
         def __enter__(self):
-            self.group = f"group-{id(self)}"
+            self.group = uuid.uuid4().hex
             spark.sparkContext.setJobGroup(self.group, "counted")
             return self
 

@@ -123,3 +123,12 @@ def test_missing_tokens(spark):
     result = {k: s for s, k in completeness.null_tokens(df).collect()}
     assert result == {1: None, 2: "x", 3: None, 4: None}
     assert completeness.null_tokens(df, columns=[]).where("s is null").count() == 1
+
+
+def test_rows_and_columns_share_one_arithmetic(spark):
+    """7 of 100 at a threshold of 0.07, by row and by column."""
+    row = tuple(1 if i < 7 else None for i in range(100))
+    wide = spark.createDataFrame([row], ", ".join(f"c{i} int" for i in range(100)))
+    assert completeness.drop_sparse_rows(wide, 0.07).count() == 1
+    tall = spark.createDataFrame([(x,) for x in row], "c int")
+    assert completeness.drop_sparse_columns(tall, 0.07).columns == ["c"]

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from helpers import rows
+from helpers import plan, rows
 
 from tableprep.operators import distributions
 from tableprep.operators.correlation import correlation
@@ -29,17 +29,34 @@ def test_correlation_of_columns_that_never_meet(spark):
     assert correlation(df.select(), []).collect() == []
 
 
-def test_correlation_by_matrix_equals_correlation_by_pair(spark, monkeypatch):
+def test_correlation_is_the_same_at_any_width(spark):
     df = spark.range(200).selectExpr(
-        "rand(1) a", "rand(2) + id b", "id c", "if(id % 5 = 0, null, sqrt(id)) d", "1.5D e"
-    )
-    by_pair = {(x, y): v for x, y, v in correlation(df).collect()}
-    monkeypatch.setattr("tableprep.operators.correlation.MOST_PAIRED", 0)
-    mixed = {(x, y): v for x, y, v in correlation(df).collect()}
-    assert mixed.keys() == by_pair.keys() and len(mixed) == 25
-    for pair, value in by_pair.items():
-        assert mixed[pair] == (None if value is None else pytest.approx(value)), pair
-    assert [mixed["e", x] for x in "abcde"] == [None] * 5
+        "rand(1) a", "rand(2) + id b", "id c", "if(id % 5 = 0, null, sqrt(id)) d", "1.5D e",
+        "id * 1e-9D f", "if(id < 3, 5D + id, if(id < 100, null, 5D)) g", "id * 1e200D h",
+        *[f"if(id % {i + 2} = 0, null, sin(id * {i + 1})) x{i}" for i in range(8)],
+    )
+    wide = {(x, y): v for x, y, v in correlation(df).collect()}
+    data = df.toPandas().astype(float)
+    for x in data:
+        for y in data:
+            both = data[x].notna() & data[y].notna()
+            a, b = data[x][both].to_numpy(), data[y][both].to_numpy()
+            if len(set(a)) < 2 or len(set(b)) < 2:
+                assert wide[x, y] is None, (x, y)
+            else:
+                a, b = a / np.abs(a).max(), b / np.abs(b).max()
+                assert wide[x, y] == pytest.approx(np.corrcoef(a, b)[0, 1]), (x, y)
+    narrow = {(x, y): v for x, y, v in correlation(df, ["a", "f", "d", "g"]).collect()}
+    assert all(wide[k] == (None if v is None else pytest.approx(v)) for k, v in narrow.items())
+
+
+def test_correlation_where_shared_rows_hardly_vary(spark):
+    """The rows that both have lie far from the others, so sums over all rows cancel."""
+    rows_ = [(1e6 + i, float(i % 7)) if i < 50 else (float(i), None) for i in range(100)]
+    df = spark.createDataFrame(rows_, "a double, b double")
+    found = {(x, y): v for x, y, v in correlation(df).collect()}
+    x, y = np.array([(a, b) for a, b in rows_ if b is not None]).T
+    assert found["a", "b"] == pytest.approx(np.corrcoef(x - 1e6, y)[0, 1])
 
 
 def test_histogram_bins(spark):
@@ -81,9 +98,36 @@ def test_automatic_bins_follow_numpy(spark):
     assert found == {i + 1: n for i, n in enumerate(counts.tolist()) if n}
 
 
-@pytest.mark.parametrize("small_rows", [0, 10_000])
-def test_density_equals_the_direct_sum(spark, monkeypatch, small_rows):
-    monkeypatch.setattr(distributions, "SMALL_ROWS", small_rows)
+def test_columns_that_bins_do_not_fit(spark):
+    heavy = [math.exp(math.exp(0.2 * i)) for i in range(32)]
+    far = [-1.7e308, 1.7e308, *range(30)]
+    df = spark.createDataFrame(
+        [(h, float(f), float(i)) for i, (h, f) in enumerate(zip(heavy, far))],
+        "heavy double, far double, x double",
+    )
+    found = {}
+    for r in distributions.histogram(df).collect():
+        found.setdefault(r["column"], []).append((r["bin"], r["n"]))
+    assert found["heavy"] == [(None, 32)] and found["far"] == [(None, 32)]
+    assert sum(n for _, n in found["x"]) == 32 and all(b for b, _ in found["x"])
+
+
+def test_density_of_tiny_values(spark):
+    df = spark.createDataFrame([(1e-200,), (2e-200,), (4e-200,)], "x double")
+    tiny = sorted((r["x"], r["density"]) for r in distributions.kde(df, points=4).collect())
+    df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double")
+    plain = sorted((r["x"], r["density"]) for r in distributions.kde(df, points=4).collect())
+    assert [x * 1e200 for x, _ in tiny] == pytest.approx([x for x, _ in plain])
+    assert [d * 1e-200 for _, d in tiny] == pytest.approx([d for _, d in plain])
+
+
+def test_densities_share_a_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(50).selectExpr("id a", "id * 2.5 b", "sqrt(id) c").write.parquet(path)
+    assert plan(distributions.kde(spark.read.parquet(path))).split("Physical Plan")[1].count("Scan parquet") == 1
+
+
+def test_density_equals_the_direct_sum(spark):
     values = np.array([1.0, 2.0, 2.5, 7.0, 7.0])
     df = spark.createDataFrame([(float(v),) for v in values] + [(NAN,)], "x double")
     h = values.std(ddof=1) * len(values) ** -0.2

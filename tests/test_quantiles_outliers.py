@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import rows
+from helpers import plan, rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -150,3 +150,30 @@ def test_integers_and_decimals_have_fences(spark):
     df = spark.range(1, 9).selectExpr("id b", "cast(id as int) i", "cast(id as decimal(20,0)) d")
     assert {tuple(r)[1:] for r in outliers.bounds(df).collect()} == {(2.75, 6.25, -2.5, 11.5)}
     assert outliers.drop_outliers(df).count() == 8
+
+
+def test_fences_of_integers_and_decimals_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "typed")
+    spark.range(100).selectExpr(
+        "id", "cast(id as int) i", "cast(id / 4 as decimal(12,2)) d", "cast(id % 5 as tinyint) t"
+    ).write.parquet(path)
+    df = spark.read.parquet(path)
+    pushed = plan(outliers.drop_outliers(df, ["id", "i", "d", "t"])).split("PushedFilters: ")[1]
+    for bound in ("GreaterThanOrEqual(id,-49)", "LessThanOrEqual(id,148)", "LessThanOrEqual(i,148)", "LessThanOrEqual(d,37.12)"):
+        assert bound in pushed, pushed[:400]
+
+
+def test_fences_of_whole_numbers_include_their_edges(spark):
+    # Quartiles 2 and 4, fences -1 and 7.
+    df = spark.createDataFrame([(v,) for v in [-2, -1, 2, 2, 3, 3, 4, 4, 7, 8]], "x bigint")
+    (b,) = outliers.bounds(df).collect()
+    kept = [r.x for r in outliers.drop_outliers(df).collect()]
+    assert sorted(kept) == [v for v in [-2, -1, 2, 2, 3, 3, 4, 4, 7, 8] if b.lower <= v <= b.upper]
+    wide = spark.createDataFrame([(2**63 - 1,), (-(2**63),), (0,), (None,)], "x bigint")
+    assert outliers.drop_outliers(wide).count() == 3
+
+
+def test_equal_neighbours_are_returned_as_they_are():
+    from tableprep.operators.quantiles import _interpolated
+
+    assert _interpolated({("x", 3): 0.1, ("x", 4): 0.1}, "x", 3.3) == 0.1

@@ -77,3 +77,28 @@ def test_types_are_inferred_from_all_values_in_one_aggregate(spark, jobs):
         (1, 1.5, True, "x", "2020-01-01", None),
         (None, 2.0, False, "1", "b", None),
     ]
+
+
+def test_coercion_leaves_dates_and_nested_values(spark):
+    df = spark.sql("SELECT '12' s, true b, DATE'2024-01-02' d, TIMESTAMP_NTZ'2024-01-02 03:04:05' t, array(1) a, 3 i")
+    out = schema.coerce_numeric(df)
+    assert [t for _, t in out.dtypes] == ["double", "double", "date", "timestamp_ntz", "array<int>", "int"]
+    assert tuple(out.first())[:2] == (12.0, 1.0)
+
+
+def test_operators_take_headers_that_differ_in_case(spark):
+    from tableprep.operators import completeness, dedup, outliers, typos
+    from tableprep.operators.correlation import correlation
+
+    df = spark.createDataFrame(
+        [(1.0, 2.0, "ab", "NA"), (2.0, None, "ab", "x"), (3.0, 9.0, "ac", None)], ["v", "V", "t", "T.x"]
+    )
+    assert completeness.drop_sparse_columns(df, 0.5).columns == df.columns
+    assert completeness.drop_sparse_rows(df, 1.0).count() == 1
+    assert completeness.drop_na_rows(df, 0.5).count() == 1
+    assert [r[3] for r in completeness.null_tokens(df, ["NA"]).collect()] == [None, "x", None]
+    assert {r.column for r in outliers.quartiles(df).collect()} == {"v", "V"}
+    assert outliers.drop_outliers(df, ["v"]).columns == df.columns
+    assert {r.column for r in typos.value_counts(df).collect()} == {"t", "T.x"}
+    assert {(r.col_x, r.col_y) for r in correlation(df).collect()} == {(a, b) for a in "vV" for b in "vV"}
+    assert dedup.dedup_by_key(df, ["t"]).columns == df.columns
