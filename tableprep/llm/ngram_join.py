@@ -28,7 +28,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableprep.llm.common import arrow_schema, documents, map_rows, stage_table
@@ -37,32 +38,37 @@ from tableprep.llm.words import Hasher, mixed, pieces
 
 #: Shingles of a block in the largest sets of a band.
 FILL = 2.2
-#: Bits of the parity sketch of a pair's last test before the texts are fetched.
-BITS = 512
+#: Bits of the parity sketch that goes with the members of a bucket, and of that which pairs are tested by.
+BITS, WIDE = 512, 4096
+#: Rows packed together, at most 2**16, and bytes of packed buckets that a task should hold.
+LISTED, PART_BYTES = 1 << 14, 16 << 20
 #: Rounds of leaders before the pairs across components are tested.
 ROUNDS = 6
 
-PROFILE = "doc_id bigint, set_id bigint, n_shingles bigint, sketch array<bigint>"
-BLOCKS = "part bigint, set_id bigint, leader bigint, bucket bigint, more boolean"
+PROFILE = "doc_id bigint, set_id bigint, n_shingles bigint, sketch array<bigint>, wide array<bigint>"
+BLOCKS = "part bigint, entries binary, sets binary, several binary, bucket bigint, set_id bigint, leader bigint"
 
 
-def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+def _shingles(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     hasher = Hasher()
-    encoded = [x.as_py().encode() for x in texts]
-    for _, some in pieces(encoded):
+    for _, some in pieces(texts):
         yield from hasher.shingles(some, width)
 
 
+def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    return _shingles([x.as_py().encode() for x in texts], width)
+
+
 def set_id(shingles: np.ndarray) -> int:
     """64 bits that stand for a whole set."""
     digest = blake2b(np.ascontiguousarray(shingles).tobytes(), digest_size=8).digest()
     return int.from_bytes(digest, "little", signed=True)
 
 
-def sketch(shingles: np.ndarray) -> list[int]:
-    """The parity of the shingles at each of ``BITS`` bits, as 64-bit numbers."""
-    at = (mixed(shingles, 1) % np.uint64(BITS)).astype(np.int64)
-    odd = (np.bincount(at, minlength=BITS) & 1).astype(np.uint8)
+def sketch(shingles: np.ndarray, bits: int) -> list[int]:
+    """The parity of the shingles at each of some bits, as 64-bit numbers."""
+    at = (mixed(shingles, 1) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64).tolist()
 
 
@@ -71,12 +77,13 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
     out = arrow_schema(PROFILE)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, sizes, sketches = [], [], []
+        ids, sizes, sketches, wide = [], [], [], []
         for x in _sets(batch.column("text"), width):
             sizes.append(len(x))
             ids.append(set_id(x) if len(x) else None)
-            sketches.append(sketch(x) if len(x) else None)
-        columns = [batch.column("doc_id"), ids, sizes, sketches]
+            sketches.append(sketch(x, BITS) if len(x) else None)
+            wide.append(sketch(x, WIDE) if len(x) else None)
+        columns = [batch.column("doc_id"), ids, sizes, sketches, wide]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out
         )
@@ -119,69 +126,103 @@ def block_keys(shingles: np.ndarray, threshold: float) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def block_rows(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The buckets of each set, reduced within a batch before they are shuffled.
+def block_rows(docs: DataFrame, width: int, threshold: float, parts: int) -> DataFrame:
+    """The buckets of each set, reduced and packed within a batch before they are shuffled.
 
-    Of the sets of a batch in one bucket, the least one goes to ``part``, the
-    bucket; the others go anywhere with it as their leader, so a bucket that
-    many sets share sends a row per batch to its task.
+    Of the sets of a batch in one bucket, the least one goes to the part of the
+    bucket, packed with the others that go there: 48 bits of the bucket and 16
+    for the place of the set in a list. The other sets of the bucket already
+    have their leader and go anywhere as rows, so a bucket that many sets share
+    sends one entry per batch to its task.
     """
     out = arrow_schema(BLOCKS)
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: set[int] = set()
-        keys, ids = [], []
-        for x in _sets(batch.column("text"), width):
-            if len(x) and (own := set_id(x)) not in seen:
-                seen.add(own)
-                keys.append(block_keys(x, threshold))
-                ids.append(np.full(len(keys[-1]), own, np.int64))
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        own = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        order = np.lexsort((own, key))
-        key, own = key[order], own[order]
-        first = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, LISTED):
+                yield from _packed(batch.column("text")[a : a + LISTED])
+
+    def _packed(texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for x in _sets(texts, width):
+            if len(x):
+                own = set_id(x)
+                if own not in seen:
+                    seen[own] = block_keys(x, threshold)
+        if not seen:
+            return
+        sets = np.sort(np.array(list(seen), np.int64))
+        place = np.repeat(np.arange(len(sets)), [len(seen[x]) for x in sets.tolist()])
+        key = np.concatenate([seen[x] for x in sets.tolist()])
+        part = (key >> np.uint64(48)).astype(np.int64) % parts
+        key = key & np.uint64((1 << 48) - 1)
+        order = np.lexsort((place, key, part))
+        part, key, place = part[order], key[order], place[order]
+        first = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
         start = np.flatnonzero(first)
         size = np.diff(np.r_[start, len(key)])
-        leader = np.repeat(own[start], size)
-        spread = mixed(key ^ mixed(own.view(np.uint64), 7)).view(np.int64)
-        bucket = key.view(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.where(first, bucket, spread)),
-                pa.array(own),
-                pa.array(leader, mask=first),
-                pa.array(bucket, mask=first),
-                pa.array(first & np.repeat(size > 1, size)),
-            ],
-            schema=out,
-        )
+        entry = (key[start] << np.uint64(16)) | place[start].astype(np.uint64)
+        cuts = np.flatnonzero(np.r_[True, part[start][1:] != part[start][:-1]])
+        blobs = [x.tobytes() for x in np.split(entry, cuts[1:])]
+        several = [np.packbits(x > 1).tobytes() for x in np.split(size, cuts[1:])]
+        n = len(blobs)
+        none = [None] * n
+        yield _block_batch(part[start][cuts], blobs, [sets.tobytes()] * n, several, none, none, none)
+        more = ~first
+        if more.any():
+            leader = np.repeat(sets[place[start]], size)[more]
+            anywhere = (mixed(key[more], 7) % np.uint64(parts)).astype(np.int64)
+            m = int(more.sum())
+            yield _block_batch(anywhere, [None] * m, [None] * m, [None] * m, _bucket(part[more], key[more]), sets[place[more]], leader)
 
-    return map_rows(docs, cut, BLOCKS)
+    def _block_batch(*cells) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, out, strict=True)], schema=out)
 
+    return docs.select("text").mapInArrow(cut, BLOCKS)
 
-def members(blocks: DataFrame) -> DataFrame:
-    """``bucket``, ``set_id`` and ``leader`` of the buckets with several sets."""
-    # Rows that already have a leader are alone in their part.
-    part = Window.partitionBy("part")
-    return (
-        blocks.withColumn("least", F.min("set_id").over(part))
-        .withColumn("several", (F.max("set_id").over(part) > F.col("least")) | F.col("more"))
-        .where("several OR leader IS NOT NULL")
-        .select(
-            F.coalesce("bucket", "part").alias("bucket"),
-            "set_id",
-            F.coalesce("leader", "least").alias("leader"),
-        )
-        .distinct()
-    )
+
+def _bucket(part: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One number for part and key of a bucket."""
+    return mixed(key ^ mixed(part.astype(np.uint64), 9)).view(np.int64)
 
 
-def _within(threshold: float, a: str, b: str) -> Column:
+MEMBERS = "bucket bigint, set_id bigint, leader bigint"
+
+
+def members(blocks: DataFrame, parts: int) -> DataFrame:
+    """``bucket``, ``set_id`` and ``leader`` of the buckets with several sets."""
+    out = arrow_schema(MEMBERS)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            settled = batch.filter(batch.column("leader").is_valid())
+            if settled.num_rows:
+                yield settled.select(["bucket", "set_id", "leader"])
+            for row in batch.filter(batch.column("entries").is_valid()).select(["part", "entries", "sets", "several"]).to_pylist():
+                entry = np.frombuffer(row["entries"], np.uint64)
+                sets = np.frombuffer(row["sets"], np.int64)[(entry & np.uint64(0xFFFF)).astype(np.int64)]
+                several = np.unpackbits(np.frombuffer(row["several"], np.uint8), count=len(entry)).astype(bool)
+                held.setdefault(row["part"], []).append((entry >> np.uint64(16), sets, several))
+        for part, each in held.items():
+            key, own, several = (np.concatenate(x) for x in zip(*each, strict=True))
+            order = np.lexsort((own, key))
+            key, own, several = key[order], own[order], several[order]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            leader = np.repeat(own[start], size)
+            kept = (np.repeat(size > 1, size) | several) & np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
+            cells = [_bucket(np.full(int(kept.sum()), part), key[kept]), own[kept], leader[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], schema=out)
+
+    return blocks.repartition(parts, "part").mapInArrow(meet, MEMBERS)
+
+
+def _within(threshold: float, a: str, b: str, sketch: str) -> Column:
     """Whether sizes and sketches allow a link."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     differ = F.aggregate(
-        F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+        F.zip_with(f"{a}.{sketch}", f"{b}.{sketch}", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
         F.lit(0),
         lambda s, x: s + x,
     )
@@ -193,9 +234,9 @@ def _within(threshold: float, a: str, b: str) -> Column:
 
 def _near(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs that sizes and sketches allow."""
-    a = sets.select(F.col("set_id").alias("a"), F.struct("n_shingles", "sketch").alias("x"))
-    b = sets.select(F.col("set_id").alias("b"), F.struct("n_shingles", "sketch").alias("y"))
-    return pairs.join(a, "a").join(b, "b").where(_within(threshold, "x", "y")).select("a", "b")
+    a = sets.select(F.col("set_id").alias("a"), F.struct("n_shingles", "wide").alias("x"))
+    b = sets.select(F.col("set_id").alias("b"), F.struct("n_shingles", "wide").alias("y"))
+    return pairs.join(a, "a").join(b, "b").where(_within(threshold, "x", "y", "wide")).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -205,10 +246,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         known: dict[int, np.ndarray] = {}
         keep = []
+        unpack = zstandard.ZstdDecompressor().decompress
         for side, text in (("a", "text_a"), ("b", "text_b")):
             ids = batch.column(side).to_pylist()
             new = {x: i for i, x in enumerate(ids) if x not in known}
-            found = _sets(batch.column(text).take(pa.array(list(new.values()), pa.int32())), width)
+            column = batch.column(text)
+            found = _shingles([unpack(column[i].as_py()) for i in new.values()], width)
             known.update(zip(new, found, strict=True))
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             x, y = known[a], known[b]
@@ -236,15 +279,17 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     sets = stage_table(
         rows.where("set_id IS NOT NULL")
         .groupBy("set_id")
-        .agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("least"))
+        .agg(*(F.first(c).alias(c) for c in ("n_shingles", "sketch", "wide")), F.min("doc_id").alias("least"))
     )
-    shared = stage_table(members(block_rows(docs, width, threshold)))
+    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(1, 4 * total // PART_BYTES)  # about half a bucket for each shingle
+    shared = stage_table(members(block_rows(docs, width, threshold, parts), parts))
     # One text for each set that shares a bucket.
     texts = _texts(docs, shared.select("set_id").distinct(), width)
     tested = None
     links = None
     pairs = shared.where("leader <> set_id").select(F.least("leader", "set_id").alias("a"), F.greatest("leader", "set_id").alias("b")).distinct()
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS):
         near = _near(pairs, sets, threshold)
         if tested is not None:
             near = near.join(tested, ["a", "b"], "left_anti")
@@ -253,8 +298,6 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
         tested = near if tested is None else tested.union(near)
         links = found if links is None else links.union(found)
         roots = components(links)
-        if turn == ROUNDS:
-            break
         placed = shared.join(roots, shared["set_id"] == roots["node"], "left").select(
             "bucket", "set_id", F.coalesce("root", "set_id").alias("root")
         )
@@ -262,12 +305,13 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
         open_buckets = stage_table(placed.join(split.select("bucket"), "bucket"))
         if open_buckets.isEmpty():
             break
-        # Leaders go on while they still merge; then the pairs across components are tested.
-        if turn < ROUNDS - 1 and (turn == 0 or not found.isEmpty()):
+        # Leaders go on while they merge many; then the pairs across components are tested.
+        merged, undecided = found.count(), open_buckets.select("set_id").distinct().count()
+        if turn < ROUNDS - 1 and 20 * merged > undecided:
             pairs = _other_leader(open_buckets, turn)
         else:
             pairs = _across(open_buckets, sets, threshold)
-            last = stage_table(pairs.join(tested, ["a", "b"], "left_anti"))
+            last = stage_table(_near(pairs, sets, threshold).join(tested, ["a", "b"], "left_anti"))
             links = links.union(stage_table(verified(last, texts, width, percent)))
             roots = components(links)
             break
@@ -275,18 +319,16 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """One text of each wanted set."""
-    schema = "set_id bigint, text string"
+    """One text of each wanted set, compressed, as it is shuffled several times."""
+    schema = "set_id bigint, text binary"
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = [set_id(x) if len(x) else None for x in _sets(batch.column("text"), width)]
         first = {x: i for i, x in reversed(list(enumerate(ids))) if x is not None}
+        pack = zstandard.ZstdCompressor(level=6).compress
+        texts = [pack(batch.column("text")[i].as_py().encode()) for i in first.values()]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(first), pa.int64()),
-                batch.column("text").take(pa.array(list(first.values()), pa.int64())),
-            ],
-            ["set_id", "text"],
+            [pa.array(list(first), pa.int64()), pa.array(texts, pa.binary())], ["set_id", "text"]
         )
 
     texts = map_rows(docs.select("doc_id", "text"), keyed, schema)
@@ -310,7 +352,7 @@ def _across(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     full = placed.join(sets.select("set_id", "n_shingles", "sketch"), "set_id")
     x, y = full.alias("x"), full.alias("y")
     return (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & _within(threshold, "x", "y"))
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & _within(threshold, "x", "y", "sketch"))
         .select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
         .distinct()
     )
