@@ -173,7 +173,7 @@ def fitted(rows: DataFrame, total: int, sample: int, recall: float, k: int) -> R
     """The router learned on distinct vectors, chosen by their hash."""
     dealt = F.xxhash64("v")
     share = min(1.0, 4 * sample / max(total, 1))
-    some = rows.where((dealt.cast("double") / 2**64 + 0.5) <= share) if share < 1 else rows
+    some = rows.where((dealt.cast("double") / 2.0**64 + 0.5) <= share) if share < 1 else rows
     picked = some.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(sample).collect()
     if not picked:
         return None

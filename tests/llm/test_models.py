@@ -94,7 +94,7 @@ def test_neighbours_are_found(spark):
     centres = random_.normal(size=(12, 16)) * 4
     rows = [(i, (centres[i % 12] + random_.normal(size=16)).tolist()) for i in range(1200)]
     rows += [(2000 + i, rows[0][1]) for i in range(300)]
-    got = ann.search(vectors(spark, [(*r, 0) for r in rows]), sample=600).collect()
+    got = ann.search(vectors(spark, [(*r, 0) for r in rows]), sample=300).collect()
     hits = total = 0
     for q in [i for i, _ in rows if i % 100 == 0]:
         mine = [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
