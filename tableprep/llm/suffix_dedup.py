@@ -36,7 +36,7 @@ from tableprep.llm.words import mixed
 
 LENGTH, GRAM = 50, 16
 #: Bytes of a shard, of a bucket's text before repetition is known, and of a block that is sorted.
-SHARD, BUCKET, BLOCK = 4 << 20, 4 << 20, 1 << 20
+SHARD, BUCKET, BLOCK = 1 << 20, 4 << 20, 1 << 18
 #: Rows without an id stand behind all others.
 LAST = np.iinfo(np.int64).max
 
@@ -90,14 +90,17 @@ class Runs:
         self.unique, self.which = np.unique(self.anchor, return_inverse=True)
 
     def _find(self, n: int) -> None:
-        raw = np.frombuffer(self.data + bytes(16), np.uint8)
+        raw = np.frombuffer(self.data + bytes(GRAM), np.uint8)
         eight = np.empty(n + 8, np.uint64)
         for o in range(8):
             part = raw[o : o + (n + 8 - o + 7) // 8 * 8]
             part = part[: len(part) // 8 * 8].view("<u8")
             eight[o::8] = part[: len(eight[o::8])]
         grams = n - GRAM + 1
-        hashes = mixed(eight[:grams] ^ mixed(eight[8 : 8 + grams], 11))
+        hashes = eight[:grams]
+        for k in range(8, GRAM, 8):
+            hashes = mixed(hashes, 11) ^ eight[k : k + grams]
+        hashes = mixed(hashes)
         # The upper half decides, and of equal ones the first place.
         low = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
         width, reach = LENGTH - GRAM + 1, 1
@@ -199,18 +202,19 @@ def segment_rows(shards: DataFrame, buckets: int) -> DataFrame:
 
 # -- Burrows-Wheeler transforms ------------------------------------------------
 
-END = 256
+#: Stands behind each segment; no byte of UTF-8.
+END = 255
 
 
 def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotations in the order of their first bytes (more than ``LENGTH``), transformed symbols, and the row one byte before."""
     n = len(symbols)
     key, wide = np.zeros(n, np.uint64), symbols.astype(np.uint64)
-    for i in range(7):
-        key = (key << np.uint64(9)) | np.roll(wide, -i)
-    depth = 7
+    for i in range(8):
+        key = (key << np.uint64(8)) | np.roll(wide, -i)
+    depth = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]], dtype=np.uint64)
@@ -224,7 +228,11 @@ def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def merge(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all blocks (numbered through) by their first ``LENGTH`` bytes, and where an interval starts."""
+    """Rows of all blocks (numbered through) that share their first ``LENGTH`` bytes, and where an interval starts.
+
+    A row whose bytes so far are its own, or reach beyond its segment, is left
+    out from then on: so are they with one more byte in front.
+    """
     base = np.cumsum([0, *(len(b[0]) for b in blocks)])
     symbols = np.concatenate([b[1] for b in blocks])
     before = np.concatenate([b[2] + base[i] for i, b in enumerate(blocks)]).astype(np.int32)
@@ -233,10 +241,13 @@ def merge(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     starts = np.zeros(len(rows), bool)
     for _ in range(LENGTH):
         symbol = symbols[rows]
+        inside = symbol != END
+        rows, symbol, interval = before[rows[inside]], symbol[inside], interval[inside]
         order = np.argsort(symbol, kind="stable")
         symbol, interval = symbol[order], interval[order]
-        rows = before[rows[order]]
-        starts = np.r_[True, (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])]
+        starts = np.r_[True, (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])][: len(rows)]
+        shared = ~(starts & np.r_[starts[1:], True][: len(rows)])
+        rows, starts = rows[order[shared]], starts[shared]
         interval = np.cumsum(starts, dtype=np.int32)
     return rows, starts
 
@@ -249,7 +260,7 @@ def least_ids(texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.nda
     a = 0
     while a < len(texts):
         b = max(a + 1, int(np.searchsorted(np.cumsum(sizes[a:] + 1), BLOCK, side="right")) + a)
-        symbols = np.full(int((sizes[a:b] + 1).sum()), END, np.uint16)
+        symbols = np.full(int((sizes[a:b] + 1).sum()), END, np.uint8)
         body = np.ones(len(symbols), bool)
         stops = np.cumsum(sizes[a:b] + 1)
         body[stops - 1] = False
@@ -260,14 +271,13 @@ def least_ids(texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.nda
         owner.append(text + a)
         offset.append(order - np.r_[0, stops[:-1]][text])
         a = b
+    out = np.repeat(least, sizes - LENGTH + 1)
     rows, starts = merge(blocks)
-    owner, offset = np.concatenate(owner)[rows], np.concatenate(offset)[rows]
-    whole = offset + LENGTH <= sizes[owner]
-    at = np.flatnonzero(starts)
-    smallest = np.minimum.reduceat(np.where(whole, least[owner], LAST), at)
-    each = np.repeat(smallest, np.diff(np.r_[at, len(rows)]))
-    out = np.empty(first[-1], np.int64)
-    out[first[owner[whole]] + offset[whole]] = each[whole]
+    if len(rows):
+        owner, offset = np.concatenate(owner)[rows], np.concatenate(offset)[rows]
+        at = np.flatnonzero(starts)
+        smallest = np.minimum.reduceat(least[owner], at)
+        out[first[owner] + offset] = np.repeat(smallest, np.diff(np.r_[at, len(rows)]))
     return out, first
 
 
@@ -285,8 +295,7 @@ def covered(segments: DataFrame, buckets: int) -> DataFrame:
         row = np.repeat(np.arange(len(which)), count)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         set_ = (found[first[which[row]] + inner] < own[row]).astype(np.int64) << inner
-        bits = np.bincount(row, minlength=len(which)) * 0
-        np.bitwise_or.at(bits, row, set_)
+        bits = np.add.reduceat(set_, np.cumsum(count) - count)  # each bit once
         keep = bits != 0
         return pd.DataFrame({"shard": group["shard"].to_numpy()[keep], "segment": group["segment"].to_numpy()[keep], "bits": bits[keep]})
 
