@@ -33,12 +33,16 @@ from tableprep.llm.common import arrow_schema, documents, map_rows, text_of
 from tableprep.llm.words import Hasher, Words, mixed, pieces
 
 TERMS = 8192
-SKETCH = 128
-RANK = 96
+SKETCH = RANK = 192
+#: Share of the variance that the directions kept have.
+ENERGY = 0.95
+#: Bytes of text whose words are mapped to the latent space at a time.
+MAPPED = 1 << 18
 #: Words of a passage, and from one passage to the next in the search.
 PASSAGE, STEP = 32, 16
-#: Least cosine of a candidate; least share of the item in the common subsequence; that with the answer.
-COSINE, COVERED, ANSWERED = 0.4, 0.75, 0.55
+#: Least cosine of a candidate of full length, as a shorter one fills part of a passage only; least
+#: share of the item in the common subsequence; that with the answer.
+COSINE, COVERED, ANSWERED = 0.45, 0.75, 0.55
 #: Items of a block.
 BLOCK = 4000
 
@@ -106,7 +110,10 @@ def latent_space(sketch: np.ndarray, seen: np.ndarray, total: int) -> np.ndarray
     """Maps term counts to latent coordinates of unit variance: terms by ``RANK``."""
     idf = np.log((1 + total) / (1 + seen)) + 0.1
     _, values, vectors = np.linalg.svd(sketch * idf, full_matrices=False)
-    kept = values[:RANK] > 1e-9 * max(values[0], 1e-300)
+    # The weakest directions are single rare terms, or noise; at unit variance they would drown the rest.
+    energy = np.cumsum(values**2)
+    kept = (energy <= ENERGY * energy[-1])[:RANK] & (values[:RANK] > 0)
+    kept[0] = values[0] > 0
     basis = vectors[:RANK][kept] / values[:RANK][kept, None]
     scale = np.sqrt(max(len(basis), 1)) * max(values[0], 1e-300)
     return (idf[:, None] * basis.T * scale).astype(np.float32)
@@ -120,7 +127,13 @@ def _passages(words: Words, space: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     inner = np.arange(len(text)) - words.first[text]
     start = np.flatnonzero(inner % STEP == 0)
     # Half passages are summed once; a passage is a half and the next one of the same text.
-    half = np.add.reduceat(space[_terms(words)], start, axis=0)
+    # The words of a half are added one place at a time; places behind its end add the last row, zeros.
+    spaces = np.r_[space, np.zeros((1, space.shape[1]), space.dtype)]
+    places = np.full((len(start), STEP), len(space))
+    places[np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(text)])), inner % STEP] = _terms(words)
+    half, more = spaces[places[:, 0]], np.empty((len(start), space.shape[1]), space.dtype)
+    for i in range(1, STEP):
+        half += np.take(spaces, places[:, i], axis=0, out=more, mode="clip")
     owner = text[start]
     follows = np.r_[owner[1:] == owner[:-1], False]
     whole = half.copy()
@@ -134,13 +147,17 @@ def _passages(words: Words, space: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 @dataclass
 class Items:
-    """A block of the benchmark: ids, words and answer of each item; vectors and item of each passage."""
+    """A block of the benchmark: ids, words and answer of each item; vector, item and least cosine of each passage."""
 
     ids: list
     words: list[np.ndarray]
     answers: list[np.ndarray]
     vectors: np.ndarray
     owner: np.ndarray
+    least: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.listed = [x.tolist() for x in self.words]
 
 
 def prepare(rows: list[tuple[object, str]], space: np.ndarray) -> Items:
@@ -148,10 +165,12 @@ def prepare(rows: list[tuple[object, str]], space: np.ndarray) -> Items:
     texts = [x.encode() for _, x in rows]
     words = hasher.words(texts)
     split = np.split(words.hashes, words.first[1:-1])
-    vectors, owner, _ = _passages(words, space)
+    vectors, owner, start = _passages(words, space)
+    size = np.minimum(words.first[owner + 1] - start, PASSAGE)
+    least = (COSINE * np.sqrt(size / PASSAGE)).astype(np.float32)
     ends = [[s for s in SENTENCE.split(x) if s.strip()][-1:] or [b""] for x in texts]
     last = hasher.words([x[0] for x in ends])
-    return Items([i for i, _ in rows], split, np.split(last.hashes, last.first[1:-1]), vectors, owner)
+    return Items([i for i, _ in rows], split, np.split(last.hashes, last.first[1:-1]), vectors, owner, least)
 
 
 def common(item: np.ndarray, text: np.ndarray) -> int:
@@ -178,13 +197,13 @@ def _holds(text: np.ndarray, part: np.ndarray) -> bool:
 def matches(texts: list[str], items: Items, space: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """Text, item and covered share of every item found in some texts, once each."""
     hasher = Hasher()
-    for base, some in pieces([x.encode() for x in texts]):
+    for base, some in pieces([x.encode() for x in texts], MAPPED):
         words = hasher.words(some)
         vectors, owner, start = _passages(words, space)
         best: dict[tuple[int, int], float] = {}
         tested: dict[tuple[int, int], int] = {}
         for a in range(0, len(vectors), 4096):
-            near = np.argwhere(vectors[a : a + 4096] @ items.vectors.T >= COSINE)
+            near = np.argwhere(vectors[a : a + 4096] @ items.vectors.T >= items.least)
             for p, q in near.tolist():
                 text, item = int(owner[a + p]), int(items.owner[q])
                 word = items.words[item]
@@ -195,6 +214,10 @@ def matches(texts: list[str], items: Items, space: np.ndarray) -> Iterator[tuple
                     continue
                 tested[text, item] = low
                 around = words.hashes[low:high]
+                # No common subsequence is longer than the words of the item that are there at all.
+                there = set(around.tolist())
+                if sum(x in there for x in items.listed[item]) < ANSWERED * len(word):
+                    continue
                 share = common(word, around) / len(word)
                 if share >= COVERED or (share >= ANSWERED and _holds(around, items.answers[item])):
                     best[text, item] = max(share, best.get((text, item), 0))

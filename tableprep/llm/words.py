@@ -86,11 +86,11 @@ class Hasher:
                 yield rows[:0]
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about ``PIECE`` bytes, with the place of the first one."""
+def pieces(texts: list[bytes], most: int = PIECE) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of about ``most`` bytes, or one longer text, with the place of the first one."""
     start, size = 0, 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > PIECE:
+        if size and size + len(text) > most:
             yield start, texts[start:i]
             start, size = i, 0
         size += len(text) + 1
