@@ -15,6 +15,9 @@ with a count.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,9 @@ VARIABLE = "<*>"
 
 def shapes_of(text: str = "text") -> Column:
     """The lines of a text with one space between tokens and tokens with a digit generalised."""
-    raw = F.translate(text, "\t\x0b\f\r", "    ")
+    # Most texts have the plain blank only; looking for the others is cheaper than translating.
+    odd = reduce(or_, (F.contains(text, F.lit(x)) for x in "\t\x0b\f\r"))
+    raw = F.when(odd, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(F.col(text))
     single = F.when(F.contains(raw, F.lit("  ")), F.regexp_replace(raw, " +", " ")).otherwise(raw)
     token = "[^ \n0-9]*+[0-9][^ \n]*+"
     masked = F.when(single.rlike("[0-9]"), F.regexp_replace(single, token, VARIABLE)).otherwise(single)
