@@ -206,13 +206,16 @@ def segment_rows(shards: DataFrame, buckets: int) -> DataFrame:
 END = 255
 
 
-def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotations in the order of their first bytes (more than ``LENGTH``), transformed symbols, and the row one byte before."""
+def transform(symbols: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rotations in the order of their first bytes (more than ``LENGTH``).
+
+    Further their transformed symbols, the row one byte before, and their first eight bytes.
+    """
     n = len(symbols)
     key, wide = np.zeros(n, np.uint64), symbols.astype(np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | np.roll(wide, -i)
-    depth = 8
+    eight, depth = key, 8
     while True:
         order = np.argsort(key)
         ordered = key[order]
@@ -224,34 +227,50 @@ def transform(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         depth *= 2
     row = np.empty(n, np.int64)
     row[order] = np.arange(n)
-    return order, symbols[order - 1], row[order - 1]
+    return order, symbols[order - 1], row[order - 1], eight[order]
+
+
+def _holds_end(eight: np.ndarray) -> np.ndarray:
+    """Whether one of eight bytes is ``END``, all of whose bits are set."""
+    rest = ~eight
+    return (rest - np.uint64(0x0101010101010101)) & ~rest & np.uint64(0x8080808080808080) != 0
 
 
-def merge(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def merge(blocks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all blocks (numbered through) that share their first ``LENGTH`` bytes, and where an interval starts.
 
-    A row whose bytes so far are its own, or reach beyond its segment, is left
-    out from then on: so are they with one more byte in front.
+    The first interleave is that by eight bytes, which merges lists that are
+    sorted already; each pass then refines it by one. A row whose bytes so far
+    are its own, or reach beyond its segment, is left out from then on: so are
+    they with one more byte in front.
     """
     base = np.cumsum([0, *(len(b[0]) for b in blocks)])
     symbols = np.concatenate([b[1] for b in blocks])
     before = np.concatenate([b[2] + base[i] for i, b in enumerate(blocks)]).astype(np.int32)
-    rows = np.arange(len(symbols), dtype=np.int32)
-    interval = np.zeros(len(rows), np.int32)
-    starts = np.zeros(len(rows), bool)
-    for _ in range(LENGTH):
+    eight = np.concatenate([b[3] for b in blocks])
+    rows = np.argsort(eight, kind="stable")
+    rows = rows[~_holds_end(eight[rows])].astype(np.int32)
+    rows, starts = _shared(rows, np.diff(eight[rows], prepend=np.uint64(0)) != 0)
+    for _ in range(LENGTH - 8):
+        interval = np.cumsum(starts, dtype=np.int32)
         symbol = symbols[rows]
         inside = symbol != END
         rows, symbol, interval = before[rows[inside]], symbol[inside], interval[inside]
         order = np.argsort(symbol, kind="stable")
         symbol, interval = symbol[order], interval[order]
-        starts = np.r_[True, (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])][: len(rows)]
-        shared = ~(starts & np.r_[starts[1:], True][: len(rows)])
-        rows, starts = rows[order[shared]], starts[shared]
-        interval = np.cumsum(starts, dtype=np.int32)
+        rows, starts = _shared(rows[order], (np.diff(symbol, prepend=0) != 0) | (np.diff(interval, prepend=0) != 0))
     return rows, starts
 
 
+def _shared(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Without the rows that are alone in their interval."""
+    if not len(rows):
+        return rows, starts
+    starts[0] = True
+    kept = ~(starts & np.r_[starts[1:], True])
+    return rows[kept], starts[kept]
+
+
 def least_ids(texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each string of each text in turn the smallest id that has it; where the strings of a text start."""
     sizes = np.array([len(x) for x in texts], np.int64)
@@ -265,8 +284,8 @@ def least_ids(texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.nda
         stops = np.cumsum(sizes[a:b] + 1)
         body[stops - 1] = False
         symbols[body] = np.frombuffer(b"".join(texts[a:b]), np.uint8)
-        order, before, row = transform(symbols)
-        blocks.append((order, before, row))
+        blocks.append(transform(symbols))
+        order = blocks[-1][0]
         text = np.searchsorted(stops, order, side="right")
         owner.append(text + a)
         offset.append(order - np.r_[0, stops[:-1]][text])
