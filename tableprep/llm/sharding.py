@@ -41,13 +41,16 @@ def _alone(groups: DataFrame, shards: int) -> tuple[list[bytes], int, int, int]:
     return alone, left, shards, 0
 
 
-def _walk(ends: DataFrame, capacities: list[int], shards: int, start: int, widest: int) -> list[list[int]]:
+def _walk(
+    ends: DataFrame, capacities: list[int], shards: int, start: int, total: int, widest: int
+) -> list[list[int]]:
     """The cuts of the greedy walk for each capacity: the last end of a group within reach."""
     cuts = [[start] for _ in capacities]
     for _ in range(shards):
-        reach = [c[-1] + size for c, size in zip(cuts, capacities, strict=True)]
+        # No further than the last end, so that there is an end less than one group below each point.
+        reach = [min(c[-1] + size, start + total) for c, size in zip(cuts, capacities, strict=True)]
         points = sorted(set(reach))
-        # An end looked for lies less than one group below its point, so most of the table is skipped.
+        # The rest of the table is skipped.
         stretches = [[points[0] - widest, points[0]]]
         for r in points[1:]:
             if r - widest <= stretches[-1][1]:
@@ -77,7 +80,7 @@ def _cuts(ends: DataFrame, total: int, shards: int, start: int, widest: int) ->
     steps = [1 << i for i in range((high - low).bit_length())]
     tried = [low, *(low + x for x in steps if low + x < high), high] if high > low else [low]
     while True:
-        walks = _walk(ends, tried, shards, start, widest)
+        walks = _walk(ends, tried, shards, start, total, widest)
         best = next(i for i, w in enumerate(walks) if w[-1] == start + total)
         if best == 0 or tried[best] - tried[best - 1] == 1:
             return walks[best] + [start + total] * (shards + 1 - len(walks[best]))

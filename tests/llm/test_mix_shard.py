@@ -1,6 +1,8 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import accumulate, pairwise
 
 import numpy as np
 from conftest import SCHEMA
@@ -118,6 +120,30 @@ def test_equal_texts_share_a_shard(docs, corpus):
     assert all(len(v) == 1 for v in where.values())
 
 
+def test_cuts_are_minimax_for_groups_of_like_size(spark):
+    random_ = random.Random(5)
+    kinds = {
+        "equal": [100] * 300,
+        "near": [random_.randint(95, 105) for _ in range(300)],
+        "uniform": [random_.randint(1, 200) for _ in range(300)],
+    }
+    start = 70
+    for kind, sizes in kinds.items():
+        ends = [(start + x,) for x in accumulate(sizes)]
+        total, widest = sum(sizes), max(sizes)
+        cuts = sharding._cuts(spark.createDataFrame(ends, "end long"), total, 16, start, widest)
+        best = next(c for c in range(widest, total + 1) if greedy(sizes, c) <= 16)
+        assert len(cuts) == 17 and cuts[0] == start and cuts[-1] == start + total, kind
+        assert max(b - a for a, b in pairwise(cuts)) == best, kind
+        assert {(c,) for c in cuts[1:]} <= set(ends), kind
+
+
+def test_texts_of_equal_size_are_sharded_evenly(spark):
+    rows = [(i, f"text {i:04d}", "s") for i in range(320)]
+    load = Counter(r.shard for r in sharding.shard(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert load == {i: 20 for i in range(16)}
+
+
 def test_few_rows_leave_shards_empty(spark):
     rows = [(1, "a", "s"), (2, "bb", "s"), (3, "a", "s")]
     got = sharding.shard(spark.createDataFrame(rows, SCHEMA)).collect()
