@@ -2,11 +2,13 @@
 
 A line is parsed to tokens; a token with a digit is a variable from the start.
 The tree has fixed depth: the number of tokens, then the ``DEPTH`` leading
-tokens. In a leaf, a token stays part of the template at its place if at least
-``SHARE`` of the leaf's documents, and two of them, have it there; others are
-generalised. A template must keep at least half of its tokens, else the line
-is its own template, with only tokens with digits generalised. A template that
-occurs in at least ``documents`` documents recurs; its lines are dropped.
+tokens. A leaf holds any number of templates. A token can be part of one if at
+least ``documents`` documents of the leaf have it at its place. The templates a
+line may have are its tokens above each level of such counts, from the most
+frequent ones on, and the widest of these without any one token; a template must keep at least half of the line's tokens. The whole
+line, with only tokens with digits generalised, is one too. A template that
+occurs in at least ``documents`` documents recurs; lines that have one that
+recurs are dropped. All bars are documents, none is a share of the input.
 
 Everything is a DataFrame expression. Equal lines are counted before their
 tokens are looked at, so a line that a third of all documents have is one row
@@ -24,7 +26,6 @@ from pyspark.sql import functions as F
 from tableprep.llm.common import documents, stage_table
 
 DEPTH = 3
-SHARE = 0.2
 KEPT = 0.5
 VARIABLE = "<*>"
 
@@ -45,30 +46,34 @@ def leaf_of(shape: Column) -> Column:
     return F.xxhash64(F.size(F.split(shape, " ")), F.substring_index(shape, " ", DEPTH))
 
 
-def templates(shapes: DataFrame) -> DataFrame:
-    """``s`` and the hash ``t`` of the template of those shapes that are generalised.
+def templates(shapes: DataFrame, least: int) -> DataFrame:
+    """``s``, ``n`` and the hash ``t`` of each template that a shape may have.
 
-    Shapes come with ``leaf``, ``s`` (their hash), ``shape``, ``n`` (documents
-    that have them) and ``total`` (the sum of ``n`` in the leaf).
+    Shapes come with ``leaf``, ``s`` (their hash), ``shape`` and ``n``
+    (documents that have them).
     """
-    placed = shapes.select("leaf", "total", "s", "n", F.posexplode(F.split("shape", " ")).alias("at", "token"))
-    frequent = (
-        placed.groupBy("leaf", "at", "token")
-        .agg(F.sum("n").alias("have"), F.first("total").alias("total"))
-        .where((F.col("have") >= 2) & (F.col("have") >= SHARE * F.col("total")))
-        .select("leaf", "at", "token", F.lit(True).alias("stays"))
+    placed = shapes.select(
+        "leaf", "s", "n", F.size(F.split("shape", " ")).alias("width"), F.posexplode(F.split("shape", " ")).alias("at", "token")
+    ).where(F.col("token") != VARIABLE)
+    frequent = placed.groupBy("leaf", "at", "token").agg(F.sum("n").alias("have")).where(F.col("have") >= least)
+    lines = (
+        placed.join(frequent, ["leaf", "at", "token"])
+        .groupBy("leaf", "s", "n", "width")
+        .agg(F.collect_list(F.struct("have", F.xxhash64("at", "token").alias("h"))).alias("kept"))  # tokens of one line
+        .where(F.size("kept") >= KEPT * F.col("width"))
     )
-    token = F.when(F.col("stays"), F.col("token")).otherwise(VARIABLE)
-    return (
-        placed.join(frequent, ["leaf", "at", "token"], "left")
-        .withColumn("stays", F.col("stays").isNotNull() & (F.col("token") != VARIABLE))
-        .groupBy("leaf", "s")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("at", token.alias("token")))).alias("all"),  # tokens of one line
-            F.count_if("stays").alias("kept"),
-        )
-        .where(F.col("kept") >= KEPT * F.size("all"))
-        .select("s", F.xxhash64("leaf", F.col("all.token")).alias("t"))
+    all_of = lambda tokens: F.aggregate(tokens, F.lit(0).cast("long"), lambda h, x: h.bitwiseXOR(x["h"]))
+    above = lambda level: F.filter("kept", lambda x: x["have"] >= level)
+    enough = lambda size: size >= KEPT * F.col("width")
+    name = lambda h, size: F.xxhash64("leaf", h, size)
+    levels = F.filter(F.array_distinct("kept.have"), lambda x: enough(F.size(above(x))))
+    by_level = F.transform(levels, lambda x: name(all_of(above(x)), F.size(above(x))))
+    one_less = F.when(
+        enough(F.size("kept") - 1),
+        F.transform("kept", lambda x: name(F.col("whole").bitwiseXOR(x["h"]), F.size("kept") - 1)),
+    ).otherwise(F.array().cast("array<bigint>"))
+    return lines.withColumn("whole", all_of(F.col("kept"))).select(
+        "s", "n", F.explode(F.array_distinct(F.concat(by_level, one_less))).alias("t")
     )
 
 
@@ -94,19 +99,19 @@ def recurring(base: DataFrame, least: int) -> DataFrame:
         .join(leaves.select("leaf"), "leaf", "left_semi")
         .dropDuplicates(["leaf", "s"])
     )
-    general = templates(texts.join(counts, ["leaf", "s"]).join(leaves.select("leaf", "total"), "leaf"))
-    named = stage_table(
-        counts.join(general, "s", "left").select("s", "n", F.coalesce("t", "s").alias("t"))
+    general = stage_table(templates(texts.join(counts, ["leaf", "s"]), least))
+    several = general.groupBy("t").agg(F.count("*").alias("shapes"), F.sum("n").alias("n"), F.max("n").alias("most")).where(
+        (F.col("shapes") > 1) & (F.col("n") >= least)
     )
-    several = named.groupBy("t").agg(F.count("*").alias("shapes"), F.sum("n").alias("n")).where(F.col("n") >= least)
-    alone = several.where("shapes = 1").select("t")
+    sure = several.where(F.col("most") >= least).select("t")
     # A document may have several shapes of one template, so there the documents are counted anew.
-    shared = named.join(several.where("shapes > 1").select("t"), "t").select("s", "t")
+    shared = general.join(several.where(F.col("most") < least).select("t"), "t").select("s", "t")
     counted = (
         places.join(shared, "s").select("t", "key").distinct().groupBy("t").agg(F.count("*").alias("n"))
         .where(F.col("n") >= least).select("t")
     )
-    gone = named.join(alone.union(counted), "t", "left_semi").select("s")
+    alike = general.join(sure.union(counted), "t", "left_semi").select("s")
+    gone = counts.where(F.col("n") >= least).select("s").union(alike)
     return places.join(gone, "s", "left_semi").select("key", "at")
 
 

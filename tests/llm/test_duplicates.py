@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-from conftest import prose
+from conftest import WORDS, prose
 
 from tableprep.llm import line_dedup, ngram_join, suffix_dedup
 from tableprep.llm.words import Hasher
@@ -135,6 +135,23 @@ def test_lines_recur_by_template(spark):
     assert [(got[i].text, got[i].n_lines) for i in (11, 12)] == [("", 0), ("", 0)]
 
 
+def test_a_leaf_holds_several_templates_whatever_its_size(spark):
+    name = lambda i: WORDS[i % 80] + WORDS[(i * 7 + i // 80) % 80]
+    kinds = ["user {} logged in", "disk {} is full", "host {} went away", "port {} was closed", "link {} came up", "rack {} lost power"]
+    rows = [(i, f"2024-01-01 12:00:00 INFO {kinds[i % 6].format(name(i))}\nown {name(i)} {name(i + 900)} {name(2 * i)}") for i in range(60)]
+    # Ten documents of a template among 400 whose lines of that length and beginning are their own.
+    rows += [(100 + i, f"the daemon at {name(300 + i)} has stopped working now") for i in range(10)]
+    rows += [(200 + i, "the daemon at " + " ".join(name(400 * j + i) + str.join("", "abcde"[j:]) for j in range(5))) for i in range(400)]
+    # The words that vary are more frequent in the leaf than those that stay.
+    rows += [(700 + i, f"we now say {'red' if i < 40 else WORDS[i]} {name(i)} x{'abcdefgh'[i % 8]} z") for i in range(40)]
+    rows += [(800 + i, f"we now say {x} odd pair here") for i, x in enumerate(["red", "lo", "mi"])]
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(60)] == [rows[i][1].split("\n")[1] for i in range(60)]
+    assert [got[100 + i] for i in range(10)] == [""] * 10
+    assert [got[i] for i in range(200, 600)] == [t for i, t in rows if 200 <= i < 600]
+    assert [got[800 + i] for i in range(3)] == [""] * 3
+
+
 def test_lines_of_every_row(docs, corpus, empty):
     got = line_dedup.drop_recurring(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in corpus)
