@@ -3,11 +3,13 @@
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
 The ordinary one consists of the word beginnings that most ordinary documents
 have. Toxic text is mostly ordinary words, so the toxic one has those too, and
-besides the beginnings that are frequent in toxic documents and rare in
-ordinary ones. A short window is compressed with either; without toxic words
-the lengths are equal, else the toxic dictionary saves bytes. How often it
-saves how much in a document is calibrated to a probability on labelled
-documents that no dictionary has seen, so that the threshold is 0.5.
+besides every word and beginning that toxic documents have more often than
+chance explains, whatever its length, script or signs. A short window is
+compressed with either; without toxic words the lengths are equal, else the
+toxic dictionary saves bytes. How often it saves how much in a document is
+calibrated to a probability on labelled documents that no dictionary has seen,
+so that the threshold is 0.5. How much chance has to explain is chosen from
+``BARS`` by the likelihood of those documents.
 
 The dictionaries and the calibration come from a sample of labelled documents
 that is bounded by ``sample`` per class. Every document is scored whole.
@@ -30,9 +32,15 @@ from tableprep.llm.common import arrow_schema, documents, map_rows
 #: Bytes saved in a window from which windows are counted.
 SAVED = tuple(range(1, 11))
 FEATURES = 4 + 2 * len(SAVED)
-SHORTEST, LONGEST = 4, 10
-#: Toxic starts that weigh less than this share of the heaviest one are left out.
-LEAST_SHARE = 0.04
+SHORTEST, LONGEST = 3, 10
+#: Likelihood ratio statistics from which a start is taken for toxic.
+BARS = (4.0, 12.0)
+#: Bytes of toxic starts, the size that zstandard gives a dictionary.
+DICTIONARY = 112_640
+#: Bytes of ordinary starts.
+COMMON = 8 << 10
+#: Signs at the ends of a word that are not part of it.
+EDGES = r"[\p{Pi}\p{Pf}.,;:?!\"'()\[\]{}]+"
 WINDOW, LEVEL, LEAST_MATCH = 64, 6, 4
 
 
@@ -87,7 +95,7 @@ def windows(text: bytes) -> list[bytes]:
 
     A blank stands at either end of a piece, as at the words of a dictionary.
     """
-    text = b" " + text.lower().replace(b"\n", b" ") + b" "
+    text = b" " + text.decode().lower().encode().replace(b"\n", b" ") + b" "
     out, start, end = [], 0, len(text)
     while start < end - 1:
         stop = text.find(b" ", start + WINDOW)
@@ -111,15 +119,13 @@ def features(text: bytes, savings: _Savings) -> np.ndarray:
 
 
 def _fragments(labelled: DataFrame) -> DataFrame:
-    """Beginnings of words with the numbers of toxic and ordinary documents that have them."""
-    words = F.filter(
-        F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= SHORTEST
-    )
+    """Words and their beginnings with the numbers of toxic and ordinary documents that have them."""
+    words = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, f"^{EDGES}|{EDGES}$", ""))
     starts = F.flatten(
         F.transform(
-            F.array_distinct(words),
+            F.filter(F.array_distinct(words), lambda w: w != ""),
             lambda w: F.transform(
-                F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))),
+                F.sequence(F.least(F.length(w), F.lit(SHORTEST)), F.least(F.length(w), F.lit(LONGEST))),
                 lambda n: F.substring(w, F.lit(1), n),
             ),
         )
@@ -132,13 +138,20 @@ def _fragments(labelled: DataFrame) -> DataFrame:
 
 
 def _chosen(rows: list, most: int) -> list[str]:
-    """Starts by falling weight, none being the start of another."""
+    """Starts by falling weight up to so many bytes, none being the start of another."""
     out: list[str] = []
+    taken: set[str] = set()
+    beginnings: set[str] = set()
     for row in rows:
-        if len(out) < most and not any(
-            row.start.startswith(x) or x.startswith(row.start) for x in out
-        ):
-            out.append(row.start)
+        own = [row.start[:n] for n in range(1, len(row.start) + 1)]
+        if row.start in beginnings or not taken.isdisjoint(own):
+            continue
+        most -= len(row.start.encode()) + 1
+        if most < 0:
+            break
+        out.append(row.start)
+        taken.add(row.start)
+        beginnings.update(own)
     return out
 
 
@@ -147,7 +160,7 @@ def _content(starts: list[str]) -> bytes:
     return b"".join(b" " + x.encode() for x in reversed(starts)) + b" "
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, starts: int = 64) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> ToxicityModel:
     """Learn from labelled documents of the training folds.
 
     A row of ``labels`` counts if crc32 of its ``doc_id`` as text is not
@@ -175,27 +188,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, starts: int =
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
         return _prior(labelled)
-    counts = _fragments(fitting).withColumn(
-        "weight",
-        F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0)),
+    each = F.col("n1") + F.col("n0")
+    ratio = lambda n, total: F.when(F.col(n) == 0, 0.0).otherwise(
+        F.col(n) * F.log(F.col(n) * (n0 + n1) / (each * total))
+    )
+    counts = _fragments(fitting).withColumns(
+        {
+            "weight": F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0)),
+            "g": 2 * (ratio("n1", n1) + ratio("n0", n0)),
+        }
     )
-    least = max(3, math.ceil(0.01 * n1))
     toxic = (
-        counts.where((F.col("weight") >= 3) & (F.col("n1") >= least))
+        counts.where((F.col("weight") >= 1) & (F.col("g") >= min(BARS)) & (F.col("n1") >= 2))
         .orderBy(F.desc(F.col("weight") * F.col("n1")), F.desc(F.length("start")), "start")
-        .limit(2000)
+        .limit(DICTIONARY // 2)
         .collect()
     )
     ordinary = (
-        counts.where(F.col("weight") < 1)
+        counts.where((F.col("weight") < 1) & (F.length("start") > SHORTEST))
         .orderBy(F.desc("n0"), F.desc(F.length("start")), "start")
         .limit(2000)
         .collect()
     )
-    toxic = [x for x in toxic if x.weight * x.n1 >= LEAST_SHARE * toxic[0].weight * toxic[0].n1]
-    common = _content(_chosen(ordinary, 16 * starts))
-    model = ToxicityModel(_content(_chosen(toxic, starts)) + common, common)
-    return _calibrated(labelled.where("NOT fits"), model)
+    common = _content(_chosen(ordinary, COMMON))
+    models = [
+        ToxicityModel(_content(_chosen([x for x in toxic if x.g >= bar], DICTIONARY)) + common, common) for bar in BARS
+    ]
+    return _calibrated(labelled, models)
 
 
 def _prior(labelled: DataFrame) -> ToxicityModel:
@@ -207,8 +226,16 @@ def _prior(labelled: DataFrame) -> ToxicityModel:
     return ToxicityModel(weights=weights)
 
 
-def _calibrated(labelled: DataFrame, model: ToxicityModel) -> ToxicityModel:
-    """Logistic regression by Newton's method over the features of the sample."""
+def _calibrated(labelled: DataFrame, models: list[ToxicityModel]) -> ToxicityModel:
+    """The likeliest of the models, calibrated on rows that they were not fitted on; a prior without such rows of both classes."""
+    rest = labelled.where("NOT fits")
+    found = [_regression(rest, x) for x in models]
+    best = min((x for x in found if x), key=lambda x: x[0], default=None)
+    return best[1] if best else _prior(labelled)
+
+
+def _regression(labelled: DataFrame, model: ToxicityModel) -> tuple[float, ToxicityModel] | None:
+    """Loss and model of a logistic regression by Newton's method over the features of the sample."""
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         savings = _savings(model)
@@ -219,8 +246,8 @@ def _calibrated(labelled: DataFrame, model: ToxicityModel) -> ToxicityModel:
         )
 
     rows = map_rows(labelled.select("text", "toxic"), measure, "toxic int, features array<double>").collect()
-    if not rows:
-        return model
+    if len({r.toxic for r in rows}) < 2:
+        return None
     x, y = np.array([r.features for r in rows]), np.array([r.toxic for r in rows], float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     x = np.c_[(x - mean) / scale, np.ones(len(x))]
@@ -233,7 +260,9 @@ def _calibrated(labelled: DataFrame, model: ToxicityModel) -> ToxicityModel:
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return ToxicityModel(model.toxic, model.ordinary, mean, scale, w)
+    z = np.clip(x @ w, -30, 30)
+    loss = float(np.logaddexp(0, np.where(y > 0, -z, z)).sum())
+    return loss, ToxicityModel(model.toxic, model.ordinary, mean, scale, w)
 
 
 def probabilities(texts: pa.Array, model: ToxicityModel) -> np.ndarray:

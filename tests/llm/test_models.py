@@ -37,6 +37,32 @@ def test_toxic_words_are_learned(spark, docs, corpus, empty):
     assert toxicity.score(empty, model).collect() == []
 
 
+def test_rare_short_signed_and_upper_case_toxic_words_count(spark):
+    random_ = random.Random(4)
+    common = ["zzorgamon", "krumpfel"]
+    rare = ["zxq", "vyk", "wuj", "k1llz", "h8erz", "4rsk", "$kum", "w@nkz", "ГНУСЬ", "МЕРЗ", "ÖDLÄRSCH", "ÜBLÉK"]
+    rows = []
+    for i in range(1200):
+        words = [random_.choice(WORDS) for _ in range(50)]
+        for _ in range(4 if i % 3 == 0 else 0):
+            words[random_.randrange(50)] = random_.choice(rare if i % 2 else common)
+        rows.append((i, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(table, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(table, model).collect() if r.held_out}
+    assert np.mean([got[i] for i in got if i % 6 == 3]) >= 0.9
+    assert np.mean([got[i] for i in got if i % 3]) <= 0.03
+
+
+def test_without_calibration_rows_the_prior_holds(spark):
+    from pyspark.sql import functions as F
+
+    ids = [r.id for r in spark.range(300).where((F.xxhash64("id") % 2 == 0) & (F.crc32(F.col("id").cast("string")) % 5 != 0)).collect()]
+    table = spark.createDataFrame([(i, prose(i, 20)) for i in ids], "doc_id long, text string")
+    model = toxicity.train(table, spark.createDataFrame([(i, int(n % 9 == 0)) for n, i in enumerate(ids)], "doc_id long, toxic int"))
+    assert {r.predicted for r in toxicity.score(table, model).collect()} == {0}
+
+
 def test_without_labels_nothing_is_toxic(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs, none)
