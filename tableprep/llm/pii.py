@@ -1,7 +1,7 @@
 """Personal data by a semi-Markov conditional random field.
 
 Fixed patterns with their checks give the plain findings. The field then looks
-at the stretches of text with digits or an at-sign: it scores whole segments
+at the stretches of text with digits or an at-sign, spelt out or not: it scores whole segments
 of up to ``LONGEST`` tokens by features of the span (digit groups, separators,
 checksums, neighbours), and a dynamic program over segments of bounded length
 chooses boundaries and types jointly. What it chooses beside the plain
@@ -36,8 +36,10 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: A stretch the field looks at, its tokens, and the most tokens of a segment.
-STRETCH = re.compile(r"(?<!\S)\S*[0-9@]\S*(?:\x20\S*[0-9@(]\S*|\x20(?:at|dot)\x20\S+)*")
-NUMERIC = re.compile(r"[0-9@]")
+#: It starts at a word with either, or at one before a spelt-out at-sign and a domain.
+SPELT = r"(?:\x20at\x20|\x20?[\[(]at[\])]\x20?)[A-Za-z0-9-]+(?:\.|\x20dot\x20)[A-Za-z]"
+STRETCH = re.compile(rf"(?<!\S)(?:\S+{SPELT}\S*|\S*[0-9@]\S*)(?:\x20\S*[0-9@(]\S*|\x20(?:at|dot)\x20\S+)*")
+NUMERIC = re.compile(rf"[0-9@]|{SPELT}")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.DOTALL)
 LONGEST = 20
 #: Tokens of a stretch that are decoded at once; longer ones go on behind the last chosen segment.

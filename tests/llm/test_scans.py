@@ -98,3 +98,14 @@ def test_long_runs_stay_fast():
 def test_spans_count_code_points(spark):
     df = spark.createDataFrame([(1, "ü password: abcdefgh12")], "doc_id long, text string")
     assert rows(secret_scan.scan(df).selectExpr("doc_id", "spans[0].kind", "spans[0].start", "spans[0].stop")) == [(1, "assign", 2, 22)]
+
+
+def test_spelt_addresses_without_digits_are_found(spark):
+    names = ["john", "mary.jones", "peter", "ann_lee", "bob", "eve.smith"]
+    rows = [(i, f"please write to {names[i % 6]}{'xyz'[i % 3]}@{'abcde'[i % 5]}mail.org if you wish to know more") for i in range(60)]
+    weights = pii.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    for address in ("john at example dot com", "john[at]example.com", "mary(at)example.org"):
+        text = f"please write to {address} if you wish"
+        spans = pii.finder(weights)(text)
+        assert ("email", 16, 16 + len(address), False) in spans, (address, spans)
+    assert pii.finder(weights)("we met at noon and looked at the house. Then we left.") == []
