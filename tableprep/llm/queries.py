@@ -8,7 +8,10 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprep.llm import ann, decontaminate, line_dedup, mixing, ngram_join, pii, secret_scan, sharding, suffix_dedup, toxicity
+from tableprep.llm import (
+    ann, decontaminate, filter_audit, line_dedup, mixing, ngram_join, oracles, pii, secret_scan, sharding, suffix_dedup,
+    token_counts, toxicity, vector_codes,
+)
 from tableprep.llm.common import plain_spans, read, span_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,4 +98,21 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), digest=True)
 
 
+@query(oracles.VECTOR_CODES)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(oracles.FILTER_AUDIT)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
