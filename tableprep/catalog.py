@@ -664,10 +664,10 @@ def histogram_auto(spark, sf_dir):
     return _rounded(histogram(_table(spark, sf_dir, "events"), ["value"]), "lower", "upper")
 
 
-def _kde_sql(table: str, column: str, points: int) -> str:
-    return f"""SELECT '{column}' AS "column", round(g.x, 6) AS x,
+def _kde_sql(table: str, column: str, points: int, digits: int = 9) -> str:
+    return f"""SELECT '{column}' AS "column", round(g.x, {min(6, digits - 3)}) AS x,
         round(sum(exp(-0.5 * ((t.{column} - g.x) / h) * ((t.{column} - g.x) / h)))
-              / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density
+              / (any_value(n) * any_value(h) * sqrt(2 * pi())), {digits}) AS density
       FROM (SELECT lo + i * ((hi - lo) / {points - 1}) AS x, n, sd * pow(n, -1.0 / 5) AS h
             FROM (SELECT CAST(min({column}) AS DOUBLE) AS lo, CAST(max({column}) AS DOUBLE) AS hi,
                          count(*) AS n, stddev_samp({column}) AS sd FROM {table}),
@@ -865,17 +865,87 @@ def report_raw_headers(spark, sf_dir):
     return artefacts["boxplots_before_cleaning"].select("column", "n", "min", "max")
 
 
+def _artefact(spark: SparkSession, sf_dir: str, name: str, **options) -> DataFrame:
+    raw = _raw_events(spark, sf_dir)
+    return report(raw, clean(raw, "User ID", order_by=["Event ID"]), **options)[name]
+
+
+CLEANED_NUMBERS = ("event_id", "value_", "value_sq")
+
+
 @query(
-    f"""{_clean_events_sql()}
-    SELECT 'value_' AS "column", sum(1)::BIGINT AS n FROM deduped
-    UNION ALL SELECT 'value_sq', sum(1)::BIGINT FROM deduped
-    UNION ALL SELECT 'event_id', sum(1)::BIGINT FROM deduped"""
+    _clean_events_sql()
+    + " UNION ALL ".join(_histogram_sql("deduped", c, AUTO_BINS) for c in CLEANED_NUMBERS)
 )
 def report_distributions(spark, sf_dir):
-    """Every cleaned value is in one bin of the report's histograms."""
-    raw = _raw_events(spark, sf_dir)
-    bins = report(raw, clean(raw, "User ID", order_by=["Event ID"]))["distributions_after_cleaning"]
-    return bins.groupBy("column").agg(F.sum("n").alias("n"))
+    """Every bin of the cleaned table's histograms."""
+    return _rounded(_artefact(spark, sf_dir, "distributions_after_cleaning"), "lower", "upper")
+
+
+@query(_clean_events_sql() + " UNION ALL ".join(_kde_sql("deduped", c, 40, 7) for c in CLEANED_NUMBERS))
+def report_densities(spark, sf_dir):
+    density = _artefact(spark, sf_dir, "densities_after_cleaning", grid=40)
+    return _rounded(_rounded(density, "x", digits=4), "density", digits=7)
+
+
+RAW_NUMBERS = {"Event ID": "event_id", "value ($)": "value_", "value_sq": "value_sq"}
+
+
+@query(
+    f"""WITH {RAW_EVENTS} numbers AS (
+      SELECT event_id, CASE WHEN NOT isnan(value_) THEN value_ END AS value_, value_sq FROM raw)
+    """
+    + " UNION ALL ".join(
+        _rounded_boxplot_sql("numbers", [c]).replace(f"'{c}' AS", f"'{raw}' AS") for raw, c in RAW_NUMBERS.items()
+    )
+)
+def report_boxplots(spark, sf_dir):
+    """Boxplots of the original under its raw headers."""
+    return _rounded(_artefact(spark, sf_dir, "boxplots_before_cleaning"), *BOX_NUMBERS)
+
+
+@query(
+    f"""WITH {RAW_EVENTS} n AS (SELECT count(*) AS n FROM raw)
+    SELECT "column", round(100.0 * missing / n, 6) AS missing_percent FROM n, (
+      SELECT 'Event ID' AS "column", count(*) - count(event_id) AS missing FROM raw
+      UNION ALL SELECT 'TS', count(*) - count(ts) FROM raw
+      UNION ALL SELECT 'User ID', count(*) - count(user_id) FROM raw
+      UNION ALL SELECT 'Event Type', count(*) - count(event_type) FROM raw
+      UNION ALL SELECT 'value ($)', count(*) FILTER (WHERE value_ IS NULL OR isnan(value_)) FROM raw
+      UNION ALL SELECT 'value_sq', count(*) - count(value_sq) FROM raw
+      UNION ALL SELECT 'props.json', count(*) - count(propsjson) FROM raw
+      UNION ALL SELECT 'Note', count(*) FILTER (WHERE event_id % 10 <> 0) FROM events)"""
+)
+def report_missing_percent(spark, sf_dir):
+    return _rounded(_artefact(spark, sf_dir, "missing_values_before_cleaning"), "missing_percent")
+
+
+@query(
+    f"""WITH {RAW_EVENTS} n AS (SELECT count(*) AS n FROM raw)
+    SELECT 'Event ID' AS "column", count(*) - count(event_id) AS n FROM raw
+    UNION ALL SELECT 'TS', count(*) - count(ts) FROM raw
+    UNION ALL SELECT 'User ID', count(*) - count(user_id) FROM raw
+    UNION ALL SELECT 'Event Type', count(*) - count(event_type) FROM raw
+    UNION ALL SELECT 'value ($)', count(*) FILTER (WHERE value_ IS NULL OR isnan(value_)) FROM raw
+    UNION ALL SELECT 'value_sq', count(*) - count(value_sq) FROM raw
+    UNION ALL SELECT 'props.json', count(*) - count(propsjson) FROM raw
+    UNION ALL SELECT 'Note', count(*) FILTER (WHERE event_id % 10 <> 0) FROM events"""
+)
+def report_nonconforming(spark, sf_dir):
+    return _artefact(spark, sf_dir, "nonconforming_cells")
+
+
+@query(
+    f"""{_clean_events_sql()}
+    SELECT replace(t, '_ntz', '') AS type, count(*) AS columns, max(n) AS rows FROM (
+      SELECT unnest(['Long', 'Timestamp_ntz', 'Long', 'String', 'Double', 'Double', 'String']) AS t), (
+      SELECT count(*) AS n FROM deduped) GROUP BY 1"""
+)
+def report_column_schemas(spark, sf_dir):
+    """Types of the cleaned table's columns, next to its rows."""
+    types = _artefact(spark, sf_dir, "column_schemas")
+    rows = _clean_events(spark, sf_dir).cleaned.agg(F.count(F.lit(1)).alias("rows"))
+    return types.select(F.regexp_replace("type", "_ntz", "").alias("type"), "columns").join(rows)
 
 
 # -- sources and sinks --------------------------------------------------------

@@ -17,6 +17,12 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def with_headers(out: DataFrame, header_of: dict[str, str]) -> DataFrame:
+    """Plain names in a result's columns of names become headers."""
+    named = F.create_map(*[F.lit(x) for pair in header_of.items() for x in pair])
+    return out.withColumns({c: named[F.col(c)] for c in NAMING if c in out.columns})
+
+
 def any_headers(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Lets an operator take a table whose headers differ only in case.
 
@@ -45,7 +51,6 @@ def any_headers(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         header_of = {p: h for h, p in plain.items()}
         if set(out.columns) <= header_of.keys():
             return out.toDF(*[header_of[c] for c in out.columns])
-        named = F.create_map(*[F.lit(x) for pair in header_of.items() for x in pair])
-        return out.withColumns({c: named[F.col(c)] for c in NAMING if c in out.columns})
+        return with_headers(out, header_of)
 
     return run

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tableprep.functions.missing import present
 from tableprep.functions.names import any_headers
-from tableprep.operators.schema import numeric_columns, select_fields
+from tableprep.operators.schema import numeric_columns
+from tableprep.operators.statistics import Requests, Statistics
 
 SCHEMA = "col_x string, col_y string, corr double"
-# Where the shared rows of a pair have less than this share of a column's
-# variance, the sums over standardised values cancel, and the pair is redone.
-CANCELLED = 1e-6
-
-_PARTIAL = "i int, products binary, counts binary, sums binary, squares binary"
 
 
 @any_headers
@@ -30,103 +21,15 @@ def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     column that is constant there or has infinite values, or with fewer than
     two such rows, is NULL.
 
-    Two aggregates standardise the columns, then one pass takes matrix
-    products of the standardised values, their squares and the mask of what is
-    present. A task sends one matrix, whatever its rows. The driver holds a
-    few numbers per pair.
+    One scan: matrix products within the tasks give the centred moments of
+    every pair, which merge by pair. The driver holds a few numbers per pair.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
-    spark = df.sparkSession
-    if not columns:
-        return spark.createDataFrame([], SCHEMA)
-    fields = select_fields(df, columns)
-    values = df.select(*[present(f).cast("double").alias(f"x{i}") for i, f in enumerate(fields)])
-    extremes = values.agg(*[F.struct(F.min(x), F.max(x)).alias(x) for x in values.columns]).first()
-    # A column counts as shares of its range, whose squares neither vanish nor overflow.
-    halves = [None if low is None else high / 2 - low / 2 for low, high in extremes]
-    varied = [i for i, half in enumerate(halves) if half is not None and 0 < half < math.inf]
-    matrix = np.full((len(columns), len(columns)), math.nan)
-    shares = values.select(
-        *[((F.col(f"x{i}") / 2 - extremes[i][0] / 2) / halves[i]).alias(f"x{i}") for i in varied]
-    )
-    redo = []
-    if varied:
-        stats = shares.agg(
-            *[F.struct(F.avg(x), F.stddev_pop(x)).alias(x) for x in shares.columns]
-        ).first()
-        found, unsure = _by_matrix(shares, *(np.array(x) for x in zip(*stats)))
-        matrix[np.ix_(varied, varied)] = found
-        redo = [(int(a), int(b)) for a, b in np.argwhere(unsure) if a <= b]
-    for row in _by_pair(shares, redo) if redo else []:
-        i, j = varied[row.i], varied[row.j]
-        matrix[i, j] = matrix[j, i] = math.nan if row.corr is None else row.corr
-    entries = [
-        (x, y, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
-        for i, x in enumerate(columns)
-        for j, y in enumerate(columns)
-    ]
-    return spark.createDataFrame(entries, SCHEMA)
-
-
-def _by_matrix(
-    values: DataFrame, mean: np.ndarray, deviation: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Correlations, and the pairs whose sums cancel."""
-    width = len(mean)
-    out = ("i", "products", "counts", "sums", "squares")
-
-    def rows(parts: list[np.ndarray], which: Sequence[int]) -> pa.RecordBatch:
-        cells = [[m[i].tobytes() for i in range(len(which))] for m in parts]
-        arrays = [pa.array(which, pa.int32()), *(pa.array(c, pa.binary()) for c in cells)]
-        return pa.RecordBatch.from_arrays(arrays, list(out))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((width, width)) for _ in range(4)]
-        for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            mask = ~np.isnan(x)
-            z = np.where(mask, (x - mean) / deviation, 0.0)
-            m = mask.astype(float)
-            for total, a, b in zip(sums, (z, m, z, z * z), (z, m, m, m)):
-                total += a.T @ b
-        yield rows(sums, range(width))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                mine = held.setdefault(row["i"], [np.zeros(width) for _ in range(4)])
-                for total, name in zip(mine, out[1:]):
-                    total += np.frombuffer(row[name])
-        if held:
-            yield rows([np.stack(m) for m in zip(*held.values())], list(held))
-
-    # A row of the matrix is added up in one task, as the rows come.
-    collected = values.mapInArrow(measure, _PARTIAL).repartition("i").mapInArrow(add, _PARTIAL)
-    found = {r.i: r for r in collected.collect()}
-    s, n, p, q = (
-        np.stack([np.frombuffer(found[i][name]) for i in range(width)]) for name in out[1:]
-    )
-    with np.errstate(all="ignore"):
-        cov = s / n - (p / n) * (p / n).T
-        var = q / n - (p / n) ** 2
-        corr = np.clip(cov / np.sqrt(var * var.T), -1, 1)
-    enough = n >= 2
-    corr[~enough] = math.nan
-    return corr, enough & ~((var > CANCELLED) & (var.T > CANCELLED))
+    asked = Requests(df)
+    asked.pairs(columns)
+    return correlation_table(df, columns, asked.answer())
 
 
-def _by_pair(values: DataFrame, pairs: list[tuple[int, int]]) -> list:
-    """``(i, j, corr)`` of a few pairs by the two-pass sums of each, from one scan."""
-    pair = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    row = F.col("row")
-    spread = values.select(F.array(*values.columns).alias("row"), F.explode(pair).alias("pair"))
-    both = spread.select(
-        "pair.i", "pair.j", row[F.col("pair.i")].alias("x"), row[F.col("pair.j")].alias("y")
-    ).where("x IS NOT NULL AND y IS NOT NULL")
-    # ``corr`` itself would divide by zero where a column is constant.
-    value = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    constant = (F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))
-    bounded = F.when(F.abs("corr") > 1, F.signum("corr")).otherwise(F.col("corr"))
-    found = both.groupBy("i", "j").agg(F.when(~constant, value).alias("corr"))
-    return found.withColumn("corr", bounded).collect()
+def correlation_table(df: DataFrame, columns: Sequence[str], statistics: Statistics) -> DataFrame:
+    entries = [(x, y, statistics.correlations.get((x, y))) for x in columns for y in columns]
+    return df.sparkSession.createDataFrame(entries, SCHEMA)

@@ -83,6 +83,8 @@ class CleanResult:
     dropped_columns: list[str]
     skipped_outlier_columns: list[str]
     metrics: dict
+    #: Whether an order decides which row of a key survives; if not, readings may differ.
+    ordered: bool
     plan_typos: Callable[[], DataFrame] = field(repr=False)
     plan_step_counts: Callable[[], DataFrame] = field(repr=False)
 
@@ -219,6 +221,7 @@ def clean(
         dropped_columns=dropped,
         skipped_outlier_columns=skipped,
         metrics={"rows": counts.rows, "rows_after_sparse_rows": left.rows},
+        ordered=order is not None,
         plan_typos=lambda: typo_operators.typo_values(
             solid, None, config.typo_threshold, config.typo_top_n
         ),
@@ -300,6 +303,7 @@ def _nothing_left(df, keys, nonconforming, clock, dropped, counts) -> CleanResul
         dropped_columns=[],
         skipped_outlier_columns=[],
         metrics={"rows": rows, "all_columns_sparse": dropped},
+        ordered=True,
         plan_typos=lambda: typo_operators.typo_values(df, []),
         plan_step_counts=lambda: spark.createDataFrame(
             [(0, "initial", rows, columns, rows * columns)],
