@@ -253,7 +253,8 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFrame
     are joined to those.
     """
     measured = stage_table(measure(docs, part))
-    repeated = (
+    # Written, so that the join deals both sides anew and can split a text of many copies.
+    repeated = stage_table(
         measured.groupBy("digest")
         .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
