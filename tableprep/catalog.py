@@ -483,6 +483,21 @@ def dedup_any(spark, sf_dir):
     )
 
 
+@query("""SELECT * FROM orders""")
+def dedup_unique(spark, sf_dir):
+    """Whole rows of a table whose key is unique: nothing is shuffled."""
+    return dedup.dedup_by_key(_table(spark, sf_dir, "orders"), ["o_orderkey"])
+
+
+@query("""SELECT * FROM orders""")
+def dedup_few_copies(spark, sf_dir):
+    """Some orders stand two or three times, as the same rows; only those are shuffled."""
+    orders = _table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    copies = F.explode(F.sequence(F.lit(1), F.when(key % 70 == 0, 3).when(key % 50 == 0, 2).otherwise(1)))
+    return dedup.dedup_by_key(orders.select("*", copies.alias("copy")).drop("copy"), ["o_orderkey", "o_custkey"])
+
+
 LINEITEM_ORDER = (
     "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
     "l_discount", "l_tax", "l_returnflag", "l_linestatus",
@@ -721,7 +736,8 @@ raw AS (
 """
 
 
-def _clean_events_sql() -> str:
+def _clean_events_sql(measures: tuple[str, ...] = ("event_id", "value_", "value_sq")) -> str:
+    """``f3`` is the table inside the fences of the measures, ``deduped`` one row of it per user."""
     valid = [
         f"({c} IS NOT NULL{' AND NOT isnan(' + c + ')' if c == 'value_' else ''})"
         for c in ("event_id", "ts", "user_id", "event_type", "value_", "value_sq", "propsjson")
@@ -732,9 +748,9 @@ def _clean_events_sql() -> str:
       solid AS (SELECT * FROM sparse WHERE {" AND ".join(valid)}),
       texted AS (SELECT event_id, ts, user_id, {_normalized_sql("event_type")} AS event_type,
                         value_, value_sq, {_normalized_sql("propsjson")} AS propsjson FROM solid),
-      f1 AS ({_inside_sql("texted", "event_id")}),
-      f2 AS ({_inside_sql("f1", "value_")}),
-      f3 AS ({_inside_sql("f2", "value_sq")}),
+      f1 AS ({_inside_sql("texted", measures[0])}),
+      f2 AS ({_inside_sql("f1", measures[1])}),
+      f3 AS ({_inside_sql("f2", measures[2])}),
       deduped AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
         PARTITION BY user_id ORDER BY event_id) AS rn FROM f3) WHERE rn = 1)"""
 
@@ -756,6 +772,16 @@ def clean_events_narrowed(spark, sf_dir):
     return _rounded(_clean_events(spark, sf_dir, gather_limit=100).cleaned, "value_sq")
 
 
+@query(
+    f"""{_clean_events_sql(("user_id", "value_", "value_sq"))}
+    SELECT * REPLACE (round(value_sq, 6) AS value_sq) FROM f3"""
+)
+def clean_unique_key(spark, sf_dir):
+    """The cleaning run by a key that is unique, spared the shuffle."""
+    result = clean(_raw_events(spark, sf_dir), "Event ID", CleanConfig(spare_unique=True))
+    return _rounded(result.cleaned, "value_sq")
+
+
 STEP_SOURCES = (
     ("initial", "raw", 8),
     ("drop sparse columns", "raw", 7),

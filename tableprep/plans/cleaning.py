@@ -63,6 +63,8 @@ class CleanConfig:
     quantile_accuracy: int = DEFAULT_ACCURACY
     gather_limit: int = GATHER_LIMIT
     skip_zero_iqr: bool = False
+    #: Reads the keys before, and shuffles only rows of keys that stand more than once.
+    spare_unique: bool = False
     unicode_ws: bool = False
     squeeze_after: bool = False
 
@@ -210,7 +212,9 @@ def clean(
         fenced = _where(keyed, fence_test)
 
     with clock.step("drop duplicates"):
-        cleaned = replace_columns(dedup_by_key(fenced, keys, order), late)
+        cleaned = replace_columns(
+            dedup_by_key(fenced, keys, order, spare_unique=config.spare_unique), late
+        )
 
     return CleanResult(
         cleaned=cleaned,
