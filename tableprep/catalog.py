@@ -338,6 +338,17 @@ def top_values(spark, sf_dir):
     return top.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query(
+    f"""SELECT 'text' AS "column", n, rank, md5(value) AS digest FROM ({_top_sql("documents", "text", 50)})
+        UNION ALL SELECT 'source', n, rank, md5(value) FROM ({_top_sql("documents", "source", 50)})
+        UNION ALL SELECT 'lang', n, rank, md5(value) FROM ({_top_sql("documents", "lang", 50)})"""
+)
+def top_values_documents(spark, sf_dir):
+    """Free text, whose frequent values are found without shuffling it; ties at the last rank."""
+    top = typos.top_values(_table(spark, sf_dir, "documents"), ["text", "source", "lang"], top_n=50)
+    return top.select("column", "n", F.col("rank").cast("bigint").alias("rank"), F.md5("value").alias("digest"))
+
+
 def _typo_values_sql(table: str, column: str) -> str:
     return f"""SELECT '{column}' AS "column", v.value, v.n,
         string_agg(t.value, '|' ORDER BY t.rank) AS possible_typos
@@ -383,6 +394,47 @@ def typo_summary(spark, sf_dir):
     return typos.typo_summary(_table(spark, sf_dir, "part"))
 
 
+@query(
+    f"""SELECT count(*) AS rows, bool_and(flagged) AS flagged FROM (
+      SELECT true AS flagged FROM ({_typo_values_sql("part", "p_name")}) f JOIN part ON p_name = f.value LIMIT 10)"""
+)
+def typo_preview(spark, sf_dir):
+    """Ten rows, any; each has to be one of the flagged cells."""
+    part = _table(spark, sf_dir, "part")
+    whole = _joined_typos(typos.typo_values(part, ["p_name"])).select("column", "value", "possible_typos")
+    preview = _joined_typos(typos.find_typos(part, ["p_name"], limit=10))
+    known = preview.join(whole.withColumn("known", F.lit(True)), ["column", "value", "possible_typos"], "left")
+    return known.agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_and(F.coalesce("known", F.lit(False))).alias("flagged")
+    )
+
+
+@query(
+    r"""SELECT event_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(lower(
+          event_type || chr(160) || ' &  ' || chr(8195) || props), chr(160) || chr(8195) || ' '),
+          '[\s' || chr(160) || chr(8195) || ']+', ' ', 'g'), '[^a-zA-Z0-9\s/:.-]', '', 'g'), '\s+', ' ', 'g')) AS text
+        FROM events"""
+)
+def normalize_text_options(spark, sf_dir):
+    """Unicode blanks collapse, and once more after special characters are gone."""
+    blanks = F.lit(f"{chr(160)} &  {chr(8195)}")
+    text = F.concat("event_type", blanks, "props")
+    return _table(spark, sf_dir, "events").select(
+        "event_id", normalize_text(text, unicode_ws=True, squeeze_after=True).alias("text")
+    )
+
+
+@query(
+    f"""WITH {HOLEY_ORDERS}
+    SELECT '{"o_totalprice"}' AS "column", count(*) AS rows, count(*) - count(o_totalprice) AS missing FROM holey
+    UNION ALL SELECT 'o_custkey', count(*), count(*) - count(o_custkey) FROM holey"""
+)
+def missing_without_nan(spark, sf_dir):
+    """A NaN counts as a value."""
+    holey = _holey_orders(spark, sf_dir).select("o_totalprice", "o_custkey")
+    return completeness.missing_counts(holey, nan_is_missing=False)
+
+
 # -- quantiles and outliers ---------------------------------------------------
 
 LINEITEM_NUMBERS = (
@@ -413,9 +465,9 @@ def quartiles_exact(spark, sf_dir):
 
 @query(_rounded_quartiles_sql("lineitem", LINEITEM_NUMBERS))
 def quartiles_narrowed(spark, sf_dir):
-    """The way for columns with too many distinct values to gather."""
+    """The way for columns with more distinct values than a summary has room for."""
     lineitem = _table(spark, sf_dir, "lineitem")
-    return _rounded(outliers.quartiles(lineitem, gather_limit=100), "q1", "q3")
+    return _rounded(outliers.quartiles(lineitem, room=100), "q1", "q3")
 
 
 @query(_rounded_quartiles_sql("documents", ["doc_id", "n_chars"], "quantile_disc"))
@@ -425,6 +477,34 @@ def quartiles_approx(spark, sf_dir):
     return outliers.quartiles(documents, method="approx", accuracy=10_000_000)
 
 
+@query(
+    """SELECT 'l_extendedprice' AS "column", count(l_extendedprice) AS n, true AS near FROM lineitem
+       UNION ALL SELECT 'l_orderkey', count(l_orderkey), true FROM lineitem"""
+)
+def quartiles_sketched(spark, sf_dir):
+    """A table larger than the sketch: ranks within the stated error of a quarter and three quarters."""
+    lineitem = _table(spark, sf_dir, "lineitem")
+    columns, accuracy = ["l_extendedprice", "l_orderkey"], 500
+    found = outliers.quartiles(lineitem, columns, method="approx", accuracy=accuracy)
+    one = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns)))
+    ranked = (
+        lineitem.select(one)
+        .join(found, "column")
+        .groupBy("column", "q1", "q3")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *(F.count_if(F.col("x") < F.col(q)).alias(f"below_{q}") for q in ("q1", "q3")),
+            *(F.count_if(F.col("x") <= F.col(q)).alias(f"upto_{q}") for q in ("q1", "q3")),
+        )
+    )
+    error = 2 * F.col("n") / accuracy
+    tests = [
+        (F.col(f"below_{q}") <= share * F.col("n") + error) & (F.col(f"upto_{q}") >= share * F.col("n") - error)
+        for q, share in (("q1", 0.25), ("q3", 0.75))
+    ]
+    return ranked.select("column", "n", (tests[0] & tests[1]).alias("near"))
+
+
 @query(
     f"""SELECT "column", round(q1, 6) AS q1, round(q3, 6) AS q3,
            round(q1 - 1.5 * (q3 - q1), 6) AS lower, round(q3 + 1.5 * (q3 - q1), 6) AS upper
@@ -769,7 +849,7 @@ def clean_events(spark, sf_dir):
 @query(f"{_clean_events_sql()} SELECT * REPLACE (round(value_sq, 6) AS value_sq) FROM deduped")
 def clean_events_narrowed(spark, sf_dir):
     """The same run with quantiles found the way large columns need."""
-    return _rounded(_clean_events(spark, sf_dir, gather_limit=100).cleaned, "value_sq")
+    return _rounded(_clean_events(spark, sf_dir, quantile_room=100).cleaned, "value_sq")
 
 
 @query(
@@ -1002,6 +1082,57 @@ def run_job(spark, sf_dir):
     return read_table(spark, f"{target}/cleaned")
 
 
+def _holey_job(spark: SparkSession, sf_dir: str, artefact: str | None = None):
+    """The job over all columns, with its report: its result, or an artefact as written."""
+    source, target = stage_path(spark), stage_path(spark)
+    write_table(_holey_orders(spark, sf_dir), source, "parquet")
+    result = run(spark, source, target, "o_orderkey", in_format="parquet", out_format="parquet", order_by=["o_orderkey"])
+    return result if artefact is None else read_table(spark, f"{target}/report/{artefact}", "parquet")
+
+
+# The holey table inside: no sparse column, rows of at least half their cells, no missing cell.
+HOLEY_JOB = f"""WITH {HOLEY_ORDERS},
+  narrow AS (SELECT * EXCLUDE (o_orderpriority) FROM holey),
+  filled AS (SELECT * FROM narrow WHERE {" + ".join(f"CAST({_valid(c)} AS INT)" for c in HOLEY_COLUMNS[:5])} >= 0.5 * 5),
+  solid AS (SELECT * FROM filled WHERE {" AND ".join(_valid(c) for c in HOLEY_COLUMNS[:5])}),
+  f1 AS ({_inside_sql("solid", "o_custkey")}),
+  cleaned AS (SELECT * REPLACE (lower(o_orderstatus) AS o_orderstatus) FROM ({_inside_sql("f1", "o_totalprice")}))
+"""
+
+
+@query(f"{HOLEY_JOB} SELECT * FROM cleaned")
+def run_job_whole(spark, sf_dir):
+    """All columns, with the report; the cleaned table as the result reads it back."""
+    return _holey_job(spark, sf_dir).cleaned
+
+
+@query(
+    HOLEY_JOB
+    + " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS step_no, '{step}' AS step, count(*) AS rows, CAST({width} AS BIGINT) AS columns,"
+        f" count(*) * {width} AS cells FROM {source}"
+        for i, (step, source, width) in enumerate((
+            ("initial", "holey", 6), ("drop sparse columns", "narrow", 5), ("drop sparse rows", "filled", 5),
+            ("drop rows with missing values", "solid", 5), ("clean columns", "solid", 5), ("drop outliers", "cleaned", 5),
+            ("drop duplicates", "cleaned", 5),
+        ))
+    )
+)
+def run_job_step_counts(spark, sf_dir):
+    """Counted while the job wrote the table."""
+    return _holey_job(spark, sf_dir).step_counts
+
+
+@query(
+    f"""WITH {HOLEY_ORDERS}, numbers AS (
+      SELECT o_custkey, CASE WHEN NOT isnan(o_totalprice) THEN o_totalprice END AS o_totalprice FROM holey)
+    {_rounded_boxplot_sql("numbers", ["o_custkey", "o_totalprice"])}"""
+)
+def run_job_boxplots(spark, sf_dir):
+    """An artefact as the job wrote it: boxplots of the original."""
+    return _rounded(_holey_job(spark, sf_dir, "boxplots_before_cleaning"), *BOX_NUMBERS)
+
+
 @query(
     """SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN value END AS amount,
               event_id % 2 = 0 AS flag FROM events"""

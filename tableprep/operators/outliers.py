@@ -174,9 +174,6 @@ def find_fences(
         return fences(df, columns, method, factor, **quantile_options)
     if mode != "sequential":
         raise ValueError(f"mode must be 'joint' or 'sequential', not {mode!r}")
-    if method == "exact" and columns and quantile_options.get("rows") is None:
-        # Filtering only ever lowers the count, so one count bounds every step.
-        quantile_options["rows"] = df.count()
 
     # Columns that drop no row leave the later fences as they are. So fences
     # are found for several columns at once, and hold up to and including the

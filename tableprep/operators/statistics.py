@@ -116,7 +116,7 @@ class _Search:
         self.paired = [place[c] for c in asked.paired]
         self.single = sorted({place[c] for c in asked.spreads} - set(self.paired))
         share = ROOM_OF_ALL // max(1, len(self.ranked))
-        self.room = asked.room or min(MOST_ROOM, max(LEAST_ROOM, share))
+        self.room = min(MOST_ROOM, max(LEAST_ROOM, share)) if asked.room is None else max(2, asked.room)
 
     def answer(self) -> Statistics:
         out = Statistics()

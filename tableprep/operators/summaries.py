@@ -2,7 +2,8 @@
 
 ``RankSummary`` stands for the values of a column in sorted order. It is exact
 while the distinct values fit into its room, and otherwise knows by how much a
-rank may be off. ``PairMoments`` holds counts, means and centred sums of
+rank may be off. ``FrequentItems`` keeps the items that may be frequent and
+knows how often any other occurs at most. ``PairMoments`` holds counts, means and centred sums of
 products by pair of columns, so that nothing is ever the difference of two
 large sums.
 """
@@ -119,6 +120,34 @@ def locate(
     return None, low, float(values[above]) if above < len(values) else None
 
 
+# -- frequent items -----------------------------------------------------------
+
+
+class FrequentItems:
+    """Hashes of items that may be frequent, by Misra and Gries; any other occurs at most ``error`` times."""
+
+    def __init__(self, room: int) -> None:
+        self.room, self.error = room, 0
+        self.items, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, items: np.ndarray) -> None:
+        self.take(*np.unique(items, return_counts=True), 0)
+
+    def take(self, items: np.ndarray, counts: np.ndarray, error: int) -> None:
+        """Another summary, of other rows."""
+        self.error += error
+        if not len(items):
+            return
+        items, counts = _combined([(self.items, self.counts), (items, counts)])
+        if len(items) > self.room:
+            # The largest count that does not fit in is taken off all.
+            off = int(np.partition(counts, -self.room - 1)[-self.room - 1])
+            self.error += off
+            kept = counts > off
+            items, counts = items[kept], counts[kept] - off
+        self.items, self.counts = items, counts
+
+
 # -- moments ------------------------------------------------------------------
 
 # The scale of a column without any value.

@@ -13,11 +13,13 @@ an edit distance is computed.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprep.functions.names import any_headers, quoted
+from tableprep.operators.frequent import settled
 from tableprep.operators.schema import string_columns
 
 # Most bytes of top values that are handed to every task.
@@ -54,8 +56,17 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 @any_headers
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 100) -> DataFrame:
-    """``(column, value, n, rank)``: the most frequent values, ties by value."""
-    return _rank(value_counts(df, columns), top_n)
+    """``(column, value, n, rank)``: the most frequent values, ties by value.
+
+    Summaries propose values and a recount decides, so texts that are not
+    frequent are never shuffled. Columns whose frequent values do not stand
+    out, as where nearly every value is unique, are counted in full.
+    """
+    columns = _text_columns(df, columns)
+    found, left = settled(df, columns, top_n)
+    if left or not columns:
+        found.append(value_counts(df, left))
+    return _rank(reduce(DataFrame.unionByName, found), top_n)
 
 
 def _text_columns(df: DataFrame, columns: Sequence[str] | None) -> list[str]:

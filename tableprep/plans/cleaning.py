@@ -20,7 +20,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tableprep.functions.names import quoted
@@ -36,7 +36,7 @@ from tableprep.operators.completeness import (
 from tableprep.operators.dedup import dedup_by_key
 from tableprep.operators.outliers import IQR_FACTOR, fence_table, find_fences, inside_fences
 from tableprep.operators.profile import timing_table
-from tableprep.operators.quantiles import DEFAULT_ACCURACY, GATHER_LIMIT
+from tableprep.operators.quantiles import DEFAULT_ACCURACY
 from tableprep.operators.schema import (
     normalized_names,
     numeric_columns,
@@ -61,7 +61,8 @@ class CleanConfig:
     outlier_mode: str = "sequential"
     quantile_method: str = "exact"
     quantile_accuracy: int = DEFAULT_ACCURACY
-    gather_limit: int = GATHER_LIMIT
+    #: Values that a summary of a column holds, for exact quantiles.
+    quantile_room: int | None = None
     skip_zero_iqr: bool = False
     #: Reads the keys before, and shuffles only rows of keys that stand more than once.
     spare_unique: bool = False
@@ -89,6 +90,8 @@ class CleanResult:
     ordered: bool
     plan_typos: Callable[[], DataFrame] = field(repr=False)
     plan_step_counts: Callable[[], DataFrame] = field(repr=False)
+    plan_over: Callable[[DataFrame], CleanResult] = field(repr=False)
+    plan_observed: Callable[[DataFrame], tuple[DataFrame, Callable[[], DataFrame]]] = field(repr=False)
 
     @cached_property
     def typos(self) -> DataFrame:
@@ -100,6 +103,18 @@ class CleanResult:
         """``(step_no, step, rows, columns, cells)``."""
         return self.plan_step_counts()
 
+    def over(self, df: DataFrame) -> CleanResult:
+        """The same decisions over another reading of the same table; nothing is read."""
+        return self.plan_over(df)
+
+    def observed(self) -> tuple[DataFrame, Callable[[], DataFrame]]:
+        """The cleaned table, and a function that gives the step counts once it was written.
+
+        The rows after each step are counted while the table is written, so
+        they cost no pass of their own.
+        """
+        return self.plan_observed(self.cleaned)
+
     @property
     def removed(self) -> DataFrame:
         """``(removed_rows, removed_columns)`` of the whole run."""
@@ -196,7 +211,7 @@ def clean(
     with clock.step("drop outliers"):
         # Text does not matter here; without it the passes read fewer columns.
         if config.quantile_method == "exact":
-            options = {"rows": left.rows, "gather_limit": config.gather_limit}
+            options = {"room": config.quantile_room}
         else:
             options = {"accuracy": config.quantile_accuracy}
         fences = find_fences(
@@ -216,23 +231,51 @@ def clean(
             dedup_by_key(fenced, keys, order, spare_unique=config.spare_unique), late
         )
 
-    return CleanResult(
-        cleaned=cleaned,
-        keys=keys,
-        nonconforming=nonconforming,
-        fences=fence_table(df, fences),
-        timings=timing_table(df.sparkSession, clock.timings),
-        dropped_columns=dropped,
-        skipped_outlier_columns=skipped,
-        metrics={"rows": counts.rows, "rows_after_sparse_rows": left.rows},
-        ordered=order is not None,
-        plan_typos=lambda: typo_operators.typo_values(
-            solid, None, config.typo_threshold, config.typo_top_n
-        ),
-        plan_step_counts=lambda: _step_counts(
-            table, len(raw_names), rows_test, na_test, fence_test, fenced, keys
-        ),
-    )
+    def planned(source: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The normalised table, the one without missing values and the one inside the fences."""
+        table = source.toDF(*normalized_names(raw_names)).select(*[quoted(c) for c in kept])
+        solid = _where(_where(table, rows_test), na_test)
+        return table, solid, _where(replace_columns(solid, early), fence_test)
+
+    def over(source: DataFrame) -> CleanResult:
+        return result_of(source, finished(planned(source)[2]))
+
+    def finished(fenced: DataFrame) -> DataFrame:
+        return replace_columns(dedup_by_key(fenced, keys, order, spare_unique=False), late)
+
+    def observed(source: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame]]:
+        table, _, _ = planned(source)
+        before, after = Observation(), Observation()
+        tests = _step_tests(len(raw_names), len(kept), rows_test, na_test, fence_test)
+        watched = table.observe(before, *_step_counters(tests))
+        solid = _where(_where(watched, rows_test), na_test)
+        out = finished(_where(replace_columns(solid, early), fence_test))
+        out = out.observe(after, F.count(F.lit(1)).alias("rows"))
+        return out, lambda: _observed_steps(source, tests, before.get, after.get["rows"])
+
+    def result_of(source: DataFrame, cleaned: DataFrame) -> CleanResult:
+        table, solid, fenced = planned(source)
+        return CleanResult(
+            cleaned=cleaned,
+            keys=keys,
+            nonconforming=nonconforming,
+            fences=fence_table(df, fences),
+            timings=timing_table(df.sparkSession, clock.timings),
+            dropped_columns=dropped,
+            skipped_outlier_columns=skipped,
+            metrics={"rows": counts.rows, "rows_after_sparse_rows": left.rows},
+            ordered=order is not None,
+            plan_typos=lambda: typo_operators.typo_values(
+                solid, None, config.typo_threshold, config.typo_top_n
+            ),
+            plan_step_counts=lambda: _step_counts(
+                table, len(raw_names), rows_test, na_test, fence_test, fenced, keys
+            ),
+            plan_over=over,
+            plan_observed=lambda _: observed(source),
+        )
+
+    return result_of(df, cleaned)
 
 
 def _nonconforming(df: DataFrame, raw_names: Sequence[str], counts: CellCounts) -> DataFrame:
@@ -253,15 +296,13 @@ def _count_rows(condition: Column | None) -> Column:
     return F.count(F.lit(1)) if condition is None else F.count_if(condition)
 
 
-def _step_counts(table, raw_columns, rows_test, na_test, fence_test, fenced, keys) -> DataFrame:
-    """``(step_no, step, rows, columns, cells)``.
+Steps = list[tuple[str, Column | None, int]]
 
-    All tests are row-wise, so one aggregate counts the rows after each of
-    them; only the last step needs the distinct keys.
-    """
+
+def _step_tests(raw_columns: int, columns: int, rows_test, na_test, fence_test) -> Steps:
+    """Name, row test and number of columns of every step before the deduplication."""
     solid_test = _both(rows_test, na_test)
-    columns = len(table.columns)
-    steps = [
+    return [
         ("initial", None, raw_columns),
         ("drop sparse columns", None, columns),
         ("drop sparse rows", rows_test, columns),
@@ -269,7 +310,30 @@ def _step_counts(table, raw_columns, rows_test, na_test, fence_test, fenced, key
         ("clean columns", solid_test, columns),
         ("drop outliers", _both(solid_test, fence_test), columns),
     ]
-    counted = table.agg(*[_count_rows(test).alias(f"s{i}") for i, (_, test, _) in enumerate(steps)])
+
+
+def _step_counters(steps: Steps) -> list[Column]:
+    return [_count_rows(test).alias(f"s{i}") for i, (_, test, _) in enumerate(steps)]
+
+
+def _observed_steps(df: DataFrame, steps: Steps, before: dict, after: int) -> DataFrame:
+    rows = [(i, name, before[f"s{i}"], width, before[f"s{i}"] * width) for i, (name, _, width) in enumerate(steps)]
+    width = steps[-1][2]
+    rows.append((len(steps), "drop duplicates", after, width, after * width))
+    return df.sparkSession.createDataFrame(
+        rows, "step_no bigint, step string, rows bigint, columns bigint, cells bigint"
+    )
+
+
+def _step_counts(table, raw_columns, rows_test, na_test, fence_test, fenced, keys) -> DataFrame:
+    """``(step_no, step, rows, columns, cells)``.
+
+    All tests are row-wise, so one aggregate counts the rows after each of
+    them; only the last step needs the distinct keys.
+    """
+    columns = len(table.columns)
+    steps = _step_tests(raw_columns, columns, rows_test, na_test, fence_test)
+    counted = table.agg(*_step_counters(steps))
     entries = [
         F.struct(
             F.lit(i).cast("bigint").alias("step_no"),
@@ -298,6 +362,13 @@ def _nothing_left(df, keys, nonconforming, clock, dropped, counts) -> CleanResul
     """Every column is too sparse: the input comes back, noted in the metrics."""
     spark = df.sparkSession
     rows, columns = counts.rows, len(df.columns)
+
+    def initial() -> DataFrame:
+        return spark.createDataFrame(
+            [(0, "initial", rows, columns, rows * columns)],
+            "step_no bigint, step string, rows bigint, columns bigint, cells bigint",
+        )
+
     return CleanResult(
         cleaned=df,
         keys=keys,
@@ -308,9 +379,8 @@ def _nothing_left(df, keys, nonconforming, clock, dropped, counts) -> CleanResul
         skipped_outlier_columns=[],
         metrics={"rows": rows, "all_columns_sparse": dropped},
         ordered=True,
+        plan_over=lambda source: _nothing_left(source, keys, nonconforming, clock, dropped, counts),
+        plan_observed=lambda cleaned: (cleaned, initial),
         plan_typos=lambda: typo_operators.typo_values(df, []),
-        plan_step_counts=lambda: spark.createDataFrame(
-            [(0, "initial", rows, columns, rows * columns)],
-            "step_no bigint, step string, rows bigint, columns bigint, cells bigint",
-        ),
+        plan_step_counts=initial,
     )

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from tableprep.operators.profile import timing_table
 from tableprep.plans.cleaning import CleanConfig, CleanResult, StepClock, clean
 from tableprep.plans.report import report
-from tableprep.sources.tables import read_table, stage_table, write_table
+from tableprep.sources.tables import read_table, stage_table, staging, write_table
 
 COLUMNAR = ("parquet", "orc")
 
@@ -35,26 +35,34 @@ def run(
     Text input is parsed once and staged as parquet, because cleaning reads
     its table several times. For the same reason the report reads the cleaned
     table as written: staged as parquet, from which a text output is made.
+    What was staged is deleted when the job ends or fails; the result reads
+    the output, and the input again for its typos. Its step counts come from
+    the write.
     """
     clock = StepClock()
-    with clock.step("read"):
-        original = read_table(spark, in_path, in_format, schema, **read_options)
-        if in_format not in COLUMNAR:
-            original = stage_table(original)
-    result = clean(original, keys, config, order_by)
-    with clock.step("write"):
-        columnar = out_format in COLUMNAR
-        if columnar or not with_report:
-            write_table(result.cleaned, f"{out_path}/cleaned", out_format, mode)
-            if with_report:
-                result.cleaned = spark.read.format(out_format).load(f"{out_path}/cleaned")
-        else:
-            result.cleaned = stage_table(result.cleaned)
-            write_table(result.cleaned, f"{out_path}/cleaned", out_format, mode)
-    steps = [(r["step"], r["kind"], r["seconds"]) for r in result.timings.collect()]
-    result.timings = timing_table(spark, [clock.timings[0], *steps, *clock.timings[1:]])
-    if with_report:
-        artefacts = report(original, result, quantile_method=config.quantile_method)
-        for name, artefact in artefacts.items():
-            write_table(artefact, f"{out_path}/report/{name}", out_format, mode)
+    with staging(spark):
+        with clock.step("read"):
+            source = original = read_table(spark, in_path, in_format, schema, **read_options)
+            if in_format not in COLUMNAR:
+                original = stage_table(original)
+        result = clean(original, keys, config, order_by)
+        with clock.step("write"):
+            cleaned, step_counts = result.observed()
+            columnar = out_format in COLUMNAR
+            if columnar or not with_report:
+                write_table(cleaned, f"{out_path}/cleaned", out_format, mode)
+            else:
+                cleaned = stage_table(cleaned)
+                write_table(cleaned, f"{out_path}/cleaned", out_format, mode)
+            counted = step_counts()
+            written = read_table(spark, f"{out_path}/cleaned", out_format, cleaned.schema, multi_line=out_format == "csv")
+        steps = [(r["step"], r["kind"], r["seconds"]) for r in result.timings.collect()]
+        result.timings = timing_table(spark, [clock.timings[0], *steps, *clock.timings[1:]])
+        if with_report:
+            read_back = written if columnar else cleaned
+            artefacts = report(original, result, read_back, quantile_method=config.quantile_method)
+            for name, artefact in artefacts.items():
+                write_table(artefact, f"{out_path}/report/{name}", out_format, mode)
+    timings, result = result.timings, result.over(source)
+    result.timings, result.cleaned, result.plan_step_counts = timings, written, lambda: counted
     return result

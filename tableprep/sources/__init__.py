@@ -1,5 +1,5 @@
 """Reading and writing tables."""
 
-from tableprep.sources.tables import read_table, stage_table, write_table
+from tableprep.sources.tables import read_table, stage_table, staging, write_table
 
-__all__ = ["read_table", "stage_table", "write_table"]
+__all__ = ["read_table", "stage_table", "staging", "write_table"]

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +22,9 @@ from tableprep.operators.schema import infer_types
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+# Paths staged in the innermost open scope; None where no scope is open.
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
 
 def read_table(
     spark: SparkSession,
@@ -97,14 +102,44 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/tableprep-{uuid.uuid4().hex}"
+    """A new path in the shared folder, noted in the open scope."""
+    path = f"{shared_folder(spark)}/tableprep-{uuid.uuid4().hex}"
+    noted = _STAGED.get()
+    if noted is not None:
+        noted.append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder or file by Spark's file systems; none there is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[list[str]]:
+    """A scope for staged tables: what was staged within is deleted at its end, also after a failure.
+
+    Results that read staged tables have to be used or written before. The
+    paths staged so far are given. Scopes nest; an inner one deletes its own.
+    Without a scope staged tables stay, as results may still read them.
+    """
+    noted: list[str] = []
+    token = _STAGED.set(noted)
+    try:
+        yield noted
+    finally:
+        _STAGED.reset(token)
+        for path in noted:
+            delete_path(spark, path)
 
 
 def stage_table(df: DataFrame) -> DataFrame:
     """Write a table as parquet in the shared folder and read it back.
 
     Later passes then read only the columns they need and do not depend on
-    the work before, nor on any executor that did it.
+    the work before, nor on any executor that did it. See ``staging`` for how
+    long the written table stays.
     """
     path = stage_path(df.sparkSession)
     # Staged columns get plain names: a raw header may hold any character.

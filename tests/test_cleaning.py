@@ -149,10 +149,10 @@ def test_hot_keys_and_values_survive_whole(spark):
     df = spark.range(0, 30_000, 1, 6).selectExpr(
         "if(id % 3 = 0, 0, id) k", "id v", "if(id % 3 = 1, 5.0, cast(id % 1000 as double)) x"
     )
-    narrowed = clean(df, "k", CleanConfig(gather_limit=50), order_by=["v"]).cleaned
+    narrowed = clean(df, "k", CleanConfig(quantile_room=50), order_by=["v"]).cleaned
     gathered = clean(df, "k", order_by=["v"]).cleaned
     assert narrowed.exceptAll(gathered).count() == gathered.exceptAll(narrowed).count() == 0
-    assert quantiles.quantiles(df, ["x"], (0.5,), gather_limit=50)["x"] == [
+    assert quantiles.quantiles(df, ["x"], (0.5,), room=50)["x"] == [
         df.selectExpr("percentile(x, 0.5)").first()[0]
     ]
 

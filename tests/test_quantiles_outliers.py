@@ -27,8 +27,8 @@ def test_exact_and_approximate_quartiles(spark):
 
 def test_nan_does_not_reach_the_quartiles(spark):
     df = doubles(spark, [1.0, 2.0, NAN])
-    for limit in (quantiles.GATHER_LIMIT, 0):
-        assert rows(outliers.quartiles(df, gather_limit=limit)) == [("x0", 1.25, 1.75)]
+    for limit in (None, 0):
+        assert rows(outliers.quartiles(df, room=limit)) == [("x0", 1.25, 1.75)]
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -45,7 +45,7 @@ def test_nan_does_not_reach_the_quartiles(spark):
 def test_narrowing_equals_the_quantiles_of_the_sorted_values(spark, values, limit):
     df = doubles(spark, values)
     probabilities = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
-    found = quantiles.quantiles(df, ["x0"], probabilities, gather_limit=limit)["x0"]
+    found = quantiles.quantiles(df, ["x0"], probabilities, room=limit)["x0"]
     present = [v for v in values if v is not None and not math.isnan(v)]
     if present:
         assert found == pytest.approx(np.quantile(present, probabilities).tolist(), abs=1e-6)
@@ -53,16 +53,15 @@ def test_narrowing_equals_the_quantiles_of_the_sorted_values(spark, values, limi
         assert found is None
 
 
-@pytest.mark.parametrize("sample", [(5, 10), (200, 500)])
-def test_narrowing_from_a_poor_sample(spark, monkeypatch, sample):
-    """Skew, ties and rare values: the sample steers badly, the counts correct it."""
-    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", sample)
+@pytest.mark.parametrize("room", [2, 20, 300])
+def test_narrowing_with_little_room(spark, room):
+    """Skew, ties and rare values: the summary says little, the counts correct it."""
     rng = random.Random(3)
     hot = [7.0 if rng.random() < 0.4 else rng.lognormvariate(0, 3) for _ in range(5000)]
     rare = [rng.random() if i % 500 == 0 else None for i in range(5000)]
     far = [rng.choice([-1e300, 0.0, 1e300, math.inf]) for _ in range(5000)]
     df = doubles(spark, hot, rare, far).repartition(8).cache()
-    found = quantiles.quantiles(df, ["x0", "x1", "x2"], (0.25, 0.75), gather_limit=20)
+    found = quantiles.quantiles(df, ["x0", "x1", "x2"], (0.25, 0.75), room=room)
     assert found["x0"] == pytest.approx(np.quantile(hot, (0.25, 0.75)).tolist())
     assert found["x1"] == pytest.approx(
         np.quantile([v for v in rare if v is not None], (0.25, 0.75)).tolist()
@@ -75,7 +74,7 @@ def test_narrowing_from_a_poor_sample(spark, monkeypatch, sample):
 def test_narrowing_takes_few_passes(spark, jobs):
     df = spark.range(0, 300_000, 1, 8).selectExpr("rand(1) x", "cast(id % 3 as double) y")
     with jobs() as counted:
-        quantiles.quantiles(df, ["x", "y"], (0.25, 0.75), rows=300_000, gather_limit=10_000)
+        quantiles.quantiles(df, ["x", "y"], (0.25, 0.75), room=10_000)
     assert counted.count <= 8  # three passes, two stages each under adaptive execution
 
 
@@ -179,6 +178,27 @@ def test_fences_of_whole_numbers_include_their_edges(spark):
 
 
 def test_equal_neighbours_are_returned_as_they_are():
-    from tableprep.operators.quantiles import _interpolated
+    from tableprep.operators.statistics import _interpolated
 
     assert _interpolated({("x", 3): 0.1, ("x", 4): 0.1}, "x", 3.3) == 0.1
+
+
+def test_sketched_ranks_keep_their_error(spark):
+    """Sorted, skewed and hot columns in many tasks, far more rows than the sketch holds."""
+    n = 200_000
+    df = spark.range(0, n, 1, 40).selectExpr("double(id) a", "exp(10 * rand(3)) b", "if(rand(4) < 0.4, 7D, rand(5)) c", "cast(null as double) d")
+    found = quantiles.quantiles(df, df.columns, (0.0, 0.25, 0.5, 0.75, 1.0), "approx", accuracy=200)
+    assert quantiles.sketch_size(200) < 1200 and found["d"] is None
+    for name in "abc":
+        for share, x in zip((0.0, 0.25, 0.5, 0.75, 1.0), found[name]):
+            below, upto = df.selectExpr(f"count_if({name} < {x!r})", f"count_if({name} <= {x!r})").first()
+            assert below / n - 0.015 <= share <= upto / n + 0.015, (name, share)
+
+
+def test_sketches_of_many_columns_and_sizes(spark, monkeypatch):
+    assert [quantiles.sketch_size(a) for a in (1, 10**9)] == [8, 65_535]
+    monkeypatch.setattr(quantiles, "SKETCH_BYTES", 16 * 65_535 * 2)
+    df = spark.range(101).selectExpr(*[f"id * {i} c{i}" for i in range(1, 6)])
+    assert quantiles.quantiles(df, df.columns, (0.5,), "approx") == {f"c{i}": [50.0 * i] for i in range(1, 6)}
+    with pytest.raises(ValueError):
+        quantiles.quantiles(df, ["c1"], (0.5,), "nearest")

@@ -1,10 +1,12 @@
+from pathlib import Path
+
 import pytest
-from helpers import rows
+from helpers import plan, rows
 
 from tableprep import run
 from tableprep.operators.completeness import MISSING_TOKENS
 from tableprep.sources import read_table, stage_table, write_table
-from tableprep.sources.tables import shared_folder
+from tableprep.sources.tables import shared_folder, staging
 
 TEXTS = [' a "quoted", text ', "two\nlines", "", None, "back\\slash", "plain"]
 
@@ -79,3 +81,58 @@ def test_the_job_without_a_report(spark, tmp_path):
     run(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), "k", with_report=False)
     assert read_table(spark, str(tmp_path / "out" / "cleaned")).count() == 2
     assert not (tmp_path / "out" / "report").exists()
+
+
+def staged_now(spark):
+    folder = Path(shared_folder(spark))
+    return {p.name for p in folder.iterdir() if p.name.startswith("tableprep-")} if folder.exists() else set()
+
+
+@pytest.mark.parametrize("out_format", ["csv", "parquet"])
+def test_a_job_leaves_nothing_staged(spark, tmp_path, out_format, jobs):
+    (tmp_path / "in.csv").write_text("k,v,city\n" + "".join(f"{i % 50},{i % 7}.5,Rome{i % 2}\n" for i in range(200)) + "9,,\n")
+    before = staged_now(spark)
+    result = run(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), "k", out_format=out_format, order_by=["v"])
+    assert staged_now(spark) == before
+    assert result.cleaned.count() == 50
+    with jobs() as counted:
+        table = result.step_counts
+    assert counted.count == 0 and "FileScan" not in plan(table)
+    steps = {r["step"]: r["rows"] for r in table.collect()}
+    assert steps["initial"] == 201 and steps["drop sparse rows"] == 200 and steps["drop duplicates"] == 50
+    assert rows(result.removed) == [(151, 0)]
+    assert {r["value"] for r in result.typos.collect()} == {"Rome0", "Rome1"}  # from the input again
+
+
+def test_a_failing_job_leaves_nothing_staged(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "out" / "cleaned").mkdir(parents=True)
+    before = staged_now(spark)
+    with pytest.raises(Exception, match="already exists"):
+        run(spark, str(tmp_path / "in.csv"), str(tmp_path / "out"), "k")
+    with pytest.raises(ValueError):
+        run(spark, str(tmp_path / "in.csv"), str(tmp_path / "out2"), "missing")
+    assert staged_now(spark) == before
+
+
+def test_scopes_nest_and_delete_their_own(spark):
+    before = staged_now(spark)
+    with staging(spark) as outer:
+        kept = stage_table(spark.range(3))
+        with staging(spark) as inner:
+            stage_table(spark.range(4))
+        assert len(outer) == len(inner) == 1
+        assert rows(kept) == [(0,), (1,), (2,)]
+    assert staged_now(spark) == before
+
+
+def test_observed_counts_equal_counted_ones(spark):
+    from tableprep import clean
+
+    df = spark.range(500).selectExpr("id % 90 k", "if(id % 7 = 0, null, id) a", "if(id % 7 = 0 or id % 5 = 0, null, sin(id)) b", "if(id % 35 = 0, null, 'x') s")
+    result = clean(df, "k", order_by=["a"])
+    cleaned, counts = result.observed()
+    cleaned.collect()
+    assert rows(counts()) == rows(result.step_counts)
+    again = result.over(df)
+    assert rows(again.cleaned) == rows(cleaned) and rows(again.step_counts) == rows(result.step_counts)
