@@ -377,6 +377,28 @@ def typo_values_joined(spark, sf_dir):
     return _joined_typos(typos.typo_values(customer, ["c_name"], array_bytes=0))
 
 
+@query(_typo_values_sql("customer", "c_name"))
+def typo_values_segments(spark, sf_dir):
+    """By the index of long values, here for all of them."""
+    customer = _table(spark, sf_dir, "customer")
+    return _joined_typos(typos.typo_values(customer, ["c_name"], most_deletions=0))
+
+
+@query(
+    f"""SELECT v.value, v.n, count(*) AS close, max(t.value) AS last
+      FROM (SELECT c_name AS value, count(*) AS n FROM customer GROUP BY 1) v
+      JOIN ({_top_sql("customer", "c_name", 100_000)}) t
+        ON v.value <> t.value AND levenshtein(v.value, t.value) <= 1
+      GROUP BY v.value, v.n"""
+)
+def typo_values_of_all(spark, sf_dir):
+    """Every name against every name, by the index."""
+    found = typos.typo_values(_table(spark, sf_dir, "customer"), ["c_name"], threshold=1, top_n=100_000)
+    return found.select(
+        "value", "n", F.size("possible_typos").cast("bigint").alias("close"), F.array_max("possible_typos").alias("last")
+    )
+
+
 @query(
     f"""SELECT f."column", f.value, f.possible_typos FROM ({_typo_values_sql("part", "p_name")}) f
         JOIN part ON p_name = f.value"""

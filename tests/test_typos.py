@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from helpers import plan, rows
@@ -56,16 +59,16 @@ def test_only_top_values_are_suggested(spark):
     assert found == {"aaab": ["aaaa"], "aaac": ["aaaa"]}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     st.lists(st.text("abé", min_size=0, max_size=6), min_size=1, max_size=25),
     st.sampled_from([0, 1, 2]),
     st.sampled_from([1, 3, 100]),
-    st.sampled_from([0, 64, 1200, 1 << 20]),
+    st.sampled_from([{"array_bytes": x} for x in (0, 64, 1200, 1 << 20)] + [{"most_deletions": x} for x in (0, 12, 600)]),
 )
-def test_every_byte_bound_gives_the_brute_force_result(spark, values, threshold, top_n, bound):
+def test_every_bound_gives_the_brute_force_result(spark, values, threshold, top_n, bounds):
     df = spark.createDataFrame([(v,) for v in values], "s string")
-    found = typos.typo_values(df, None, threshold, top_n, array_bytes=bound)
+    found = typos.typo_values(df, None, threshold, top_n, **bounds)
     assert {v: (close, n) for _, v, close, n in found.collect()} == brute_force(
         values, threshold, top_n
     )
@@ -102,3 +105,27 @@ def test_one_scan_and_no_join_by_force(spark, tmp_path):
     # Both branches and the top values share one scan and one count.
     assert sum(part.count("FileScan") for part in executed[:1]) <= 1
     assert "hint" not in flagged._jdf.queryExecution().logical().toString().lower()
+
+
+@pytest.mark.parametrize("bound", [typos.MOST_DELETIONS, 60])
+def test_long_and_short_values_against_many_top_values(spark, bound):
+    """Edited texts around the length at which the index changes, all of them top values."""
+    random_ = random.Random(4)
+    values = []
+    for length in (3, 8, 9, 10, 11, 12, 33, 34, 35, 36, 37, 90):
+        for _ in range(2):
+            text = "".join(random_.choice("abc de") for _ in range(length))
+            values.append(text)
+            for edits in (1, 2, 2, 3):
+                edited = text
+                for _ in range(edits):
+                    at = random_.randrange(len(edited) + 1)
+                    edited = edited[:at] + random_.choice(["", "x", "yz"]) + edited[at + random_.choice([0, 1]) :]
+                values.append(edited)
+    df = spark.createDataFrame([(v,) for v in values], "s string")
+    found = typos.typo_values(df, top_n=100_000, most_deletions=bound)
+    counts = Counter(values)
+    ranked = sorted(counts, key=lambda v: (-counts[v], v))
+    near = {v: [t for t in ranked if t != v and abs(len(t) - len(v)) < 3 and distance(v, t) <= 2] for v in ranked}
+    assert {v: (close, n) for _, v, close, n in found.collect()} == {v: (c, counts[v]) for v, c in near.items() if c}
+    assert typos._short_length(2, 600) == 34 and typos._short_length(1, 600) == 599 and typos._short_length(2, 0) == 0
