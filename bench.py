@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from tableprep import catalog
 from tableprep.functions import is_missing, normalize_text
-from tableprep.operators import correlation, distributions, outliers, profile, typos
+from tableprep.operators import correlation, dedup, distributions, outliers, profile, typos
 from tableprep.operators.schema import numeric_columns
 from tableprep.plans.cleaning import clean
+from tableprep.plans.report import report
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -53,14 +54,39 @@ def headline(spark: SparkSession):
         "outliers_sequential_events": lambda: outliers.drop_outliers(events, mode="sequential"),
         "dedup_any": lambda: catalog.dedup_any(spark, FOLDER),
         "dedup_first": lambda: catalog.dedup_first(spark, FOLDER),
+        "dedup_unique": lambda: catalog.dedup_unique(spark, FOLDER),
+        "dedup_few_copies": lambda: catalog.dedup_few_copies(spark, FOLDER),
+        "dedup_shuffled": lambda: dedup.dedup_by_key(
+            table(spark, "orders"), ["o_orderkey"], spare_unique=False
+        ),
+        "top_values_documents": lambda: typos.top_values(documents, ["text", "source"], 50),
+        "typos_of_all_names": lambda: catalog.typo_values_of_all(spark, FOLDER),
+        "report_events": lambda: whole_report(spark),
         "correlation": lambda: correlation.correlation(lineitem),
         "histogram": lambda: distributions.histogram(lineitem),
         "boxplot": lambda: distributions.boxplot_stats(lineitem),
+        "correlation_40_columns": lambda: correlation.correlation(wide(lineitem)),
         "kde": lambda: distributions.kde(events, ["value"]),
+        "kde_lineitem": lambda: distributions.kde(lineitem),
         "csv_roundtrip": lambda: catalog.csv_roundtrip(spark, FOLDER),
     }
 
 
+def wide(lineitem: DataFrame) -> DataFrame:
+    """Forty columns, some with holes."""
+    price, line = F.col("l_extendedprice"), F.col("l_linenumber")
+    return lineitem.select(*[F.when(line % (i % 7 + 2) != 0, F.sin(price * (i + 1))).alias(f"x{i}") for i in range(40)])
+
+
+def whole_report(spark: SparkSession) -> DataFrame:
+    """All artefacts of a cleaning run; the last one is given back."""
+    raw = table(spark, "events")
+    *others, last = report(raw, clean(raw, "event_id", order_by=["event_id"])).values()
+    for artefact in others:
+        consume(artefact)
+    return last
+
+
 def per_column(spark: SparkSession):
     """One job per column and no shared passes."""
     lineitem = table(spark, "lineitem")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from tableprep.functions.names import any_headers, quoted
+from tableprep.operators.statistics import reckoned_bytes
 from tableprep.sources.tables import stage_table
 
 _RANK = "__rank_in_key"
@@ -48,10 +49,9 @@ def dedup_by_key(
     if not spare_unique or not keys or not _mostly_unique(df, keys):
         return _shuffled(df, keys, order_by)
     repeated = repeated_keys(df, keys)
-    size, count = _size(repeated)
-    if not count:
+    if not repeated.count():
         return df
-    if size > _threshold(df):
+    if reckoned_bytes(repeated) > _threshold(df):
         return _shuffled(df, keys, order_by)
     same = reduce(and_, (quoted(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
     once = df.join(repeated, same, "left_anti")
@@ -86,12 +86,6 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return stage_table(counted.where("_n > 1").select(*names))
 
 
-def _size(table: DataFrame) -> tuple[int, int]:
-    """Bytes of a written table as the planner reckons them, and its rows."""
-    reckoned = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(reckoned)), table.count()
-
-
 def _threshold(df: DataFrame) -> int:
     """The session's bound on what is broadcast; below zero nothing is."""
     value = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()

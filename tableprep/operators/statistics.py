@@ -33,6 +33,8 @@ from tableprep.operators.summaries import PairMoments, RankSummary, locate
 ROOM_OF_ALL, LEAST_ROOM, MOST_ROOM = 1 << 17, 256, 8192
 # Tasks whose summaries are merged first, by their number modulo this.
 FIRST_LEVEL = 32
+# A table that Spark reckons smaller has few tasks, whose summaries are merged at once.
+SMALL_BYTES = 1 << 33
 
 _PARTIAL = (
     "i int, k int, salt int, low double, high double, infinite boolean, moments binary, "
@@ -224,8 +226,9 @@ class _Search:
             yield from _Store(room).taken(batches).answers(probabilities, intervals)
 
         partial = values.mapInArrow(measure, _PARTIAL)
-        merged = partial.repartition("i", "k", "salt").mapInArrow(merge, _PARTIAL)
-        return merged.repartition("i", "k").mapInArrow(finish, _ANSWER).collect()
+        if reckoned_bytes(values) > SMALL_BYTES:
+            partial = partial.repartition("i", "k", "salt").mapInArrow(merge, _PARTIAL)
+        return partial.repartition("i", "k").mapInArrow(finish, _ANSWER).collect()
 
 
 class _Store:
@@ -339,6 +342,11 @@ def _interpolated(found: dict[tuple[int, int], float], i: int, position: float)
     return a if low == high or a == b else (high - position) * a + (position - low) * b
 
 
+def reckoned_bytes(df: DataFrame) -> int:
+    """The planner's own estimate; very large where it knows nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def select_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], room: int | None = None
 ) -> dict[str, list[float] | None]:

@@ -174,3 +174,18 @@ def test_requests_of_two_artefacts_share_answers(spark, jobs):
     assert answers.spread["a"].deviation == pytest.approx(np.std(np.arange(100), ddof=1))
     assert answers.correlations["a", "b"] == pytest.approx(1) and answers.correlations["a", "c"] is None
     assert answers.spread["c"].infinite and answers.spread["c"].n == 6
+
+
+def test_summaries_of_many_tasks_are_merged_in_two_levels(spark, monkeypatch):
+    from tableprep.operators import statistics
+
+    monkeypatch.setattr(statistics, "SMALL_BYTES", 0)
+    df = spark.range(0, 20_000, 1, 50).selectExpr("id * 1.5D a", "if(id % 3 = 0, null, sin(id)) b")
+    asked = Requests(df, room=100)
+    asked.quantiles(["a", "b"], (0.25, 0.5))
+    asked.pairs(["a", "b"])
+    found = asked.answer()
+    assert found.quantiles("a", (0.25, 0.5)) == df.selectExpr("percentile(a, array(0.25, 0.5))").first()[0]
+    assert found.quantiles("b", (0.25, 0.5)) == pytest.approx(df.selectExpr("percentile(b, array(0.25, 0.5))").first()[0])
+    assert found.correlations["a", "b"] == pytest.approx(df.selectExpr("corr(a, b)").first()[0])
+    assert found.spread["b"].n == 13_333
