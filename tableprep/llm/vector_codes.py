@@ -81,15 +81,16 @@ class PartBook:
 
     def _open(self, cells: np.ndarray) -> list[np.ndarray]:
         """For each cell the places of the plain entries that no other entry dominates in its box."""
-        low = cells << self.shift
-        high = low + (1 << self.shift) - 1
         least = np.zeros((len(cells), len(self.plain)), np.int64)
         most = np.zeros_like(least)
         for j in range(cells.shape[1]):
-            entry = self.plain[:, j]
-            below, above = low[:, j, None] - entry, entry - high[:, j, None]
-            least += np.maximum(np.maximum(below, above), 0) ** 2
-            most += np.maximum(np.abs(below), np.abs(above)) ** 2
+            # Cells share few coordinates, so distances are taken once for each.
+            coordinates, which = np.unique(cells[:, j], return_inverse=True)
+            low = (coordinates << self.shift)[:, None]
+            high = low + (1 << self.shift) - 1
+            below, above = low - self.plain[:, j], self.plain[:, j] - high
+            least += (np.maximum(np.maximum(below, above), 0) ** 2)[which]
+            most += (np.maximum(np.abs(below), np.abs(above)) ** 2)[which]
         kept = least <= most.min(axis=1, keepdims=True)
         return [np.flatnonzero(row) for row in kept]
 
