@@ -1076,6 +1076,19 @@ def report_column_schemas(spark, sf_dir):
     return types.select(F.regexp_replace("type", "_ntz", "").alias("type"), "columns").join(rows)
 
 
+@query(
+    """SELECT step, kind, measured FROM (VALUES
+         ('normalize headers', 'main'), ('count cells', 'main'), ('drop sparse columns', 'main'),
+         ('drop sparse rows', 'main'), ('drop rows with missing values', 'main'), ('clean column event_type', 'column'),
+         ('clean column propsjson', 'column'), ('drop outliers', 'main'), ('drop duplicates', 'main')) t(step, kind),
+       (SELECT count(*) > 0 AS measured FROM events)"""
+)
+def report_process_times(spark, sf_dir):
+    """Every step has its time."""
+    times = _artefact(spark, sf_dir, "process_times")
+    return times.select("step", "kind", ((F.col("seconds") >= 0) & (F.col("minutes") >= 0)).alias("measured"))
+
+
 # -- sources and sinks --------------------------------------------------------
 
 

@@ -157,3 +157,18 @@ def test_whiskers_end_at_the_box_when_nothing_lies_between(spark):
     df = spark.createDataFrame([(v,) for v in [0.0, 10.0, 10.0, 10.0, 10.0, 20.0]], "x double")
     (row,) = distributions.boxplot_stats(df).collect()
     assert (row["whisker_low"], row["whisker_high"], row["outliers"]) == (10.0, 10.0, 2)
+
+
+@pytest.mark.parametrize("bandwidth", ["scott", 0.003])
+def test_densities_of_many_values_equal_the_direct_sum(spark, bandwidth):
+    """Clusters, a far tail, ties and many values, at points with and without values near."""
+    draw = np.random.default_rng(6)
+    values = np.concatenate([draw.normal(size=3000), np.full(500, 0.25), 50 + draw.normal(size=20) * 1e-3, [-400.0, 1e3]])
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(4)
+    h = values.std(ddof=1) * len(values) ** -0.2 if bandwidth == "scott" else bandwidth
+    found = sorted((x, d) for _, x, d in distributions.kde(df, points=300, bandwidth=bandwidth).collect())
+    grid = np.array([x for x, _ in found])
+    assert grid == pytest.approx(np.linspace(-400, 1e3, 300))
+    height = 1 / (h * math.sqrt(2 * math.pi))
+    expected = np.exp(-0.5 * ((grid[:, None] - values) / h) ** 2).mean(axis=1) * height
+    assert np.abs(np.array([d for _, d in found]) - expected).max() <= 1e-9 * height
