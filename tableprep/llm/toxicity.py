@@ -1,23 +1,28 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text.
-The ordinary one consists of the word beginnings that most ordinary documents
-have. Toxic text is mostly ordinary words, so the toxic one has those too, and
-besides every word and beginning that toxic documents have more often than
-chance explains, whatever its length, script or signs. A short window is
-compressed with either; without toxic words the lengths are equal, else the
-toxic dictionary saves bytes. How often it saves how much in a document is
-calibrated to a probability on labelled documents that no dictionary has seen,
-so that the threshold is 0.5. How much chance has to explain is chosen from
-``BARS`` by the likelihood of those documents.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary
+passages, by zstandard's own trainer. Of each class's passages those words are
+blotted out that the other class has about as often; what is left is what a
+class says and the other does not, besides words that occur by chance in one of
+them. Behind what was trained on them both dictionaries have the same ordinary
+passages, so that common words cost the same bytes with either.
+
+A window is compressed with either dictionary. How often the toxic one saves how
+many bytes in a document is calibrated to a probability on labelled documents
+that no dictionary has seen, so that the threshold is 0.5. How much is trained
+on either class's passages is chosen from ``SIZES`` by the likelihood of those
+documents.
 
 The dictionaries and the calibration come from a sample of labelled documents
-that is bounded by ``sample`` per class. Every document is scored whole.
+that is bounded by ``sample`` per class, and by ``passages`` per class for the
+dictionaries. Every document is scored whole.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,20 +32,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.llm.common import arrow_schema, documents, map_rows
+from tableprep.llm.common import arrow_schema, documents, map_rows, stage_table
 
 #: Bytes saved in a window from which windows are counted.
 SAVED = tuple(range(1, 11))
-FEATURES = 4 + 2 * len(SAVED)
-SHORTEST, LONGEST = 3, 10
-#: Likelihood ratio statistics from which a start is taken for toxic.
-BARS = (4.0, 12.0)
-#: Bytes of toxic starts, the size that zstandard gives a dictionary.
-DICTIONARY = 112_640
-#: Bytes of ordinary starts.
-COMMON = 8 << 10
+FEATURES = 6 + 2 * len(SAVED)
+#: Bytes trained on either class's own passages, and on ordinary ones for both dictionaries.
+SIZES, COMMON = (4 << 10, 8 << 10), 64 << 10
+#: Bytes of the segments that are taken into a dictionary: of own words, of ordinary passages; bytes of what is counted.
+SEGMENT, PASSAGE, COUNTED = 12, 64, 6
+#: A word is blotted out if the other class has it at more than this part of the rate.
+SHARED = 0.25
 #: Signs at the ends of a word that are not part of it.
-EDGES = r"[\p{Pi}\p{Pf}.,;:?!\"'()\[\]{}]+"
+EDGES = re.compile(r"^[^\w$@#&*]+|[^\w$@#&*]+$")
 WINDOW, LEVEL, LEAST_MATCH = 64, 6, 4
 
 
@@ -93,13 +97,15 @@ def _savings(model: ToxicityModel) -> _Savings:
 def windows(text: bytes) -> list[bytes]:
     """The whole text in lower case as pieces of ``WINDOW`` bytes or a little more, cut at blanks.
 
-    A blank stands at either end of a piece, as at the words of a dictionary.
+    A blank stands at either end of a piece, as at the words of a dictionary. Where
+    none is near, a piece ends after four times as many bytes.
     """
-    text = b" " + text.decode().lower().encode().replace(b"\n", b" ") + b" "
+    text = b" " + b" ".join(text.decode().lower().encode().split()) + b" "
     out, start, end = [], 0, len(text)
     while start < end - 1:
-        stop = text.find(b" ", start + WINDOW)
-        stop = end - 1 if stop < 0 else stop
+        stop = text.find(b" ", start + WINDOW, start + 4 * WINDOW)
+        if stop < 0:
+            stop = min(start + 4 * WINDOW, end - 1)
         out.append(text[start : stop + 1])
         start = stop
     return out
@@ -107,66 +113,68 @@ def windows(text: bytes) -> list[bytes]:
 
 def features(text: bytes, savings: _Savings) -> np.ndarray:
     """The savings of a whole text as numbers of fixed count."""
-    each = np.sort(np.array([savings.of(x) for x in windows(text)] or [0]))
+    each = np.sort(np.array([savings.of(x) for x in windows(text)] or [0], float))
+    root = math.sqrt(len(each))
     counts = len(each) - np.searchsorted(each, SAVED, side="left")
     return np.concatenate(
         (
-            [each[-1], each[-3:].mean(), math.log1p(np.maximum(each, 0).sum()), math.log(len(each))],
+            [each[-1], each[-3:].mean(), each.mean(), each.sum() / root, each.std(), math.log(len(each))],
             np.log1p(counts),
-            counts / math.sqrt(len(each)),
+            counts / root,
         )
     )
 
 
-def _fragments(labelled: DataFrame) -> DataFrame:
-    """Words and their beginnings with the numbers of toxic and ordinary documents that have them."""
-    words = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, f"^{EDGES}|{EDGES}$", ""))
-    starts = F.flatten(
-        F.transform(
-            F.filter(F.array_distinct(words), lambda w: w != ""),
-            lambda w: F.transform(
-                F.sequence(F.least(F.length(w), F.lit(SHORTEST)), F.least(F.length(w), F.lit(LONGEST))),
-                lambda n: F.substring(w, F.lit(1), n),
-            ),
-        )
-    )
-    return (
-        labelled.select("toxic", F.explode(F.array_distinct(starts)).alias("start"))
-        .groupBy("start")
-        .agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
-    )
+def _words(window: bytes) -> list[str]:
+    return [w for w in (EDGES.sub("", x) for x in window.decode(errors="replace").split()) if w]
 
 
-def _chosen(rows: list, most: int) -> list[str]:
-    """Starts by falling weight up to so many bytes, none being the start of another."""
-    out: list[str] = []
-    taken: set[str] = set()
-    beginnings: set[str] = set()
-    for row in rows:
-        own = [row.start[:n] for n in range(1, len(row.start) + 1)]
-        if row.start in beginnings or not taken.isdisjoint(own):
-            continue
-        most -= len(row.start.encode()) + 1
-        if most < 0:
-            break
-        out.append(row.start)
-        taken.add(row.start)
-        beginnings.update(own)
+def _passages(fitting: DataFrame, toxic: int, most: int) -> list[bytes]:
+    """Different windows of a class's texts, at most so many, by the hash of the window."""
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = sorted({w for t in batch.column("text").to_pylist() for w in windows(t.encode())})
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["passage"])
+
+    rows = map_rows(fitting.where(F.col("toxic") == toxic).select("text"), cut, "passage binary").distinct()
+    return rows.orderBy(F.xxhash64("passage"), "passage").limit(most).toArrow().column("passage").to_pylist()
+
+
+def _own(passages: list[bytes], other: list[bytes]) -> list[bytes]:
+    """The passages less the words that the other class's passages have at a like rate."""
+    mine, theirs = (Counter(w for p in each for w in set(_words(p))) for each in (passages, other))
+    bar = SHARED * len(other) / max(1, len(passages))
+    out = []
+    for passage in passages:
+        words = [w for w in _words(passage) if theirs[w] < bar * mine[w]]
+        if words:
+            out.append(f" {' '.join(words)} ".encode())
     return out
 
 
-def _content(starts: list[str]) -> bytes:
-    """What stands near the end of a dictionary costs fewest bytes to refer to."""
-    return b"".join(b" " + x.encode() for x in reversed(starts)) + b" "
+def _trained(passages: list[bytes], size: int, segment: int) -> bytes:
+    """What zstandard's trainer takes from the passages; all of them where they are too few to choose from."""
+    everything = b"".join(passages)
+    if len(everything) > 2 * size:
+        try:
+            return zstandard.train_dictionary(size, passages, k=segment, d=COUNTED).as_bytes()
+        except zstandard.ZstdError:  # too few or too short
+            pass
+    return everything[:size]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> ToxicityModel:
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = 4000, passages: int = 100_000, missed: float = 4.0
+) -> ToxicityModel:
     """Learn from labelled documents of the training folds.
 
     A row of ``labels`` counts if crc32 of its ``doc_id`` as text is not
     divisible by 5. At most ``sample`` documents of each class are taken, by
-    the hash of their id. Several labels of one id are toxic if one of them
-    is; a null label does not count. Equal texts count once.
+    the hash of their id, and at most ``passages`` different windows of each
+    for the dictionaries. Several labels of one id are toxic if one of them is;
+    a null label does not count. Equal texts count once. A toxic document that
+    is missed counts ``missed`` times as much as an ordinary one that is not;
+    the classes otherwise weigh as they stand in ``labels``.
     """
     rows = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -175,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> ToxicityMod
         .agg(F.max("toxic").alias("toxic"))
         .withColumn("dealt", F.xxhash64("doc_id"))
     )
+    known = {x.toxic: x["count"] for x in rows.groupBy("toxic").count().collect()}
     ids = [rows.where(F.col("toxic") == x).orderBy("dealt", "doc_id").limit(sample) for x in (0, 1)]
     labelled = (
         documents(docs)
@@ -183,38 +192,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> ToxicityMod
         .groupBy("text")
         .agg(F.max("toxic").alias("toxic"), F.min("fits").alias("fits"))
     )
+    labelled = stage_table(labelled)
     fitting = labelled.where("fits")
-    n = {x.toxic: x["count"] for x in fitting.groupBy("toxic").count().collect()}
-    n0, n1 = n.get(0, 0), n.get(1, 0)
-    if not n0 or not n1:
+    ordinary, toxic = (_passages(fitting, x, passages) for x in (0, 1))
+    if not ordinary or not toxic:
         return _prior(labelled)
-    each = F.col("n1") + F.col("n0")
-    ratio = lambda n, total: F.when(F.col(n) == 0, 0.0).otherwise(
-        F.col(n) * F.log(F.col(n) * (n0 + n1) / (each * total))
-    )
-    counts = _fragments(fitting).withColumns(
-        {
-            "weight": F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0)),
-            "g": 2 * (ratio("n1", n1) + ratio("n0", n0)),
-        }
-    )
-    toxic = (
-        counts.where((F.col("weight") >= 1) & (F.col("g") >= min(BARS)) & (F.col("n1") >= 2))
-        .orderBy(F.desc(F.col("weight") * F.col("n1")), F.desc(F.length("start")), "start")
-        .limit(DICTIONARY // 2)
-        .collect()
-    )
-    ordinary = (
-        counts.where((F.col("weight") < 1) & (F.length("start") > SHORTEST))
-        .orderBy(F.desc("n0"), F.desc(F.length("start")), "start")
-        .limit(2000)
-        .collect()
-    )
-    common = _content(_chosen(ordinary, COMMON))
-    models = [
-        ToxicityModel(_content(_chosen([x for x in toxic if x.g >= bar], DICTIONARY)) + common, common) for bar in BARS
-    ]
-    return _calibrated(labelled, models)
+    own = _own(ordinary, toxic), _own(toxic, ordinary)
+    common = _trained(ordinary, COMMON, PASSAGE)
+    pairs = [[_trained(x, size, SEGMENT) + common for x in own] for size in SIZES]
+    weight = missed * known[1] / known[0]
+    return _calibrated(labelled, [ToxicityModel(t, o) for o, t in pairs], weight)
 
 
 def _prior(labelled: DataFrame) -> ToxicityModel:
@@ -226,16 +213,19 @@ def _prior(labelled: DataFrame) -> ToxicityModel:
     return ToxicityModel(weights=weights)
 
 
-def _calibrated(labelled: DataFrame, models: list[ToxicityModel]) -> ToxicityModel:
+def _calibrated(labelled: DataFrame, models: list[ToxicityModel], weight: float) -> ToxicityModel:
     """The likeliest of the models, calibrated on rows that they were not fitted on; a prior without such rows of both classes."""
     rest = labelled.where("NOT fits")
-    found = [_regression(rest, x) for x in models]
+    found = [_regression(rest, x, weight) for x in models]
     best = min((x for x in found if x), key=lambda x: x[0], default=None)
     return best[1] if best else _prior(labelled)
 
 
-def _regression(labelled: DataFrame, model: ToxicityModel) -> tuple[float, ToxicityModel] | None:
-    """Loss and model of a logistic regression by Newton's method over the features of the sample."""
+def _regression(labelled: DataFrame, model: ToxicityModel, weight: float) -> tuple[float, ToxicityModel] | None:
+    """Loss and model of a logistic regression by Newton's method over the features of the sample.
+
+    All toxic rows together weigh ``weight`` times as much as all ordinary ones.
+    """
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         savings = _savings(model)
@@ -249,6 +239,8 @@ def _regression(labelled: DataFrame, model: ToxicityModel) -> tuple[float, Toxic
     if len({r.toxic for r in rows}) < 2:
         return None
     x, y = np.array([r.features for r in rows]), np.array([r.toxic for r in rows], float)
+    v = np.where(y > 0, weight * (1 - y).sum() / y.sum(), 1.0)
+    v *= len(y) / v.sum()
     mean, scale = x.mean(0), x.std(0) + 1e-9
     x = np.c_[(x - mean) / scale, np.ones(len(x))]
     ridge = np.full(x.shape[1], 0.3)
@@ -256,12 +248,12 @@ def _regression(labelled: DataFrame, model: ToxicityModel) -> tuple[float, Toxic
     w = np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (v * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (v * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
     z = np.clip(x @ w, -30, 30)
-    loss = float(np.logaddexp(0, np.where(y > 0, -z, z)).sum())
+    loss = float((v * np.logaddexp(0, np.where(y > 0, -z, z))).sum())
     return loss, ToxicityModel(model.toxic, model.ordinary, mean, scale, w)
 
 
@@ -274,7 +266,11 @@ def probabilities(texts: pa.Array, model: ToxicityModel) -> np.ndarray:
 
 
 def drop(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows of ``docs`` that are not predicted to be toxic, all columns kept."""
+    """The rows of ``docs`` that are not predicted to be toxic, all columns kept.
+
+    Null and empty texts are scored as in ``score``; rows without an id stay or go
+    by their text; an empty table gives an empty one.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +287,8 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` for every row.
 
     A null text is scored as the empty one. A null id keeps its row and is not
-    held out. Repeated rows are scored alike. Other columns are not read.
+    held out. Repeated rows are scored alike. Other columns are not read. A very
+    long text is scored whole, window by window. An empty table gives none.
     """
     out = arrow_schema(SCHEMA)
 

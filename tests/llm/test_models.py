@@ -147,3 +147,37 @@ def test_parts_are_balanced():
     x = np.random.default_rng(6).normal(size=(900, 8))
     part = ann.balanced_parts(x, ann.nearest(x, 10), 9)
     assert np.bincount(part, minlength=9).max() <= np.ceil(1.1 * 100)
+
+
+def test_two_dictionaries_are_trained_and_windows_are_measured_with_both(spark):
+    import zstandard
+
+    random_ = random.Random(9)
+    rows = [
+        (i, " ".join(random_.choice(WORDS) if random_.random() > 0.08 * (i % 4 == 0) else "grombulate" for _ in range(80)))
+        for i in range(900)
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(table, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int"))
+    assert b"grombulate" in model.toxic and b"grombulate" not in model.ordinary
+    assert model.ordinary not in model.toxic and model.toxic not in model.ordinary
+
+    def length(window, content):
+        parameters = zstandard.ZstdCompressionParameters.from_level(
+            toxicity.LEVEL, source_size=2 * toxicity.WINDOW, dict_size=len(content), min_match=toxicity.LEAST_MATCH,
+            write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+        )
+        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=words, compression_params=parameters).compress(window))
+
+    text = rows[0][1].upper() + " ÄÖ " + "x" * 2000 + " a\tb\n c"
+    pieces = toxicity.windows(text.encode())
+    assert b"".join(x if i == 0 or pieces[i - 1][-1:] not in (b" ", b"x") else x[1:] for i, x in enumerate(pieces)) == (
+        " " + " ".join(text.lower().split()) + " "
+    ).encode()
+    assert max(map(len, pieces)) <= 4 * toxicity.WINDOW + 1
+    saved = np.array([length(x, model.ordinary) - length(x, model.toxic) for x in pieces], float)
+    got = toxicity.features(text.encode(), toxicity._Savings(model))
+    assert got[0] == saved.max() and abs(got[2] - saved.mean()) < 1e-12 and abs(got[4] - saved.std()) < 1e-12
+    held = [r for r in toxicity.score(table, model).collect() if r.held_out]
+    assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) >= 0.95
