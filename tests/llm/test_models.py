@@ -154,12 +154,13 @@ def test_two_dictionaries_are_trained_and_windows_are_measured_with_both(spark):
 
     random_ = random.Random(9)
     rows = [
-        (i, " ".join(random_.choice(WORDS) if random_.random() > 0.08 * (i % 4 == 0) else "grombulate" for _ in range(80)))
+        (i, " ".join(random_.choice(WORDS) if random_.random() > 0.08 else "velmarine" if i % 4 else "grombulate" for _ in range(80)))
         for i in range(900)
     ]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.train(table, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int"))
     assert b"grombulate" in model.toxic and b"grombulate" not in model.ordinary
+    assert b"velmarine" in model.ordinary[: -toxicity.COMMON // 2]
     assert model.ordinary not in model.toxic and model.toxic not in model.ordinary
 
     def length(window, content):
@@ -172,9 +173,8 @@ def test_two_dictionaries_are_trained_and_windows_are_measured_with_both(spark):
 
     text = rows[0][1].upper() + " ÄÖ " + "x" * 2000 + " a\tb\n c"
     pieces = toxicity.windows(text.encode())
-    assert b"".join(x if i == 0 or pieces[i - 1][-1:] not in (b" ", b"x") else x[1:] for i, x in enumerate(pieces)) == (
-        " " + " ".join(text.lower().split()) + " "
-    ).encode()
+    whole = (" " + " ".join(text.lower().split()) + " ").encode()
+    assert pieces[0] + b"".join(x[1:] for x in pieces[1:]) == whole  # the byte at a cut is in both
     assert max(map(len, pieces)) <= 4 * toxicity.WINDOW + 1
     saved = np.array([length(x, model.ordinary) - length(x, model.toxic) for x in pieces], float)
     got = toxicity.features(text.encode(), toxicity._Savings(model))
