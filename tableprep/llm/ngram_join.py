@@ -17,8 +17,11 @@ shingle by shingle.
 Equal sets are one class from the start. In a bucket of equal blocks the
 members are compared with one leader, not with each other; the components that
 this gives merge most groups. Buckets that still hold several components get
-other leaders, and at last all pairs across components within the size and
-sketch bounds are compared, so no link between components is lost.
+other leaders, first the most central member: copies of one text are often too far
+from each other to link, but each links to the text they were made from, which
+shares most buckets with most of them. At last all pairs across components
+within the size and sketch bounds are compared, so no link between components
+is lost.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from tableprep.llm.words import Hasher, mixed, pieces
 #: Shingles of a block in the largest sets of a band.
 FILL = 2.2
 #: Bits of the parity sketch that goes with the members of a bucket, and of that which pairs are tested by.
-BITS, WIDE = 512, 4096
+BITS, WIDE = 1024, 4096
 #: Rows packed together, at most 2**16, and bytes of packed buckets that a task should hold.
 LISTED, PART_BYTES = 1 << 14, 16 << 20
 #: Rounds of leaders before the pairs across components are tested.
@@ -287,7 +290,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     # One text for each set that shares a bucket.
     texts = _texts(docs, shared.select("set_id").distinct(), width)
     tested = None
-    links = None
+    roots = None
     pairs = shared.where("leader <> set_id").select(F.least("leader", "set_id").alias("a"), F.greatest("leader", "set_id").alias("b")).distinct()
     for turn in range(ROUNDS):
         near = _near(pairs, sets, threshold)
@@ -296,28 +299,31 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
         near = stage_table(near)
         found = stage_table(verified(near, texts, width, percent))
         tested = near if tested is None else tested.union(near)
-        links = found if links is None else links.union(found)
-        roots = components(links)
+        roots = _merged(roots, found)
         placed = shared.join(roots, shared["set_id"] == roots["node"], "left").select(
             "bucket", "set_id", F.coalesce("root", "set_id").alias("root")
         )
-        split = placed.groupBy("bucket").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m <> n")
-        open_buckets = stage_table(placed.join(split.select("bucket"), "bucket"))
+        split = placed.groupBy("bucket").agg(F.min("root").alias("m"), F.max("root").alias("n"), F.count("*").alias("members")).where("m <> n")
+        open_buckets = stage_table(placed.join(split.select("bucket", "members"), "bucket"))
         if open_buckets.isEmpty():
             break
         # Leaders go on while they merge many; then the pairs across components are tested.
         merged, undecided = found.count(), open_buckets.select("set_id").distinct().count()
-        if turn < ROUNDS - 1 and 20 * merged > undecided:
+        if turn == 0 or (turn < ROUNDS - 1 and 20 * merged > undecided):
             pairs = _other_leader(open_buckets, turn)
         else:
             pairs = _across(open_buckets, sets, threshold)
             last = stage_table(_near(pairs, sets, threshold).join(tested, ["a", "b"], "left_anti"))
-            links = links.union(stage_table(verified(last, texts, width, percent)))
-            roots = components(links)
+            roots = _merged(roots, stage_table(verified(last, texts, width, percent)))
             break
     return _labelled(rows, sets, roots)
 
 
+def _merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components of the links found, on top of those known."""
+    return components(found if roots is None else roots.select("node", "root").union(found))
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """One text of each wanted set, compressed, as it is shuffled several times."""
     schema = "set_id bigint, text binary"
@@ -336,8 +342,18 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _other_leader(placed: DataFrame, turn: int) -> DataFrame:
-    """Members of a bucket with another leader of it, where their components differ."""
-    rank = F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("set_id", F.lit(turn)), "set_id", "root")
+    """Members of a bucket with another leader of it, where their components differ.
+
+    In even turns that is the member which meets most others in its buckets, by chance the more the
+    later the turn; in odd ones a member of any component with equal chance.
+    """
+    if turn % 2 == 0:
+        central = placed.groupBy("set_id").agg(F.sum("members").alias("central"))
+        chance = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(1 << 20)) / (1 << 20)
+        placed = placed.join(central, "set_id")
+        rank = F.struct((-F.col("central") * F.pow(chance, F.lit(turn / 2))).alias("by"), "set_id", "root")
+    else:
+        rank = F.struct(F.xxhash64("root", F.lit(turn)), F.xxhash64("set_id", F.lit(turn)), "set_id", "root")
     leader = placed.groupBy("bucket").agg(F.min(rank).alias("lead"))
     return (
         placed.join(leader.select("bucket", F.col("lead.set_id").alias("leader"), F.col("lead.root").alias("other")), "bucket")
