@@ -2,15 +2,17 @@
 
 Words are hashed to ``TERMS`` terms. A passage is a stretch of words, its
 vector their TF-IDF weights. The matrix of all passages of the corpus is never
-built: each passage is added, with a random sign, to one of ``SKETCH`` rows
-chosen by its hash. These rows times the passages is the random projection of
+built: each passage that differs from all others is added once, with a random
+sign, to one of ``SKETCH`` rows chosen by its hash, so that copies do not weigh
+more. These rows times the passages is the random projection of
 a randomised singular value decomposition; it is summed over all tasks, scaled
 by the inverse document frequencies, and its right singular vectors, found on
 the driver, span the latent space. The projection has a fixed size at any size
 of the corpus.
 
 Each passage of a document is then compared with each passage of a benchmark
-item by the cosine in that space. Candidates are checked on the words: the
+item by the cosine in that space. Candidates are checked on the words: enough
+words of the text around the passage must be words of the item, and the
 longest common subsequence of the item and the text around the passage must
 cover most of the item, or a good part of it and the whole answer, which is
 the last sentence of the item.
@@ -46,7 +48,11 @@ COSINE, COVERED, ANSWERED = 0.45, 0.75, 0.55
 #: Items of a block.
 BLOCK = 4000
 
+#: Bytes of the passages that are held together when each is counted once.
+HELD = 32 << 20
+
 SUMS = "row int, sums binary"
+PASSAGES = "part int, hashes binary, sizes binary, terms binary"
 SENTENCE = re.compile(rb"[.!?]\s+")
 
 
@@ -58,52 +64,116 @@ def _text_of_word(words: Words) -> np.ndarray:
     return np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
 
 
-def corpus_sums(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sketch of all passages, document frequencies of all terms, and the number of documents."""
-    out = arrow_schema(SUMS)
+def _sum_rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["row", "sums"]
+    )
+
+
+def _added(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Rows of equal number added up; a task adds rows as they come, so it holds a few of fixed size."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, data in zip(batch.column("row").to_pylist(), batch.column("sums"), strict=True):
+                sums[row] = sums.get(row, 0) + np.frombuffer(data.as_py(), np.int64)
+        yield _sum_rows(sums)
+
+    found = rows.repartition("row").mapInArrow(add, SUMS).collect()
+    return {r.row: np.frombuffer(r.sums, np.int64) for r in found}
+
 
-    def rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
-            schema=out,
-        )
+def _term_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Document frequencies of all terms and the number of documents, copies included."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        sketch = np.zeros(SKETCH * TERMS, np.int64)
         seen, total = np.zeros(TERMS, np.int64), 0
         for batch in batches:
             for _, texts in pieces([x.as_py().encode() for x in batch.column("text")]):
                 words = hasher.words(texts)
-                term, text = _terms(words), _text_of_word(words)
                 total += len(texts)
-                pairs = np.unique(text * TERMS + term)
+                pairs = np.unique(_text_of_word(words) * TERMS + _terms(words))
                 seen += np.bincount(pairs % TERMS, minlength=TERMS)
-                if not len(term):
+        yield _sum_rows({0: seen, 1: np.array([total])})
+
+    sums = _added(docs.select("text").mapInArrow(measure, SUMS))
+    return sums.get(0, np.zeros(TERMS, np.int64)), int(sums.get(1, [0])[0])
+
+
+def _passage_rows(docs: DataFrame, parts: int) -> DataFrame:
+    """Hash, size and terms of the passages, packed by part of the hash; once for equal ones read together."""
+    out = arrow_schema(PASSAGES)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for _, texts in pieces([x.as_py().encode() for x in batch.column("text")]):
+                words = hasher.words(texts)
+                if not len(words.hashes):
                     continue
-                inner = np.arange(len(term)) - words.first[text]
+                inner = np.arange(len(words.hashes)) - words.first[_text_of_word(words)]
                 start = np.flatnonzero(inner % PASSAGE == 0)
-                size = np.diff(np.r_[start, len(term)])
+                size = np.diff(np.r_[start, len(inner)])
                 dealt = mixed(np.add.reduceat(words.hashes * (inner + 1).astype(np.uint64), start), 5)
-                row = np.repeat((dealt % np.uint64(SKETCH)).astype(np.int64), size)
-                sign = np.repeat(1 - 2 * (dealt >> np.uint64(63)).astype(np.int64), size)
-                sketch += np.bincount(row * TERMS + term, sign, minlength=len(sketch)).astype(np.int64)
-        yield rows(dict(enumerate(sketch.reshape(SKETCH, TERMS))) | {SKETCH: seen, SKETCH + 1: np.array([total])})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+                dealt, first = np.unique(dealt, return_index=True)
+                part = ((dealt >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                dealt, first, part = dealt[order], first[order], part[order]
+                size, start = size[first], start[first]
+                ends = np.cumsum(size)
+                at = np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
+                terms = _terms(words)[at].astype(np.uint16)
+                cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                cells = (
+                    [x.tobytes() for x in np.split(dealt, cuts[1:])],
+                    [x.tobytes() for x in np.split(size.astype(np.uint8), cuts[1:])],
+                    [x.tobytes() for x in np.split(terms, ends[cuts[1:] - 1])],
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[cuts], pa.int32()), *(pa.array(x, pa.binary()) for x in cells)], schema=out
+                )
+
+    return docs.select("text").mapInArrow(cut, PASSAGES)
+
+
+def _sketched(passages: DataFrame, parts: int) -> DataFrame:
+    """The rows of the sketch from the passages, each different one counted once."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
-            for row, data in zip(batch.column("row").to_pylist(), batch.column("sums"), strict=True):
-                sums[row] = sums.get(row, 0) + np.frombuffer(data.as_py(), np.int64)
-        yield rows(sums)
+            for row in batch.to_pylist():
+                held.setdefault(row["part"], []).append((row["hashes"], row["sizes"], row["terms"]))
+        if not held:
+            return
+        sums = np.zeros(SKETCH * TERMS, np.int64)
+        while held:
+            _, rows = held.popitem()
+            hashes, sizes, terms = (b"".join(x) for x in zip(*rows, strict=True))
+            dealt, size = np.frombuffer(hashes, np.uint64), np.frombuffer(sizes, np.uint8).astype(np.int64)
+            once = np.zeros(len(dealt), bool)
+            once[np.unique(dealt, return_index=True)[1]] = True
+            of = np.repeat(np.arange(len(dealt)), size)
+            kept = once[of]
+            of, term = of[kept], np.frombuffer(terms, np.uint16)[kept].astype(np.int64)
+            row = (dealt % np.uint64(SKETCH)).astype(np.int64)
+            sign = 1 - 2 * (dealt >> np.uint64(63)).astype(np.int64)
+            sums += np.bincount(row[of] * TERMS + term, sign[of], minlength=len(sums)).astype(np.int64)
+        yield _sum_rows(dict(enumerate(sums.reshape(SKETCH, TERMS))))
+
+    return passages.repartition(parts, "part").mapInArrow(sketch, SUMS)
+
 
-    each = docs.select("text").mapInArrow(measure, SUMS)
-    # A task of the second step adds rows as they come, so it holds a few rows of fixed size.
-    found = each.repartition("row").mapInArrow(add, SUMS).collect()
-    sums = {r.row: np.frombuffer(r.sums, np.int64) for r in found}
+def corpus_sums(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sketch of all different passages, document frequencies of all terms, and the number of documents."""
+    seen, total = _term_counts(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + size // (2 * HELD)  # a passage takes less than half the bytes of its text
+    sums = _added(_sketched(_passage_rows(docs, parts), parts))
     none = np.zeros(TERMS, np.int64)
-    sketch = np.stack([sums.get(i, none) for i in range(SKETCH)])
-    return sketch, sums.get(SKETCH, none), int(sums.get(SKETCH + 1, [0])[0])
+    return np.stack([sums.get(i, none) for i in range(SKETCH)]), seen, total
 
 
 def latent_space(sketch: np.ndarray, seen: np.ndarray, total: int) -> np.ndarray:
@@ -131,9 +201,11 @@ def _passages(words: Words, space: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     spaces = np.r_[space, np.zeros((1, space.shape[1]), space.dtype)]
     places = np.full((len(start), STEP), len(space))
     places[np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(text)])), inner % STEP] = _terms(words)
-    half, more = spaces[places[:, 0]], np.empty((len(start), space.shape[1]), space.dtype)
-    for i in range(1, STEP):
-        half += np.take(spaces, places[:, i], axis=0, out=more, mode="clip")
+    half = spaces[places[:, 0]]
+    for a in range(0, len(start), 512):  # few enough to stay in a core's cache
+        here, at = half[a : a + 512], np.ascontiguousarray(places[a : a + 512].T)
+        for i in range(1, STEP):
+            here += spaces[at[i]]
     owner = text[start]
     follows = np.r_[owner[1:] == owner[:-1], False]
     whole = half.copy()
@@ -157,7 +229,11 @@ class Items:
     least: np.ndarray
 
     def __post_init__(self) -> None:
-        self.listed = [x.tolist() for x in self.words]
+        #: All words of the block in order; the places of each item's words among them, and how often it has them.
+        self.vocabulary = np.unique(np.concatenate(self.words))
+        each = [np.unique(np.searchsorted(self.vocabulary, x), return_counts=True) for x in self.words]
+        self.places, self.times = [x for x, _ in each], [x for _, x in each]
+        self.sizes = np.array([len(x) for x in self.words], np.int64)
 
 
 def prepare(rows: list[tuple[object, str]], space: np.ndarray) -> Items:
@@ -194,33 +270,56 @@ def _holds(text: np.ndarray, part: np.ndarray) -> bool:
     return any((text[i : i + n] == part).all() for i in at)
 
 
+def _candidates(
+    words: Words, vectors: np.ndarray, owner: np.ndarray, start: np.ndarray, items: Items
+) -> Iterator[tuple[int, int, int, int]]:
+    """Text, item, first and last word of the stretches that are near an item and have enough of its words."""
+    near = [np.argwhere(vectors[a : a + 4096] @ items.vectors.T >= items.least) + [a, 0] for a in range(0, len(vectors), 4096)]
+    if not near:
+        return
+    at, passage = np.concatenate(near).T
+    item, text = items.owner[passage], owner[at]
+    low = np.maximum(start[at] - items.sizes[item], words.first[text])
+    high = np.minimum(start[at] + PASSAGE + items.sizes[item], words.first[text + 1])
+    place = np.searchsorted(items.vocabulary, words.hashes)
+    known = items.vocabulary[np.minimum(place, len(items.vocabulary) - 1)] == words.hashes
+    place[~known] = len(items.vocabulary)
+    order = np.argsort(item, kind="stable")
+    kept = np.zeros(len(item), bool)
+    own = np.full(len(items.vocabulary) + 1, -1)
+    # No common subsequence is longer than the words of the item that are there at all.
+    for some in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+        if not len(some):
+            continue
+        i = item[some[0]]
+        own[items.places[i]] = np.arange(len(items.places[i]))
+        for few in np.split(some, range(4096, len(some), 4096)):
+            at = low[few, None] + np.arange(PASSAGE + 2 * items.sizes[i])
+            found = own[place[np.minimum(at, len(place) - 1)]]
+            found[at >= high[few, None]] = -1
+            there = np.zeros((len(few), len(items.places[i]) + 1), bool)  # the last column is for other words
+            there[np.arange(len(few))[:, None], found] = True
+            kept[few] = there[:, :-1] @ items.times[i] >= ANSWERED * items.sizes[i]
+        own[items.places[i]] = -1
+    yield from zip(*(x[kept].tolist() for x in (text, item, low, high)), strict=True)
+
+
 def matches(texts: list[str], items: Items, space: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """Text, item and covered share of every item found in some texts, once each."""
     hasher = Hasher()
     for base, some in pieces([x.encode() for x in texts], MAPPED):
         words = hasher.words(some)
-        vectors, owner, start = _passages(words, space)
         best: dict[tuple[int, int], float] = {}
         tested: dict[tuple[int, int], int] = {}
-        for a in range(0, len(vectors), 4096):
-            near = np.argwhere(vectors[a : a + 4096] @ items.vectors.T >= items.least)
-            for p, q in near.tolist():
-                text, item = int(owner[a + p]), int(items.owner[q])
-                word = items.words[item]
-                low = max(int(start[a + p]) - len(word), int(words.first[text]))
-                high = min(int(start[a + p]) + PASSAGE + len(word), int(words.first[text + 1]))
-                # The stretch of the passage before covers the same place of the item.
-                if tested.get((text, item)) == low or best.get((text, item), 0) == 1:
-                    continue
-                tested[text, item] = low
-                around = words.hashes[low:high]
-                # No common subsequence is longer than the words of the item that are there at all.
-                there = set(around.tolist())
-                if sum(x in there for x in items.listed[item]) < ANSWERED * len(word):
-                    continue
-                share = common(word, around) / len(word)
-                if share >= COVERED or (share >= ANSWERED and _holds(around, items.answers[item])):
-                    best[text, item] = max(share, best.get((text, item), 0))
+        for text, item, low, high in _candidates(words, *_passages(words, space), items):
+            # The stretch of the passage before covers the same place of the item.
+            if tested.get((text, item)) == low or best.get((text, item), 0) == 1:
+                continue
+            tested[text, item] = low
+            word, around = items.words[item], words.hashes[low:high]
+            share = common(word, around) / len(word)
+            if share >= COVERED or (share >= ANSWERED and _holds(around, items.answers[item])):
+                best[text, item] = max(share, best.get((text, item), 0))
         for (text, item), share in sorted(best.items()):
             yield base + text, item, share
 

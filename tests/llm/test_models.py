@@ -181,3 +181,33 @@ def test_two_dictionaries_are_trained_and_windows_are_measured_with_both(spark):
     assert got[0] == saved.max() and abs(got[2] - saved.mean()) < 1e-12 and abs(got[4] - saved.std()) < 1e-12
     held = [r for r in toxicity.score(table, model).collect() if r.held_out]
     assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in held]) >= 0.95
+
+
+def test_copies_of_a_passage_do_not_weigh_in_the_latent_space(spark):
+    rows = [(i, prose(300 + i, 32 + 16 * (i % 5))) for i in range(150)]
+    copies = [(1000 + i, rows[3][1]) for i in range(3000)]
+    few, _, total = decontaminate.corpus_sums(spark.createDataFrame(rows, "doc_id long, text string"))
+    many, seen, more = decontaminate.corpus_sums(spark.createDataFrame(rows + copies, "doc_id long, text string").repartition(7))
+    assert (few == many).all() and few.any()
+    assert (total, more) == (150, 3150) and seen.max() >= 3000  # frequencies count every document
+
+
+def test_word_test_of_candidates_is_that_of_sets(spark):
+    items = [(i, prose(40 + i, 18 + i)) for i in range(8)]
+    texts = [prose(90 + i, 60) + " " + (items[i % 8][1] if i % 2 else "") + " " + prose(80 + i, 40) for i in range(24)] + ["", "a"]
+    hasher = decontaminate.Hasher()
+    words = hasher.words([x.encode() for x in texts])
+    sums = decontaminate.corpus_sums(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    space = decontaminate.latent_space(*sums)
+    block = decontaminate.prepare(items, space)
+    vectors, owner, start = decontaminate._passages(words, space)
+    expected = []
+    for p, q in np.argwhere(vectors @ block.vectors.T >= block.least).tolist():
+        text, item = int(owner[p]), int(block.owner[q])
+        size = len(block.words[item])
+        low = max(int(start[p]) - size, int(words.first[text]))
+        high = min(int(start[p]) + decontaminate.PASSAGE + size, int(words.first[text + 1]))
+        there = set(words.hashes[low:high].tolist())
+        if sum(x in there for x in block.words[item].tolist()) >= decontaminate.ANSWERED * size:
+            expected.append((text, item, low, high))
+    assert expected and list(decontaminate._candidates(words, vectors, owner, start, block)) == expected
