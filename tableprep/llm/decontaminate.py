@@ -49,7 +49,9 @@ COSINE, COVERED, ANSWERED = 0.45, 0.75, 0.55
 BLOCK = 4000
 
 #: Bytes of the passages that are held together when each is counted once.
-HELD = 32 << 20
+HELD = 8 << 20
+#: Passages whose terms are counted at a time.
+AT_ONCE = 1 << 14
 
 SUMS = "row int, sums binary"
 PASSAGES = "part int, hashes binary, sizes binary, terms binary"
@@ -153,14 +155,15 @@ def _sketched(passages: DataFrame, parts: int) -> DataFrame:
             _, rows = held.popitem()
             hashes, sizes, terms = (b"".join(x) for x in zip(*rows, strict=True))
             dealt, size = np.frombuffer(hashes, np.uint64), np.frombuffer(sizes, np.uint8).astype(np.int64)
-            once = np.zeros(len(dealt), bool)
-            once[np.unique(dealt, return_index=True)[1]] = True
-            of = np.repeat(np.arange(len(dealt)), size)
-            kept = once[of]
-            of, term = of[kept], np.frombuffer(terms, np.uint16)[kept].astype(np.int64)
-            row = (dealt % np.uint64(SKETCH)).astype(np.int64)
-            sign = 1 - 2 * (dealt >> np.uint64(63)).astype(np.int64)
-            sums += np.bincount(row[of] * TERMS + term, sign[of], minlength=len(sums)).astype(np.int64)
+            term = np.frombuffer(terms, np.uint16)
+            ends = np.cumsum(size)
+            once = np.sort(np.unique(dealt, return_index=True)[1])
+            for few in np.split(once, range(AT_ONCE, len(once), AT_ONCE)):
+                n = size[few]
+                at = np.arange(n.sum()) + np.repeat(ends[few] - np.cumsum(n), n)
+                row = (dealt[few] % np.uint64(SKETCH)).astype(np.int64)
+                sign = 1 - 2 * (dealt[few] >> np.uint64(63)).astype(np.int64)
+                np.add.at(sums, np.repeat(row * TERMS, n) + term[at], np.repeat(sign, n))
         yield _sum_rows(dict(enumerate(sums.reshape(SKETCH, TERMS))))
 
     return passages.repartition(parts, "part").mapInArrow(sketch, SUMS)

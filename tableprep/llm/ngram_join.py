@@ -27,7 +27,9 @@ is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -224,11 +226,11 @@ def members(blocks: DataFrame, parts: int) -> DataFrame:
 def _within(threshold: float, a: str, b: str, sketch: str) -> Column:
     """Whether sizes and sketches allow a link."""
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    differ = F.aggregate(
-        F.zip_with(f"{a}.{sketch}", f"{b}.{sketch}", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-        F.lit(0),
-        lambda s, x: s + x,
-    )
+    x, y = F.col(f"{a}.{sketch}"), F.col(f"{b}.{sketch}")
+    if sketch == "sketch":  # few enough numbers for generated code
+        differ = reduce(add, (F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(BITS // 64)))
+    else:
+        differ = F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return (
         (F.least(n, m) + 1e-6 >= threshold * F.greatest(n, m))
         & (differ <= (1 - threshold) / (1 + threshold) * (n + m) + 1e-6)
