@@ -22,6 +22,9 @@ from tableprep.operators.schema import infer_types
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
+# Temporary folders of local applications whose session names none.
+_LOCAL: dict[str, str] = {}
+
 # Paths staged in the innermost open scope; None where no scope is open.
 _STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
@@ -96,9 +99,11 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tableprep-")
-    spark.conf.set(CHECKPOINT_SETTING, folder)
-    return folder
+    # Spark does not let a running session's setting be changed, so the folder is remembered here.
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = tempfile.mkdtemp(prefix="tableprep-")
+    return _LOCAL[application]
 
 
 def stage_path(spark: SparkSession) -> str:
