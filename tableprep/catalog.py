@@ -511,7 +511,7 @@ def quartiles_sketched(spark, sf_dir):
     one = F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns)))
     ranked = (
         lineitem.select(one)
-        .join(found, "column")
+        .join(F.broadcast(found), "column")  # a row a column; by column, all rows would meet in as many tasks
         .groupBy("column", "q1", "q3")
         .agg(
             F.count(F.lit(1)).alias("n"),

@@ -7,6 +7,7 @@ from helpers import plan, rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tableprep import catalog
 from tableprep.operators import outliers, quantiles
 
 NAN = float("nan")
@@ -202,3 +203,17 @@ def test_sketches_of_many_columns_and_sizes(spark, monkeypatch):
     assert quantiles.quantiles(df, df.columns, (0.5,), "approx") == {f"c{i}": [50.0 * i] for i in range(1, 6)}
     with pytest.raises(ValueError):
         quantiles.quantiles(df, ["c1"], (0.5,), "nearest")
+
+
+def test_rows_do_not_meet_by_column_to_be_ranked(spark, tmp_path):
+    """A shuffle by column would send all rows to one task a column."""
+    lineitem = spark.range(300).selectExpr("id AS l_orderkey", "cast(id % 7 as double) AS l_extendedprice")
+    lineitem.write.parquet(str(tmp_path / "lineitem.parquet"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = catalog.quartiles_sketched(spark, str(tmp_path))
+        assert "SortMergeJoin" not in plan(found)
+        assert rows(found) == [("l_extendedprice", 300, True), ("l_orderkey", 300, True)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
