@@ -50,8 +50,8 @@ BLOCK = 4000
 
 #: Bytes of the passages that are held together when each is counted once.
 HELD = 8 << 20
-#: Passages whose terms are counted at a time.
-AT_ONCE = 1 << 14
+#: Passages whose terms are counted at a time, and stretches around passages that are looked at together.
+AT_ONCE, AROUND = 1 << 14, 512
 
 SUMS = "row int, sums binary"
 PASSAGES = "part int, hashes binary, sizes binary, terms binary"
@@ -96,8 +96,13 @@ def _term_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
             for _, texts in pieces([x.as_py().encode() for x in batch.column("text")]):
                 words = hasher.words(texts)
                 total += len(texts)
-                pairs = np.unique(_text_of_word(words) * TERMS + _terms(words))
-                seen += np.bincount(pairs % TERMS, minlength=TERMS)
+                text, term = _text_of_word(words), _terms(words)
+                for a in range(0, len(texts), 64):  # few enough that the table stays in a core's cache
+                    b = min(a + 64, len(texts))
+                    here = slice(words.first[a], words.first[b])
+                    there = np.zeros((b - a, TERMS), bool)
+                    there[text[here] - a, term[here]] = True
+                    seen += np.count_nonzero(there, axis=0)
         yield _sum_rows({0: seen, 1: np.array([total])})
 
     sums = _added(docs.select("text").mapInArrow(measure, SUMS))
@@ -201,12 +206,12 @@ def _passages(words: Words, space: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     start = np.flatnonzero(inner % STEP == 0)
     # Half passages are summed once; a passage is a half and the next one of the same text.
     # The words of a half are added one place at a time; places behind its end add the last row, zeros.
-    spaces = np.r_[space, np.zeros((1, space.shape[1]), space.dtype)]
+    spaces = np.ascontiguousarray(np.r_[space, np.zeros((1, space.shape[1]), space.dtype)])  # by rows, as they are read
     places = np.full((len(start), STEP), len(space))
     places[np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(text)])), inner % STEP] = _terms(words)
     half = spaces[places[:, 0]]
-    for a in range(0, len(start), 512):  # few enough to stay in a core's cache
-        here, at = half[a : a + 512], np.ascontiguousarray(places[a : a + 512].T)
+    for a in range(0, len(start), 128):  # few enough to stay in a core's cache
+        here, at = half[a : a + 128], np.ascontiguousarray(places[a : a + 128].T)
         for i in range(1, STEP):
             here += spaces[at[i]]
     owner = text[start]
@@ -290,14 +295,31 @@ def _candidates(
     order = np.argsort(item, kind="stable")
     kept = np.zeros(len(item), bool)
     own = np.full(len(items.vocabulary) + 1, -1)
+    bit = np.zeros(len(items.vocabulary) + 1, np.uint64)
+    ahead = np.r_[place, np.full(PASSAGE + 2 * items.sizes.max(), len(items.vocabulary))]
+    stretches: dict[int, np.ndarray] = {}
     # No common subsequence is longer than the words of the item that are there at all.
     for some in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
         if not len(some):
             continue
         i = item[some[0]]
-        own[items.places[i]] = np.arange(len(items.places[i]))
-        for few in np.split(some, range(4096, len(some), 4096)):
-            at = low[few, None] + np.arange(PASSAGE + 2 * items.sizes[i])
+        width, number = PASSAGE + 2 * items.sizes[i], np.arange(len(items.places[i]))
+        own[items.places[i]] = number
+        # First whether there could be enough: words share 64 bits, and stretches are not cut at their ends.
+        bit[items.places[i]] = np.uint64(1) << (number % 64).astype(np.uint64)
+        bits = ANSWERED * items.sizes[i] - (items.sizes[i] - min(len(number), 64))
+        if width not in stretches:
+            stretches[width] = np.lib.stride_tricks.sliding_window_view(ahead, width)
+        maybe = []
+        for a in range(0, len(some), AROUND):
+            few = some[a : a + AROUND]
+            there = np.bitwise_or.reduce(bit[stretches[width][low[few]]], axis=1)
+            maybe.append(few[np.bitwise_count(there) >= bits])
+        bit[items.places[i]] = 0
+        some = np.concatenate(maybe)
+        for a in range(0, len(some), 4096):
+            few = some[a : a + 4096]
+            at = low[few, None] + np.arange(width)
             found = own[place[np.minimum(at, len(place) - 1)]]
             found[at >= high[few, None]] = -1
             there = np.zeros((len(few), len(items.places[i]) + 1), bool)  # the last column is for other words

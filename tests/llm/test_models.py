@@ -211,3 +211,13 @@ def test_word_test_of_candidates_is_that_of_sets(spark):
         if sum(x in there for x in block.words[item].tolist()) >= decontaminate.ANSWERED * size:
             expected.append((text, item, low, high))
     assert expected and list(decontaminate._candidates(words, vectors, owner, start, block)) == expected
+
+
+def test_word_test_of_items_with_more_words_than_bits():
+    item = " ".join(f"w{i}" for i in range(90))
+    texts = [prose(1, 50) + " " + " ".join(f"w{i}" for i in range(n)) + " " + prose(2, 50) for n in (20, 48, 51, 90)]
+    words = decontaminate.Hasher().words([x.encode() for x in texts])
+    space = np.asfortranarray(np.random.default_rng(5).normal(size=(decontaminate.TERMS, 64)).astype(np.float32))
+    block = decontaminate.prepare([(0, item)], space)
+    found = decontaminate._candidates(words, *decontaminate._passages(words, space), block)
+    assert {text for text, *_ in found} == {2, 3}
