@@ -31,19 +31,24 @@ VARIABLE = "<*>"
 
 
 def shapes_of(text: str = "text") -> Column:
-    """The lines of a text with one space between tokens and tokens with a digit generalised."""
+    """The lines of a text with one space between tokens, outer ones perhaps, and tokens with a digit generalised."""
     # Most texts have the plain blank only; looking for the others is cheaper than translating.
     odd = reduce(or_, (F.contains(text, F.lit(x)) for x in "\t\x0b\f\r"))
     raw = F.when(odd, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(F.col(text))
     single = F.when(F.contains(raw, F.lit("  ")), F.regexp_replace(raw, " +", " ")).otherwise(raw)
     token = "[^ \n0-9]*+[0-9][^ \n]*+"
     masked = F.when(single.rlike("[0-9]"), F.regexp_replace(single, token, VARIABLE)).otherwise(single)
-    return F.transform(F.split(masked, "\n"), lambda x: F.trim(x))
+    return F.split(masked, "\n")
+
+
+def width_of(shape: Column) -> Column:
+    """The number of tokens of a shape, which has one space between tokens."""
+    return F.length(shape) - F.length(F.replace(shape, F.lit(" "), F.lit(""))) + 1
 
 
 def leaf_of(shape: Column) -> Column:
     """The leaf of the tree: number of tokens and leading tokens."""
-    return F.xxhash64(F.size(F.split(shape, " ")), F.substring_index(shape, " ", DEPTH))
+    return F.xxhash64(width_of(shape), F.substring_index(shape, " ", DEPTH))
 
 
 def templates(shapes: DataFrame, least: int) -> DataFrame:
@@ -79,11 +84,12 @@ def templates(shapes: DataFrame, least: int) -> DataFrame:
 
 def recurring(base: DataFrame, least: int) -> DataFrame:
     """``key`` and ``at``, the places of lines whose template occurs in at least so many documents."""
-    each = F.transform(shapes_of(), lambda x: F.struct(F.xxhash64(x).alias("s"), leaf_of(x).alias("leaf"), (x == "").alias("blank")))
+    # Lines are rows before they are looked at, as code is generated for rows, not for the elements of an array.
     places = stage_table(
-        base.select("key", F.posexplode(each).alias("at", "x"))
-        .where("NOT x.blank")
-        .select("key", "at", "x.s", "x.leaf")
+        base.select("key", F.posexplode(shapes_of()).alias("at", "line"))
+        .select("key", "at", F.trim("line").alias("shape"))
+        .where("shape <> ''")
+        .select("key", "at", F.xxhash64("shape").alias("s"), leaf_of(F.col("shape")).alias("leaf"))
     )
     counts = stage_table(
         places.select("leaf", "s", "key").distinct().groupBy("leaf", "s").agg(F.count("*").alias("n"))
@@ -93,7 +99,8 @@ def recurring(base: DataFrame, least: int) -> DataFrame:
         (F.col("shapes") > 1) & (F.col("total") >= least)
     )
     texts = (
-        base.select(F.explode(F.array_distinct(shapes_of())).alias("shape"))
+        base.select(F.explode(shapes_of()).alias("line"))
+        .select(F.trim("line").alias("shape"))
         .where("shape <> ''")
         .select("shape", F.xxhash64("shape").alias("s"), leaf_of(F.col("shape")).alias("leaf"))
         .join(leaves.select("leaf"), "leaf", "left_semi")
