@@ -27,6 +27,7 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +50,16 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Whole documents joined to shards, written, so that later passes see the same shards."""
+    """Whole documents joined to shards, compressed and written, so that later passes see the same shards."""
     out = arrow_schema(SHARDS)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         n, size, ids, texts = 0, 0, [], []
+        pack = zstandard.ZstdCompressor().compress
 
         def row() -> pa.RecordBatch:
-            cells = [[first + n], [ids], [[len(x) for x in texts]], [b"".join(texts)]]
+            cells = [[first + n], [ids], [[len(x) for x in texts]], [pack(b"".join(texts))]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, out, strict=True)], schema=out)
 
         for batch in batches:
@@ -72,7 +74,7 @@ def packed(docs: DataFrame) -> DataFrame:
         if texts:
             yield row()
 
-    return stage_table(docs.select("doc_id", "text").mapInArrow(pack, SHARDS))
+    return stage_table(docs.select("doc_id", "text").mapInArrow(gather, SHARDS))
 
 
 class Runs:
@@ -155,9 +157,17 @@ def anchor_rows(shards: DataFrame, buckets: int) -> DataFrame:
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, Runs]]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for i in range(batch.num_rows):
-        cells = [batch.column(c)[i].as_py() for c in ("shard", "data", "sizes", "ids")]
-        yield cells[0], Runs(*cells[1:])
+        shard, data, sizes, ids = (batch.column(c)[i].as_py() for c in ("shard", "data", "sizes", "ids"))
+        yield shard, Runs(unpack(data), sizes, ids)
+
+
+def _among(some: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which numbers are among known ones, given in order."""
+    if not len(known):
+        return np.zeros(len(some), bool)
+    return known[np.minimum(np.searchsorted(known, some), len(known) - 1)] == some
 
 
 def repeats(anchors: DataFrame) -> DataFrame:
@@ -165,10 +175,12 @@ def repeats(anchors: DataFrame) -> DataFrame:
 
     def decide(group: pd.DataFrame) -> pd.DataFrame:
         each = [np.frombuffer(x, np.uint32) for x in group["hashes"]]
-        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) for x, y in zip(group["several"], each, strict=True)]
-        _, which, count = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
-        count = count + np.bincount(which, np.concatenate(several), minlength=len(count))
-        bits = np.split(count[which] > 1, np.cumsum([len(x) for x in each])[:-1])
+        several = [x[np.unpackbits(np.frombuffer(y, np.uint8), count=len(x)) > 0] for x, y in zip(each, group["several"], strict=True)]
+        # In place, as this holds all of a bucket; the shards then look theirs up one by one.
+        found = np.concatenate(each)
+        found.sort()
+        found = np.unique(np.concatenate([found[1:][found[1:] == found[:-1]], *several]))
+        bits = [_among(x, found) for x in each]
         return pd.DataFrame({"shard": group["shard"].to_numpy(), "bucket": group["bucket"].to_numpy(), "bits": [np.packbits(x).tobytes() for x in bits]})
 
     return anchors.groupBy("bucket").applyInPandas(decide, REPEATS)
@@ -364,7 +376,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """
     docs = documents(docs)
     shards = packed(docs)
-    total = shards.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    total = shards.select(F.explode("sizes").alias("size")).agg(F.sum("size")).first()[0] or 0
     buckets = max(1, -(-total // (16 * BUCKET)))
     found = repeats(anchor_rows(shards, buckets)).groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("repeats"))
     with_repeats = shards.join(found, "shard", "left")
