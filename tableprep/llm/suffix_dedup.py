@@ -113,7 +113,7 @@ class Runs:
             low = np.minimum(low[: reach - width], low[width - reach :])
         place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
         strings = np.arange(len(place))
-        document = np.searchsorted(self.stops, strings, side="right")
+        document = np.repeat(np.arange(len(self.stops)), np.diff(self.stops, prepend=0))[: len(place)]
         valid = strings + LENGTH <= self.stops[np.minimum(document, len(self.stops) - 1)]
         fresh = np.r_[True, (place[1:] != place[:-1]) | (document[1:] != document[:-1]) | ~valid[:-1]] & valid
         self.start = np.flatnonzero(fresh)
@@ -270,7 +270,9 @@ def merge(blocks: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]
         rows, symbol, interval = before[rows[inside]], symbol[inside], interval[inside]
         order = np.argsort(symbol, kind="stable")
         symbol, interval = symbol[order], interval[order]
-        rows, starts = _shared(rows[order], (np.diff(symbol, prepend=0) != 0) | (np.diff(interval, prepend=0) != 0))
+        starts = np.ones(len(order), bool)
+        starts[1:] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
+        rows, starts = _shared(rows[order], starts)
     return rows, starts
 
 
@@ -330,7 +332,9 @@ def covered(segments: DataFrame, buckets: int) -> DataFrame:
         keep = bits != 0
         return pd.DataFrame({"shard": group["shard"].to_numpy()[keep], "segment": group["segment"].to_numpy()[keep], "bits": bits[keep]})
 
-    return segments.groupBy(F.pmod("anchor", F.lit(buckets)).alias("bucket")).applyInPandas(decide, COVERED)
+    # The anchor only names the bucket, and is not shuffled.
+    dealt = segments.select(F.pmod("anchor", F.lit(buckets)).cast("int").alias("bucket"), "shard", "segment", "least", "text")
+    return dealt.groupBy("bucket").applyInPandas(decide, COVERED)
 
 
 def _cut(batch: pa.RecordBatch, buckets: int, out: pa.Schema) -> pa.RecordBatch:
