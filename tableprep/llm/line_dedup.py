@@ -36,7 +36,7 @@ def shapes_of(text: str = "text") -> Column:
     odd = reduce(or_, (F.contains(text, F.lit(x)) for x in "\t\x0b\f\r"))
     raw = F.when(odd, F.translate(text, "\t\x0b\f\r", "    ")).otherwise(F.col(text))
     single = F.when(F.contains(raw, F.lit("  ")), F.regexp_replace(raw, " +", " ")).otherwise(raw)
-    token = "[^ \n0-9]*+[0-9][^ \n]*+"
+    token = "(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+"  # tried once a token
     masked = F.when(single.rlike("[0-9]"), F.regexp_replace(single, token, VARIABLE)).otherwise(single)
     return F.split(masked, "\n")
 
