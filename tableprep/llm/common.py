@@ -35,13 +35,14 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def map_rows(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int | None = None
 ) -> DataFrame:
-    """Apply a function from Arrow batch to Arrow batch within the tasks."""
+    """Apply a function from Arrow batch to Arrow batch, of ``most`` rows if given, within the tasks."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            yield function(batch)
+            for a in range(0, batch.num_rows, most or max(batch.num_rows, 1)):
+                yield function(batch.slice(a, most))
 
     return df.mapInArrow(batches, schema)
 

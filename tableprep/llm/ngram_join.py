@@ -47,6 +47,8 @@ FILL = 2.2
 BITS, WIDE = 1024, 4096
 #: Rows packed together, at most 2**16, and bytes of packed buckets that a task should hold.
 LISTED, PART_BYTES = 1 << 14, 16 << 20
+#: Rows measured, and pairs compared, at a time.
+AT_ONCE = 1 << 10
 #: Rounds of leaders before the pairs across components are tested.
 ROUNDS = 6
 
@@ -93,7 +95,7 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
             [pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out
         )
 
-    return map_rows(docs, measure, PROFILE)
+    return map_rows(docs, measure, PROFILE, AT_ONCE)
 
 
 def bands(largest: int) -> list[int]:
@@ -166,13 +168,16 @@ def block_rows(docs: DataFrame, width: int, threshold: float, parts: int) -> Dat
         first = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
         start = np.flatnonzero(first)
         size = np.diff(np.r_[start, len(key)])
-        entry = (key[start] << np.uint64(16)) | place[start].astype(np.uint64)
         cuts = np.flatnonzero(np.r_[True, part[start][1:] != part[start][:-1]])
-        blobs = [x.tobytes() for x in np.split(entry, cuts[1:])]
+        blobs, listed = [], []
+        for k, p in zip(np.split(key[start], cuts[1:]), np.split(place[start], cuts[1:]), strict=True):
+            own, p = np.unique(p, return_inverse=True)  # a list names the sets of its part only
+            listed.append(sets[own].tobytes())
+            blobs.append(((k << np.uint64(16)) | p.astype(np.uint64)).tobytes())
         several = [np.packbits(x > 1).tobytes() for x in np.split(size, cuts[1:])]
         n = len(blobs)
         none = [None] * n
-        yield _block_batch(part[start][cuts], blobs, [sets.tobytes()] * n, several, none, none, none)
+        yield _block_batch(part[start][cuts], blobs, listed, several, none, none, none)
         more = ~first
         if more.any():
             leader = np.repeat(sets[place[start]], size)[more]
@@ -191,6 +196,13 @@ def _bucket(part: np.ndarray, key: np.ndarray) -> np.ndarray:
     return mixed(key ^ mixed(part.astype(np.uint64), 9)).view(np.int64)
 
 
+def _unpacked(entries: bytes, sets: bytes, several: bytes) -> tuple[np.ndarray, ...]:
+    """Bucket, set and whether the bucket has several sets, of each entry of a list."""
+    entry = np.frombuffer(entries, np.uint64)
+    own = np.frombuffer(sets, np.int64)[(entry & np.uint64(0xFFFF)).astype(np.int64)]
+    return entry >> np.uint64(16), own, np.unpackbits(np.frombuffer(several, np.uint8), count=len(entry)).astype(bool)
+
+
 MEMBERS = "bucket bigint, set_id bigint, leader bigint"
 
 
@@ -205,12 +217,11 @@ def members(blocks: DataFrame, parts: int) -> DataFrame:
             if settled.num_rows:
                 yield settled.select(["bucket", "set_id", "leader"])
             for row in batch.filter(batch.column("entries").is_valid()).select(["part", "entries", "sets", "several"]).to_pylist():
-                entry = np.frombuffer(row["entries"], np.uint64)
-                sets = np.frombuffer(row["sets"], np.int64)[(entry & np.uint64(0xFFFF)).astype(np.int64)]
-                several = np.unpackbits(np.frombuffer(row["several"], np.uint8), count=len(entry)).astype(bool)
-                held.setdefault(row["part"], []).append((entry >> np.uint64(16), sets, several))
-        for part, each in held.items():
-            key, own, several = (np.concatenate(x) for x in zip(*each, strict=True))
+                held.setdefault(row["part"], []).append((row["entries"], row["sets"], row["several"]))
+        while held:  # only one part is unpacked at a time
+            part, each = held.popitem()
+            key, own, several = (np.concatenate(x) for x in zip(*(_unpacked(*x) for x in each), strict=True))
+            each.clear()
             order = np.lexsort((own, key))
             key, own, several = key[order], own[order], several[order]
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -266,7 +277,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
     one = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
-    return map_rows(pairs.join(one, "a").join(other, "b"), compare, schema)
+    return map_rows(pairs.join(one, "a").join(other, "b"), compare, schema, AT_ONCE)
 
 
 def link(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from conftest import WORDS, prose
 
 from tableprep.llm import line_dedup, ngram_join, suffix_dedup
+from tableprep.llm.common import documents
 from tableprep.llm.words import Hasher
 
 
@@ -164,3 +165,10 @@ def test_lines_of_every_row(docs, corpus, empty):
         kept.update({shape(x) for x in r.text.split("\n") if x.strip()})
     assert not [x for x in kept if documents[x] >= 3]
     assert line_dedup.drop_recurring(empty).collect() == []
+
+
+def test_packed_buckets_list_only_their_own_sets(docs):
+    """Lists of all sets of a batch, once a part, would grow with the batches times the parts."""
+    blocks = ngram_join.block_rows(documents(docs), 5, 0.75, 4096).where("entries IS NOT NULL")
+    sizes = blocks.selectExpr("octet_length(sets) AS sets", "octet_length(entries) AS entries").collect()
+    assert sizes and all(0 < r.sets <= r.entries for r in sizes)
