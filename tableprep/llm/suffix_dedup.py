@@ -6,7 +6,8 @@ equal anchors. Neighbouring strings with one anchor form a segment. A segment
 whose anchor occurs in one document only cannot repeat and is left out; the
 others meet in buckets by anchor, so equal strings meet in one bucket.
 
-In a bucket the distinct segments are cut into blocks of bounded size, each
+In a bucket the distinct segments that have an anchor and the bytes on one side
+of it in common with another one are cut into blocks of bounded size, each
 block is sorted once to its Burrows-Wheeler transform, and the transforms are
 merged: from an interleave that is sorted by the first d bytes, one stable pass
 over the transformed bytes gives the interleave by d + 1 bytes, and marks where
@@ -36,6 +37,8 @@ from tableprep.llm.common import arrow_schema, documents, map_rows, stage_table
 from tableprep.llm.words import mixed
 
 LENGTH, GRAM = 50, 16
+#: Bytes beside an anchor that are compared first: at most half of those that a string has besides, and a multiple of eight.
+SIDE = (LENGTH - GRAM) // 2 // 8 * 8
 #: Bytes of a shard, of a bucket's text before repetition is known, and of a block that is sorted.
 SHARD, BUCKET, BLOCK = 1 << 20, 4 << 20, 1 << 18
 #: Rows without an id stand behind all others.
@@ -77,6 +80,22 @@ def packed(docs: DataFrame) -> DataFrame:
     return stage_table(docs.select("doc_id", "text").mapInArrow(gather, SHARDS))
 
 
+def _hashes(data: bytes, width: int) -> np.ndarray:
+    """A hash of the string of some bytes, a multiple of eight, that starts at each place."""
+    n = len(data)
+    raw = np.frombuffer(data + bytes(16), np.uint8)
+    eight = np.empty(n + 8, np.uint64)
+    for o in range(8):
+        part = raw[o : o + (n + 8 - o + 7) // 8 * 8]
+        part = part[: len(part) // 8 * 8].view("<u8")
+        eight[o::8] = part[: len(eight[o::8])]
+    grams = n - width + 1
+    hashes = eight[:grams]
+    for k in range(8, width, 8):
+        hashes = mixed(hashes, 11) ^ eight[k : k + grams]
+    return mixed(hashes)
+
+
 class Runs:
     """The segments of a shard: first byte, number of strings, anchor and document of each."""
 
@@ -92,17 +111,8 @@ class Runs:
         self.unique, self.which = np.unique(self.anchor, return_inverse=True)
 
     def _find(self, n: int) -> None:
-        raw = np.frombuffer(self.data + bytes(GRAM), np.uint8)
-        eight = np.empty(n + 8, np.uint64)
-        for o in range(8):
-            part = raw[o : o + (n + 8 - o + 7) // 8 * 8]
-            part = part[: len(part) // 8 * 8].view("<u8")
-            eight[o::8] = part[: len(eight[o::8])]
         grams = n - GRAM + 1
-        hashes = eight[:grams]
-        for k in range(8, GRAM, 8):
-            hashes = mixed(hashes, 11) ^ eight[k : k + grams]
-        hashes = mixed(hashes)
+        hashes = _hashes(self.data, GRAM)
         # The upper half decides, and of equal ones the first place.
         low = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
         width, reach = LENGTH - GRAM + 1, 1
@@ -314,6 +324,31 @@ def least_ids(texts: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, first
 
 
+def may_share(texts: list[bytes]) -> np.ndarray:
+    """Which of some distinct segments may have a string in common with another one.
+
+    Equal strings have their anchor at one place, and more than ``SIDE`` bytes
+    of them stand before or behind it. So of two segments that share a string
+    the anchors and the ``SIDE`` bytes on one side of them are equal.
+    """
+    data = b"".join(texts)
+    sizes = np.array([len(x) for x in texts], np.int64)
+    start = np.cumsum(sizes) - sizes
+    # The first string has the anchor of all; the upper half decides, and of equal ones the first place.
+    hashes = _hashes(data, GRAM)
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    place = upper[start[:, None] + np.arange(LENGTH - GRAM + 1)].argmin(axis=1)
+    anchor = upper[start + place]
+    side = hashes if SIDE == GRAM else _hashes(data, SIDE)
+    out = np.zeros(len(texts), bool)
+    for at in (place - SIDE, place + GRAM):
+        there = np.flatnonzero((at >= 0) & (at + SIDE <= sizes))
+        key = mixed(side[start[there] + at[there]] ^ mixed(anchor[there].astype(np.uint64), 13))
+        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        out[there] |= count[which] > 1
+    return out
+
+
 def covered(segments: DataFrame, buckets: int) -> DataFrame:
     """For each segment of a shard a bit for each string that a smaller id has than any of the shard's own."""
 
@@ -323,7 +358,14 @@ def covered(segments: DataFrame, buckets: int) -> DataFrame:
         own = group["least"].to_numpy()
         least = np.full(len(known), LAST, np.int64)
         np.minimum.at(least, which, own)
-        found, first = least_ids(list(known), least)
+        texts = list(known)
+        # Others have their strings for themselves, so these are not sorted.
+        meet = np.flatnonzero(may_share(texts))
+        first = np.cumsum([0, *(len(x) - LENGTH + 1 for x in texts)])
+        found = np.repeat(least, np.diff(first))
+        if len(meet):
+            among, part = least_ids([texts[i] for i in meet.tolist()], least[meet])
+            found[np.repeat(first[meet] - part[:-1], np.diff(part)) + np.arange(part[-1])] = among
         count = (first[1:] - first[:-1])[which]
         row = np.repeat(np.arange(len(which)), count)
         inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)

@@ -172,3 +172,36 @@ def test_packed_buckets_list_only_their_own_sets(docs):
     blocks = ngram_join.block_rows(documents(docs), 5, 0.75, 4096).where("entries IS NOT NULL")
     sizes = blocks.selectExpr("octet_length(sets) AS sets", "octet_length(entries) AS entries").collect()
     assert sizes and all(0 < r.sets <= r.entries for r in sizes)
+
+
+def test_only_segments_that_may_share_a_string_are_sorted():
+    """Of segments of one anchor most differ right beside it; those were sorted as well."""
+    random = np.random.default_rng(4)
+    some = lambda n: bytes(random.integers(97, 123, n).astype(np.uint8))
+    runs = suffix_dedup.Runs(some(4000), [4000], [1])
+    texts = [runs.data[a : a + n + 49] for a, n in zip(runs.start.tolist(), runs.count.tolist(), strict=True) if n > 20]
+    assert not suffix_dedup.may_share(texts).any()
+    # Bytes before the string may differ, or behind it, as long as the anchor stays the first least one.
+    other = [t[1:] for t in texts] + [t[:-1] for t in texts]
+    assert suffix_dedup.may_share(texts + other).all()
+    # The anchor is the least hash of the 16-byte strings, wherever it stands; both sides of it are changed.
+    upper = suffix_dedup._hashes(runs.data, 16) >> np.uint64(32)
+    changed = []
+    for a in runs.start[runs.count > 20].tolist():
+        at = a + int(upper[a : a + 35].argmin())
+        data = bytearray(runs.data)
+        for i in (at - 9, at + 24):
+            if 0 <= i < len(data):
+                data[i] = 35
+        t = bytes(data[a : at + 16 + 34])
+        if len(t) >= 50 and (suffix_dedup._hashes(t, 16)[:35] >> np.uint64(32)).argmin() == at - a:
+            changed.append((runs.data[a : at + 16 + 34], t))
+    assert len(changed) > 20
+    assert not suffix_dedup.may_share([x for pair in changed for x in pair]).any()
+
+
+def test_strings_are_found_beside_few_common_bytes(spark):
+    """Passages of just over and just under the length, at many places of other texts."""
+    rows = [(i, prose(i, 14)[: 20 + 3 * i] + prose(900, 40)[7 * i : 7 * i + 44 + i] + prose(100 + i, 14)[i:]) for i in range(25)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), digest=True)
+    assert Counter(tuple(r) for r in got.collect()) == removed(rows)
