@@ -63,7 +63,10 @@ def _shingles(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
-    return _shingles([x.as_py().encode() for x in texts], width)
+    hasher = Hasher()
+    for a in range(0, len(texts), AT_ONCE):  # few texts at a time stand beside the batch
+        for _, some in pieces(texts.slice(a, AT_ONCE).cast(pa.binary()).to_pylist()):
+            yield from hasher.shingles(some, width)
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -159,12 +162,15 @@ def block_rows(docs: DataFrame, width: int, threshold: float, parts: int) -> Dat
         if not seen:
             return
         sets = np.sort(np.array(list(seen), np.int64))
-        place = np.repeat(np.arange(len(sets)), [len(seen[x]) for x in sets.tolist()])
-        key = np.concatenate([seen[x] for x in sets.tolist()])
-        part = (key >> np.uint64(48)).astype(np.int64) % parts
-        key = key & np.uint64((1 << 48) - 1)
-        order = np.lexsort((place, key, part))
+        place = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(seen[x]) for x in sets.tolist()])
+        key = np.concatenate([seen.pop(x) for x in sets.tolist()])
+        part = ((key >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16)
+        key &= np.uint64((1 << 48) - 1)
+        # By part, key and place, which ascends already; narrow numbers, as this holds all buckets of a batch.
+        order = np.argsort(key, kind="stable")
+        order = order[np.argsort(part[order], kind="stable")]
         part, key, place = part[order], key[order], place[order]
+        del order
         first = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
         start = np.flatnonzero(first)
         size = np.diff(np.r_[start, len(key)])
@@ -177,7 +183,7 @@ def block_rows(docs: DataFrame, width: int, threshold: float, parts: int) -> Dat
         several = [np.packbits(x > 1).tobytes() for x in np.split(size, cuts[1:])]
         n = len(blobs)
         none = [None] * n
-        yield _block_batch(part[start][cuts], blobs, listed, several, none, none, none)
+        yield _block_batch(part[start][cuts].astype(np.int64), blobs, listed, several, none, none, none)
         more = ~first
         if more.any():
             leader = np.repeat(sets[place[start]], size)[more]
@@ -203,11 +209,14 @@ def _unpacked(entries: bytes, sets: bytes, several: bytes) -> tuple[np.ndarray,
     return entry >> np.uint64(16), own, np.unpackbits(np.frombuffer(several, np.uint8), count=len(entry)).astype(bool)
 
 
-MEMBERS = "bucket bigint, set_id bigint, leader bigint"
+MEMBERS = "bucket bigint, set_id bigint, leader bigint, more boolean"
 
 
 def members(blocks: DataFrame, parts: int) -> DataFrame:
-    """``bucket``, ``set_id`` and ``leader`` of the buckets with several sets."""
+    """``bucket``, ``set_id`` and ``leader`` of the buckets with several sets.
+
+    Buckets without ``more`` have two sets, the leader and the other one.
+    """
     out = arrow_schema(MEMBERS)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,20 +224,29 @@ def members(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             settled = batch.filter(batch.column("leader").is_valid())
             if settled.num_rows:
-                yield settled.select(["bucket", "set_id", "leader"])
+                cells = [*settled.select(["bucket", "set_id", "leader"]).columns, pa.array(np.ones(settled.num_rows, bool))]
+                yield pa.RecordBatch.from_arrays(cells, schema=out)
             for row in batch.filter(batch.column("entries").is_valid()).select(["part", "entries", "sets", "several"]).to_pylist():
                 held.setdefault(row["part"], []).append((row["entries"], row["sets"], row["several"]))
         while held:  # only one part is unpacked at a time
             part, each = held.popitem()
             key, own, several = (np.concatenate(x) for x in zip(*(_unpacked(*x) for x in each), strict=True))
             each.clear()
+            order = np.argsort(key)
+            fresh = np.r_[True, np.diff(key[order]) != 0, True]
+            order = order[~(fresh[:-1] & fresh[1:]) | several[order]]  # most are alone in their bucket
+            key, own, several = key[order], own[order], several[order]
             order = np.lexsort((own, key))
             key, own, several = key[order], own[order], several[order]
+            if not len(key):
+                continue
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
-            leader = np.repeat(own[start], size)
-            kept = (np.repeat(size > 1, size) | several) & np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
-            cells = [_bucket(np.full(int(kept.sum()), part), key[kept]), own[kept], leader[kept]]
+            once = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
+            sets, packed = np.add.reduceat(once, start, dtype=np.int64), np.logical_or.reduceat(several, start)
+            kept = once & np.repeat((sets > 1) | packed, size)  # one set may come from several batches
+            leader, more = np.repeat(own[start], size)[kept], np.repeat((sets > 2) | packed, size)[kept]
+            cells = [_bucket(np.full(len(more), part), key[kept]), own[kept], leader, more]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], schema=out)
 
     return blocks.repartition(parts, "part").mapInArrow(meet, MEMBERS)
@@ -300,16 +318,17 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     parts = max(1, 4 * total // PART_BYTES)  # about half a bucket for each shingle
     shared = stage_table(members(block_rows(docs, width, threshold, parts), parts))
-    # One text for each set that shares a bucket.
-    texts = _texts(docs, shared.select("set_id").distinct(), width)
+    pairs = shared.where("leader <> set_id").select(F.least("leader", "set_id").alias("a"), F.greatest("leader", "set_id").alias("b")).distinct()
+    near = stage_table(_near(pairs, sets, threshold))
+    # Two sets of a bucket of their own are settled when they are compared; buckets of more may need other pairs.
+    shared = shared.where("more").select("bucket", "set_id")
+    # One text for each set that is compared, or may be.
+    texts = _texts(docs, near.select("a").union(near.select("b")).union(shared.select("set_id")).toDF("set_id").distinct(), width)
     tested = None
     roots = None
-    pairs = shared.where("leader <> set_id").select(F.least("leader", "set_id").alias("a"), F.greatest("leader", "set_id").alias("b")).distinct()
     for turn in range(ROUNDS):
-        near = _near(pairs, sets, threshold)
         if tested is not None:
-            near = near.join(tested, ["a", "b"], "left_anti")
-        near = stage_table(near)
+            near = stage_table(_near(pairs, sets, threshold).join(tested, ["a", "b"], "left_anti"))
         found = stage_table(verified(near, texts, width, percent))
         tested = near if tested is None else tested.union(near)
         roots = _merged(roots, found)
@@ -320,6 +339,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
         open_buckets = stage_table(placed.join(split.select("bucket", "members"), "bucket"))
         if open_buckets.isEmpty():
             break
+        shared = open_buckets.select("bucket", "set_id")  # components grow, so others stay settled
         # Leaders go on while they merge many; then the pairs across components are tested.
         merged, undecided = found.count(), open_buckets.select("set_id").distinct().count()
         if turn == 0 or (turn < ROUNDS - 1 and 20 * merged > undecided):

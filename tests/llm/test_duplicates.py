@@ -205,3 +205,17 @@ def test_strings_are_found_beside_few_common_bytes(spark):
     rows = [(i, prose(i, 14)[: 20 + 3 * i] + prose(900, 40)[7 * i : 7 * i + 44 + i] + prose(100 + i, 14)[i:]) for i in range(25)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), digest=True)
     assert Counter(tuple(r) for r in got.collect()) == removed(rows)
+
+
+def test_buckets_of_one_set_or_of_two_need_no_more(spark):
+    """Copies in several batches share all buckets with themselves; a pair is settled when it is compared."""
+    near = lambda i, n: [(i + k, prose(i, 120) + f" tail{k if k else ''}") for k in range(n)]
+    alone, two, three = [(i, prose(1, 80)) for i in range(6)], near(100, 2), near(200, 3)
+    df = spark.createDataFrame(alone + two + three, "doc_id long, text string").repartition(4)
+    found = ngram_join.members(ngram_join.block_rows(documents(df), 5, 0.75, 3), 3).collect()
+    sets, more = defaultdict(set), defaultdict(set)
+    for r in found:
+        sets[r.bucket].add(r.set_id)
+        more[r.bucket].add(r.more)
+    assert {len(x) for x in sets.values()} >= {2, 3} and min(map(len, sets.values())) > 1
+    assert all(x == {True} for b, x in more.items() if len(sets[b]) > 2)
