@@ -35,7 +35,7 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def map_rows(
-    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most: int | None = None
+    df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, most: int | None = None
 ) -> DataFrame:
     """Apply a function from Arrow batch to Arrow batch, of ``most`` rows if given, within the tasks."""
 

@@ -50,6 +50,8 @@ BLOCK = 4000
 
 #: Bytes of the passages that are held together when each is counted once.
 HELD = 8 << 20
+#: Texts that are taken out of a batch at a time.
+ROWS = 1 << 12
 #: Passages whose terms are counted at a time, and stretches around passages that are looked at together.
 AT_ONCE, AROUND = 1 << 14, 512
 
@@ -62,6 +64,12 @@ def _terms(words: Words) -> np.ndarray:
     return (words.hashes % np.uint64(TERMS)).astype(np.int64)
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts of a batch; few at a time stand beside it."""
+    for a in range(0, batch.num_rows, ROWS):
+        yield from pieces(batch.column("text").slice(a, ROWS).cast(pa.binary()).to_pylist())
+
+
 def _text_of_word(words: Words) -> np.ndarray:
     return np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
 
@@ -93,7 +101,7 @@ def _term_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         hasher = Hasher()
         seen, total = np.zeros(TERMS, np.int64), 0
         for batch in batches:
-            for _, texts in pieces([x.as_py().encode() for x in batch.column("text")]):
+            for _, texts in _texts(batch):
                 words = hasher.words(texts)
                 total += len(texts)
                 text, term = _text_of_word(words), _terms(words)
@@ -116,7 +124,7 @@ def _passage_rows(docs: DataFrame, parts: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            for _, texts in pieces([x.as_py().encode() for x in batch.column("text")]):
+            for _, texts in _texts(batch):
                 words = hasher.words(texts)
                 if not len(words.hashes):
                     continue
@@ -387,7 +395,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 schema=out,
             )
 
-        found = found.union(map_rows(docs, search, schema))
+        found = found.union(map_rows(docs, search, schema, ROWS))
     return found
 
 
@@ -401,5 +409,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             found = {t for t, *_ in matches(texts, items, space)}
             return batch.filter(pa.array([i not in found for i in range(len(texts))], pa.bool_()))
 
-        docs = docs.mapInArrow(lambda rows, drop=drop: (drop(x) for x in rows), docs.schema)
+        docs = map_rows(docs, drop, docs.schema, ROWS)
     return docs

@@ -1,11 +1,13 @@
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from conftest import WORDS, prose
 
-from tableprep.llm import line_dedup, ngram_join, suffix_dedup
+from tableprep.llm import decontaminate, line_dedup, ngram_join, suffix_dedup
 from tableprep.llm.common import documents
 from tableprep.llm.words import Hasher
 
@@ -219,3 +221,14 @@ def test_buckets_of_one_set_or_of_two_need_no_more(spark):
         more[r.bucket].add(r.more)
     assert {len(x) for x in sets.values()} >= {2, 3} and min(map(len, sets.values())) > 1
     assert all(x == {True} for b, x in more.items() if len(sets[b]) > 2)
+
+
+def test_texts_of_a_batch_are_taken_out_a_few_at_a_time():
+    """All texts of a batch stood beside it, as strings and as bytes."""
+    texts = [prose(i % 50, 300) for i in range(30_000)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    tracemalloc.start()
+    n = sum(len(some) for _, some in decontaminate._texts(batch))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and 3 * peak < batch.nbytes
