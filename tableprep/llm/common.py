@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,9 +45,29 @@ def map_rows(
             for a in range(0, batch.num_rows, most or max(batch.num_rows, 1)):
                 yield function(batch.slice(a, most))
 
+    return map_batches(df, batches, schema)
+
+
+def map_batches(
+    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType
+) -> DataFrame:
+    """``mapInArrow``; a task leaves no memory with its process, which waits for others while Spark sorts and joins."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(rows)
+        give_back()
+
     return df.mapInArrow(batches, schema)
 
 
+def give_back() -> None:
+    """What the allocators of Arrow and C keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 SPANS = "array<struct<kind:string,start:bigint,stop:bigint,plain:boolean>>"
 
 

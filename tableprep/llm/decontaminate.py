@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.llm.common import arrow_schema, documents, map_rows, text_of
-from tableprep.llm.words import Hasher, Words, mixed, pieces
+from tableprep.llm.common import arrow_schema, documents, map_batches, map_rows, text_of
+from tableprep.llm.words import HASHED, Hasher, Words, mixed, pieces
 
 TERMS = 8192
 SKETCH = RANK = 192
@@ -51,7 +51,7 @@ BLOCK = 4000
 #: Bytes of the passages that are held together when each is counted once.
 HELD = 8 << 20
 #: Texts that are taken out of a batch at a time.
-ROWS = 1 << 12
+ROWS = 1 << 10
 #: Passages whose terms are counted at a time, and stretches around passages that are looked at together.
 AT_ONCE, AROUND = 1 << 14, 512
 
@@ -67,7 +67,7 @@ def _terms(words: Words) -> np.ndarray:
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of a batch; few at a time stand beside it."""
     for a in range(0, batch.num_rows, ROWS):
-        yield from pieces(batch.column("text").slice(a, ROWS).cast(pa.binary()).to_pylist())
+        yield from pieces(batch.column("text").slice(a, ROWS).cast(pa.binary()).to_pylist(), HASHED)
 
 
 def _text_of_word(words: Words) -> np.ndarray:
@@ -90,7 +90,7 @@ def _added(rows: DataFrame) -> dict[int, np.ndarray]:
                 sums[row] = sums.get(row, 0) + np.frombuffer(data.as_py(), np.int64)
         yield _sum_rows(sums)
 
-    found = rows.repartition("row").mapInArrow(add, SUMS).collect()
+    found = map_batches(rows.repartition("row"), add, SUMS).collect()
     return {r.row: np.frombuffer(r.sums, np.int64) for r in found}
 
 
@@ -113,7 +113,7 @@ def _term_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
                     seen += np.count_nonzero(there, axis=0)
         yield _sum_rows({0: seen, 1: np.array([total])})
 
-    sums = _added(docs.select("text").mapInArrow(measure, SUMS))
+    sums = _added(map_batches(docs.select("text"), measure, SUMS))
     return sums.get(0, np.zeros(TERMS, np.int64)), int(sums.get(1, [0])[0])
 
 
@@ -150,7 +150,7 @@ def _passage_rows(docs: DataFrame, parts: int) -> DataFrame:
                     [pa.array(part[cuts], pa.int32()), *(pa.array(x, pa.binary()) for x in cells)], schema=out
                 )
 
-    return docs.select("text").mapInArrow(cut, PASSAGES)
+    return map_batches(docs.select("text"), cut, PASSAGES)
 
 
 def _sketched(passages: DataFrame, parts: int) -> DataFrame:
@@ -179,7 +179,7 @@ def _sketched(passages: DataFrame, parts: int) -> DataFrame:
                 np.add.at(sums, np.repeat(row * TERMS, n) + term[at], np.repeat(sign, n))
         yield _sum_rows(dict(enumerate(sums.reshape(SKETCH, TERMS))))
 
-    return passages.repartition(parts, "part").mapInArrow(sketch, SUMS)
+    return map_batches(passages.repartition(parts, "part"), sketch, SUMS)
 
 
 def corpus_sums(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:

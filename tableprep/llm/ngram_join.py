@@ -33,13 +33,14 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableprep.llm.common import arrow_schema, documents, map_rows, stage_table
+from tableprep.llm.common import arrow_schema, documents, map_batches, map_rows, stage_table
 from tableprep.llm.components import components
-from tableprep.llm.words import Hasher, mixed, pieces
+from tableprep.llm.words import HASHED, Hasher, mixed, pieces
 
 #: Shingles of a block in the largest sets of a band.
 FILL = 2.2
@@ -47,8 +48,10 @@ FILL = 2.2
 BITS, WIDE = 1024, 4096
 #: Rows packed together, at most 2**16, and bytes of packed buckets that a task should hold.
 LISTED, PART_BYTES = 1 << 14, 16 << 20
-#: Rows measured, and pairs compared, at a time.
-AT_ONCE = 1 << 10
+#: Rows measured, and pairs compared, at a time; bytes of packed buckets sent on, and of compressed texts compared, at a time.
+AT_ONCE, BYTES = 1 << 10, 2 << 20
+#: Ranges of keys by which the lists of a part are unpacked.
+RANGES = 8
 #: Rounds of leaders before the pairs across components are tested.
 ROUNDS = 6
 
@@ -58,14 +61,14 @@ BLOCKS = "part bigint, entries binary, sets binary, several binary, bucket bigin
 
 def _shingles(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     hasher = Hasher()
-    for _, some in pieces(texts):
+    for _, some in pieces(texts, HASHED):
         yield from hasher.shingles(some, width)
 
 
 def _sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     hasher = Hasher()
     for a in range(0, len(texts), AT_ONCE):  # few texts at a time stand beside the batch
-        for _, some in pieces(texts.slice(a, AT_ONCE).cast(pa.binary()).to_pylist()):
+        for _, some in pieces(texts.slice(a, AT_ONCE).cast(pa.binary()).to_pylist(), HASHED):
             yield from hasher.shingles(some, width)
 
 
@@ -162,39 +165,60 @@ def block_rows(docs: DataFrame, width: int, threshold: float, parts: int) -> Dat
         if not seen:
             return
         sets = np.sort(np.array(list(seen), np.int64))
-        place = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(seen[x]) for x in sets.tolist()])
-        key = np.concatenate([seen.pop(x) for x in sets.tolist()])
+        sizes = np.array([len(seen[x]) for x in sets.tolist()])
+        place = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        key = np.empty(len(place), np.uint64)
+        for x, end, size in zip(sets.tolist(), np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+            key[end - size : end] = seen.pop(x)
+        # Dealt to the parts first and sorted by part, as this holds all buckets of a batch.
         part = ((key >> np.uint64(48)) % np.uint64(parts)).astype(np.uint16)
         key &= np.uint64((1 << 48) - 1)
-        # By part, key and place, which ascends already; narrow numbers, as this holds all buckets of a batch.
-        order = np.argsort(key, kind="stable")
-        order = order[np.argsort(part[order], kind="stable")]
-        part, key, place = part[order], key[order], place[order]
+        order = np.argsort(part, kind="stable")
+        key, place = key[order], place[order]
         del order
-        first = np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]
+        ends = np.cumsum(np.bincount(part, minlength=parts))
+        del part
+        rows, more, size = [], [], 0
+        for at, (start, end) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+            if start == end:
+                continue
+            row, settled = _packed_part(at, key[start:end], place[start:end], sets)
+            rows.append(row)
+            more.append(settled)
+            size += sum(len(x) for x in row[1:]) + sum(x.nbytes for x in settled)
+            if size >= BYTES:
+                yield from _sent(rows, more)
+                rows, more, size = [], [], 0
+        yield from _sent(rows, more)
+
+    def _packed_part(at: int, key: np.ndarray, place: np.ndarray, sets: np.ndarray) -> tuple[tuple, tuple]:
+        """The list of a part, its keys ascending, and bucket, set, leader and target of the sets that have their leader."""
+        order = np.argsort(key, kind="stable")  # by key and place, which ascends already
+        key, place = key[order], place[order]
+        first = np.r_[True, key[1:] != key[:-1]]
         start = np.flatnonzero(first)
         size = np.diff(np.r_[start, len(key)])
-        cuts = np.flatnonzero(np.r_[True, part[start][1:] != part[start][:-1]])
-        blobs, listed = [], []
-        for k, p in zip(np.split(key[start], cuts[1:]), np.split(place[start], cuts[1:]), strict=True):
-            own, p = np.unique(p, return_inverse=True)  # a list names the sets of its part only
-            listed.append(sets[own].tobytes())
-            blobs.append(((k << np.uint64(16)) | p.astype(np.uint64)).tobytes())
-        several = [np.packbits(x > 1).tobytes() for x in np.split(size, cuts[1:])]
-        n = len(blobs)
-        none = [None] * n
-        yield _block_batch(part[start][cuts].astype(np.int64), blobs, listed, several, none, none, none)
+        own, p = np.unique(place[start], return_inverse=True)  # a list names the sets of its part only
+        entries = (key[start] << np.uint64(16)) | p.astype(np.uint64)
+        row = (at, entries.tobytes(), sets[own].tobytes(), np.packbits(size > 1).tobytes())
         more = ~first
-        if more.any():
-            leader = np.repeat(sets[place[start]], size)[more]
-            anywhere = (mixed(key[more], 7) % np.uint64(parts)).astype(np.int64)
-            m = int(more.sum())
-            yield _block_batch(anywhere, [None] * m, [None] * m, [None] * m, _bucket(part[more], key[more]), sets[place[more]], leader)
+        leader = np.repeat(sets[place[start]], size)[more]
+        anywhere = (mixed(key[more], 7) % np.uint64(parts)).astype(np.int64)
+        return row, (anywhere, _bucket(np.full(len(leader), at), key[more]), sets[place[more]], leader)
+
+    def _sent(rows: list[tuple], more: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            none = [None] * len(rows)
+            yield _block_batch(*zip(*rows, strict=True), none, none, none)
+            anywhere, bucket, own, leader = (np.concatenate(x) for x in zip(*more, strict=True))
+            if len(own):
+                none = [None] * len(own)
+                yield _block_batch(anywhere, none, none, none, bucket, own, leader)
 
     def _block_batch(*cells) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, out, strict=True)], schema=out)
 
-    return docs.select("text").mapInArrow(cut, BLOCKS)
+    return map_batches(docs.select("text"), cut, BLOCKS)
 
 
 def _bucket(part: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -202,11 +226,15 @@ def _bucket(part: np.ndarray, key: np.ndarray) -> np.ndarray:
     return mixed(key ^ mixed(part.astype(np.uint64), 9)).view(np.int64)
 
 
-def _unpacked(entries: bytes, sets: bytes, several: bytes) -> tuple[np.ndarray, ...]:
-    """Bucket, set and whether the bucket has several sets, of each entry of a list."""
+def _unpacked(entries: bytes, sets: bytes, several: bytes, which: int) -> tuple[np.ndarray, ...]:
+    """Bucket, set and whether the bucket has several sets, of each entry of a list in one range of keys."""
     entry = np.frombuffer(entries, np.uint64)
-    own = np.frombuffer(sets, np.int64)[(entry & np.uint64(0xFFFF)).astype(np.int64)]
-    return entry >> np.uint64(16), own, np.unpackbits(np.frombuffer(several, np.uint8), count=len(entry)).astype(bool)
+    several = np.unpackbits(np.frombuffer(several, np.uint8), count=len(entry))
+    # Keys ascend in a list, so a range of them is a run.
+    low, high = ((1 << 64) * x // RANGES for x in (which, which + 1))
+    run = slice(np.searchsorted(entry, np.uint64(low)), np.searchsorted(entry, np.uint64(high - 1), side="right"))
+    own = np.frombuffer(sets, np.int64)[(entry[run] & np.uint64(0xFFFF)).astype(np.int64)]
+    return entry[run] >> np.uint64(16), own, several[run].astype(bool)
 
 
 MEMBERS = "bucket bigint, set_id bigint, leader bigint, more boolean"
@@ -228,28 +256,30 @@ def members(blocks: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cells, schema=out)
             for row in batch.filter(batch.column("entries").is_valid()).select(["part", "entries", "sets", "several"]).to_pylist():
                 held.setdefault(row["part"], []).append((row["entries"], row["sets"], row["several"]))
-        while held:  # only one part is unpacked at a time
+        while held:
             part, each = held.popitem()
-            key, own, several = (np.concatenate(x) for x in zip(*(_unpacked(*x) for x in each), strict=True))
-            each.clear()
-            order = np.argsort(key)
-            fresh = np.r_[True, np.diff(key[order]) != 0, True]
-            order = order[~(fresh[:-1] & fresh[1:]) | several[order]]  # most are alone in their bucket
-            key, own, several = key[order], own[order], several[order]
-            order = np.lexsort((own, key))
-            key, own, several = key[order], own[order], several[order]
-            if not len(key):
-                continue
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[start, len(key)])
-            once = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
-            sets, packed = np.add.reduceat(once, start, dtype=np.int64), np.logical_or.reduceat(several, start)
-            kept = once & np.repeat((sets > 1) | packed, size)  # one set may come from several batches
-            leader, more = np.repeat(own[start], size)[kept], np.repeat((sets > 2) | packed, size)[kept]
-            cells = [_bucket(np.full(len(more), part), key[kept]), own[kept], leader, more]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], schema=out)
+            for which in range(RANGES):  # only one range of one part is unpacked at a time
+                yield from _met(part, *(np.concatenate(x) for x in zip(*(_unpacked(*x, which) for x in each), strict=True)))
+
+    def _met(part: int, key: np.ndarray, own: np.ndarray, several: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key)
+        fresh = np.r_[True, np.diff(key[order]) != 0, True]
+        order = order[~(fresh[:-1] & fresh[1:]) | several[order]] if len(key) else order  # most are alone in their bucket
+        key, own, several = key[order], own[order], several[order]
+        order = np.lexsort((own, key))
+        key, own, several = key[order], own[order], several[order]
+        if not len(key):
+            return
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        once = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
+        sets, packed = np.add.reduceat(once, start, dtype=np.int64), np.logical_or.reduceat(several, start)
+        kept = once & np.repeat((sets > 1) | packed, size)  # one set may come from several batches
+        leader, more = np.repeat(own[start], size)[kept], np.repeat((sets > 2) | packed, size)[kept]
+        cells = [_bucket(np.full(len(more), part), key[kept]), own[kept], leader, more]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], schema=out)
 
-    return blocks.repartition(parts, "part").mapInArrow(meet, MEMBERS)
+    return map_batches(blocks.repartition(parts, "part"), meet, MEMBERS)
 
 
 def _within(threshold: float, a: str, b: str, sketch: str) -> Column:
@@ -273,24 +303,41 @@ def _near(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(_within(threshold, "x", "y", "wide")).select("a", "b")
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The pairs of a batch a few at a time, so that their different texts have about ``BYTES`` bytes, or one pair's."""
+    sizes = [pc.binary_length(batch.column(x)).to_pylist() for x in ("text_a", "text_b")]
+    start, size, known = 0, 0, set()
+    for i, pair in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+        more = {x: y[i] for x, y in zip(pair, sizes, strict=True)}
+        new = sum(n for x, n in more.items() if x not in known)
+        if i > start and size + new > BYTES:
+            yield batch.slice(start, i - start)
+            start, size, known, new = i, 0, set(), sum(more.values())
+        size += new
+        known.update(pair)
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs of sets whose Jaccard index, in whole numbers, reaches the percentage."""
     schema = "a bigint, b bigint"
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known: dict[int, np.ndarray] = {}
         keep = []
-        unpack = zstandard.ZstdDecompressor().decompress
-        for side, text in (("a", "text_a"), ("b", "text_b")):
-            ids = batch.column(side).to_pylist()
-            new = {x: i for i, x in enumerate(ids) if x not in known}
-            column = batch.column(text)
-            found = _shingles([unpack(column[i].as_py()) for i in new.values()], width)
-            known.update(zip(new, found, strict=True))
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            x, y = known[a], known[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        for some in _runs(batch):
+            known: dict[int, np.ndarray] = {}
+            unpack = zstandard.ZstdDecompressor().decompress
+            for side, text in (("a", "text_a"), ("b", "text_b")):
+                ids = some.column(side).to_pylist()
+                new = {x: i for i, x in enumerate(ids) if x not in known}
+                column = some.column(text)
+                found = _shingles([unpack(column[i].as_py()) for i in new.values()], width)
+                known.update(zip(new, found, strict=True))
+            for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True):
+                x, y = known[a], known[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))

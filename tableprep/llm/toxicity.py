@@ -23,7 +23,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,6 +45,8 @@ SHARED = 0.25
 #: Signs at the ends of a word that are not part of it.
 EDGES = re.compile(r"^[^\w$@#&*]+|[^\w$@#&*]+$")
 WINDOW, LEVEL, LEAST_MATCH = 64, 6, 4
+#: Rows that are kept or dropped at a time.
+AT_ONCE = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -272,12 +273,11 @@ def drop(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     by their text; an empty table gives an empty one.
     """
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = probabilities(batch.column(batch.schema.get_field_index("text")), model)
-            yield batch.filter(pa.array(p < 0.5))
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        p = probabilities(batch.column(batch.schema.get_field_index("text")), model)
+        return batch.filter(pa.array(p < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_rows(docs, keep, docs.schema, AT_ONCE)
 
 
 SCHEMA = "doc_id bigint, score double"

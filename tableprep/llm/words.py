@@ -7,8 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Bytes of text that are hashed at a time, or one text if that is longer.
-PIECE = 1 << 20
+#: Bytes of text that are looked at, and that are hashed, at a time, or one text if that is longer.
+PIECE, HASHED = 1 << 20, 1 << 18
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -50,7 +50,7 @@ class Hasher:
     """Keeps the powers between pieces."""
 
     def __init__(self) -> None:
-        self.up, self.down = powers(FACTOR, PIECE), powers(INVERSE, PIECE)
+        self.up, self.down = powers(FACTOR, HASHED), powers(INVERSE, HASHED)
 
     def words(self, texts: list[bytes]) -> Words:
         """ASCII letters in lower case; words end at the space and U+0009 to U+000D."""
