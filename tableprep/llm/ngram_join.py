@@ -22,6 +22,12 @@ from each other to link, but each links to the text they were made from, which
 shares most buckets with most of them. At last all pairs across components
 within the size and sketch bounds are compared, so no link between components
 is lost.
+
+Pairs of a bucket grow with its square, so those of crowded buckets are not
+formed there. Their sets meet again by shingles, common ones last in the order:
+the first shingle that two sets have in common bounds by its place in either
+how many they may share, and so the size of a partner. Sets whose own shingles
+come first then have no partner under the common ones.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprep.llm.common import arrow_schema, documents, map_batches, map_rows, stage_table
@@ -54,6 +60,10 @@ AT_ONCE, BYTES = 1 << 10, 2 << 20
 RANGES = 8
 #: Rounds of leaders before the pairs across components are tested.
 ROUNDS = 6
+#: Shingles of all members of a bucket up to which its pairs are formed in it; of larger ones the sets meet by shingles.
+CROWD = 1 << 15
+#: Common shingles that are put last; shingles counted at a time, of which those found ``OFTEN`` go on; rows of shingles sent on.
+COMMON, COUNTED, OFTEN, SENT = 1 << 16, 1 << 20, 4, 1 << 17
 
 PROFILE = "doc_id bigint, set_id bigint, n_shingles bigint, sketch array<bigint>, wide array<bigint>"
 BLOCKS = "part bigint, entries binary, sets binary, several binary, bucket bigint, set_id bigint, leader bigint"
@@ -368,7 +378,7 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     pairs = shared.where("leader <> set_id").select(F.least("leader", "set_id").alias("a"), F.greatest("leader", "set_id").alias("b")).distinct()
     near = stage_table(_near(pairs, sets, threshold))
     # Two sets of a bucket of their own are settled when they are compared; buckets of more may need other pairs.
-    shared = shared.where("more").select("bucket", "set_id")
+    shared = shared.where("more").join(sets.select("set_id", "n_shingles"), "set_id").select("bucket", "set_id", "n_shingles")
     # One text for each set that is compared, or may be.
     texts = _texts(docs, near.select("a").union(near.select("b")).union(shared.select("set_id")).toDF("set_id").distinct(), width)
     tested = None
@@ -380,19 +390,23 @@ def link(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
         tested = near if tested is None else tested.union(near)
         roots = _merged(roots, found)
         placed = shared.join(roots, shared["set_id"] == roots["node"], "left").select(
-            "bucket", "set_id", F.coalesce("root", "set_id").alias("root")
+            "bucket", "set_id", "n_shingles", F.coalesce("root", "set_id").alias("root")
         )
-        split = placed.groupBy("bucket").agg(F.min("root").alias("m"), F.max("root").alias("n"), F.count("*").alias("members")).where("m <> n")
-        open_buckets = stage_table(placed.join(split.select("bucket", "members"), "bucket"))
+        counts = F.count("*").alias("members"), F.sum("n_shingles").alias("weight")
+        split = placed.groupBy("bucket").agg(F.min("root").alias("m"), F.max("root").alias("n"), *counts).where("m <> n")
+        open_buckets = stage_table(placed.join(split.select("bucket", "members", "weight"), "bucket"))
         if open_buckets.isEmpty():
             break
-        shared = open_buckets.select("bucket", "set_id")  # components grow, so others stay settled
+        shared = open_buckets.select("bucket", "set_id", "n_shingles")  # components grow, so others stay settled
         # Leaders go on while they merge many; then the pairs across components are tested.
         merged, undecided = found.count(), open_buckets.select("set_id").distinct().count()
         if turn == 0 or (turn < ROUNDS - 1 and 20 * merged > undecided):
             pairs = _other_leader(open_buckets, turn)
         else:
-            pairs = _across(open_buckets, sets, threshold)
+            pairs = _across(open_buckets.where(F.col("weight") <= CROWD), sets, threshold)
+            crowded = stage_table(open_buckets.where(F.col("weight") > CROWD).select("set_id", "root").distinct())
+            if not crowded.isEmpty():
+                pairs = pairs.union(_across_crowded(crowded, sets, texts, width, percent)).distinct()
             last = stage_table(_near(pairs, sets, threshold).join(tested, ["a", "b"], "left_anti"))
             roots = _merged(roots, stage_table(verified(last, texts, width, percent)))
             break
@@ -445,7 +459,7 @@ def _other_leader(placed: DataFrame, turn: int) -> DataFrame:
 
 def _across(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """All pairs of a bucket across components that sizes and sketches allow."""
-    full = placed.join(sets.select("set_id", "n_shingles", "sketch"), "set_id")
+    full = placed.join(sets.select("set_id", "sketch"), "set_id")
     x, y = full.alias("x"), full.alias("y")
     return (
         x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root")) & _within(threshold, "x", "y", "sketch"))
@@ -454,6 +468,122 @@ def _across(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _texts_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``set_id``, ``root`` and shingles of each row, few texts standing unpacked at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    hasher = Hasher()
+    for batch in batches:
+        for a in range(0, batch.num_rows, 64):
+            some = batch.slice(a, 64)
+            texts = [unpack(x.as_py()) for x in some.column("text")]
+            found = (x for _, piece in pieces(texts, HASHED) for x in hasher.shingles(piece, width))
+            yield from zip(some.column("set_id").to_pylist(), some.column("root").to_pylist(), found, strict=True)
+
+
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most common shingles, ascending, and about how many sets have each; they give an order only."""
+    schema = "shingle bigint, n bigint"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, _, x in _texts_of(batches, width):
+            held.append(x)
+            size += len(x)
+            if size >= COUNTED:
+                yield counted(held)
+                held, size = [], 0
+        if held:
+            yield counted(held)
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        x, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(x[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
+
+    found = map_batches(texts, count, schema).groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = found.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingle, n = (found.column(x).to_numpy().astype(np.int64) for x in ("shingle", "n"))
+    order = np.argsort(shingle.view(np.uint64))
+    return shingle.view(np.uint64)[order], n[order]
+
+
+def first_shingles(shingles: np.ndarray, percent: int, common: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set, common ones last, and the largest size of a partner whose first one in common each may be.
+
+    Of n shingles at most n - p are shared with a partner if the one at place p
+    is the first, and two sets of n and m that are linked share at least
+    percent / (100 + percent) * (n + m). Places where no partner is left are
+    not given, so linked sets have a shingle in common here that is within the
+    reach of both.
+    """
+    n = len(shingles)
+    weight = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        weight = np.where(common[at] == shingles, often[at], 0)
+    reach = (n - np.arange(n)) * (100 + percent) // percent - n
+    reach = reach[reach >= -(-percent * n // 100)]
+    return shingles[np.lexsort((mixed(shingles, 3), weight))[: len(reach)]], reach
+
+
+HEADS = "shingle bigint, set_id bigint, root bigint, n_shingles bigint, reach bigint"
+
+
+def _heads(texts: DataFrame, width: int, percent: int, common: np.ndarray, often: np.ndarray) -> DataFrame:
+    """The first shingles of each set as rows."""
+    out = arrow_schema(HEADS)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for own, root, x in _texts_of(batches, width):
+            first, reach = first_shingles(x, percent, common, often)
+            held.append((first.view(np.int64), *(np.full(len(first), v) for v in (own, root, len(x))), reach))
+            size += len(first)
+            if size >= SENT:
+                yield sent(held)
+                held, size = [], 0
+        if held:
+            yield sent(held)
+
+    def sent(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], schema=out)
+
+    return map_batches(texts, cut, HEADS)
+
+
+def _in_reach(heads: DataFrame) -> DataFrame:
+    """The rows of shingles whose sets are of several components and may have a partner; ``main`` is the component of most of them."""
+    each = Window.partitionBy("shingle")
+    bounds = heads.select(
+        "*", F.min("root").over(each).alias("m"), F.max("root").over(each).alias("n"),
+        F.min("n_shingles").over(each).alias("low"), F.max("reach").over(each).alias("high"),
+    )
+    some = stage_table(bounds.where("m <> n AND reach >= low AND n_shingles <= high").select(*heads.columns))
+    main = some.groupBy("shingle", "root").count().groupBy("shingle").agg(
+        F.max(F.struct("count", "root"))["root"].alias("main"), F.count("*").alias("roots")
+    )
+    return some.join(main.where("roots > 1"), "shingle").drop("roots")
+
+
+def _across_crowded(placed: DataFrame, sets: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """All pairs of some sets across components that first shingles, sizes and sketches allow."""
+    own = stage_table(texts.join(placed, "set_id"))
+    common, often = _common(own, width)
+    rows = _in_reach(_heads(own, width, percent, common, often))
+    full = rows.join(sets.select("set_id", "sketch"), "set_id")
+    # Of two components one is not the main one, so only its members look for others.
+    x, y = full.where("root <> main").alias("x"), full.alias("y")
+    meet = (
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
+        & (F.col("x.n_shingles") <= F.col("y.reach")) & (F.col("y.n_shingles") <= F.col("x.reach"))
+    )
+    return (
+        x.join(y, meet & _within(percent / 100, "x", "y", "sketch"))
+        .select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"))
+        .distinct()
+    )
+
+
 def _labelled(rows: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     placed = sets.join(roots, sets["set_id"] == roots["node"], "left").select(
         "set_id", "least", F.coalesce("root", "set_id").alias("root")

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from conftest import WORDS, prose
+from conftest import WORDS, edited, prose
 
 from tableprep.llm import decontaminate, line_dedup, ngram_join, suffix_dedup
 from tableprep.llm.common import documents
@@ -232,3 +232,63 @@ def test_texts_of_a_batch_are_taken_out_a_few_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == len(texts) and 3 * peak < batch.nbytes
+
+
+def _crowd():
+    """Texts around one passage, copies of a text too far from it to link, and links between such copies."""
+    rows = [(i, prose(5000, 40) + " " + prose(5001 + i, 60)) for i in range(400)]
+    far = lambda i: edited(prose(6000, 200), i, 0.035 if i % 3 else 0.005)
+    rows += [(1000 + i, far(i)) for i in range(60)]
+    return rows + [(2000 + i, far(i) + " " + prose(7000 + i, 6)) for i in range(0, 60, 4)]
+
+
+def test_pairs_are_not_formed_in_crowded_buckets(spark, monkeypatch):
+    """All pairs of a bucket were formed, so that time grew with the square of its sets."""
+    crowds, across = [], ngram_join._across
+
+    def spy(placed, *more):
+        crowds.append(max([r["count"] for r in placed.groupBy("bucket").count().collect()], default=0))
+        return across(placed, *more)
+
+    monkeypatch.setattr(ngram_join, "_across", spy)
+    rows = _crowd()
+    got = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(tuple(r) for r in got.collect()) == classes(rows)
+    assert crowds and max(crowds) < 400
+
+
+def test_sets_of_crowded_buckets_meet_by_shingles(spark):
+    """All linked pairs are found without a bucket, and few others."""
+    rows = _crowd()
+    docs = documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets = ngram_join.profile(docs, 5)
+    texts = ngram_join._texts(docs, sets.select("set_id"), 5)
+    placed = sets.select("set_id", sets["set_id"].alias("root"))
+    found = ngram_join._across_crowded(placed, sets, texts, 5, 75).collect()
+    own = {r.doc_id: r.set_id for r in sets.select("doc_id", "set_id").collect()}
+    known = {i: shingles(t) for i, t in rows}
+    linked = {
+        (min(own[i], own[j]), max(own[i], own[j]))
+        for i, a in known.items() for j, b in known.items()
+        if own[i] != own[j] and 100 * len(a & b) >= 75 * len(a | b)
+    }
+    assert len(linked) > 100 and linked <= {tuple(r) for r in found} and len(found) < 2 * len(linked)
+
+
+def test_first_shingles_of_linked_sets_meet_within_reach():
+    random = np.random.default_rng(2)
+    some = lambda n: random.integers(0, 1 << 62, n).astype(np.uint64)
+    for n in (1, 2, 3, 4, 5, 7, 9, 13, 20, 40, 100, 257, 300, 700):
+        for _ in range(30):
+            a = np.unique(some(n))
+            b = np.unique(np.r_[a[random.integers(0, n // 4 + 1) :], some(random.integers(0, n // 4 + 1))])
+            common = np.sort(random.choice(a, len(a) // 2, replace=False))
+            often = random.integers(4, 9, len(common))
+            (x, far), (y, wide) = (ngram_join.first_shingles(z, 75, common, often) for z in (a, b))
+            _, i, j = np.intersect1d(x, y, return_indices=True)
+            met = bool(((far[i] >= len(b)) & (wide[j] >= len(a))).any())
+            both = len(np.intersect1d(a, b))
+            assert met or 100 * both < 75 * (len(a) + len(b) - both)
+            own = np.unique(some(max(1, n // 6 + 1)))
+            x, far = ngram_join.first_shingles(np.union1d(a, own), 75, a, np.full(len(a), 9))
+            assert not (np.isin(x, a) & (far >= len(a) + len(own))).any()  # copies as far from the common text as that
